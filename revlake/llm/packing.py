@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, text_of
-from .tokens import END_ID, WordTokenizer, small_batches
+from .tokens import END_ID, small_batches, word_tokenizer
 
 CAPACITY = 2048
 
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = WordTokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
+        tok, end = word_tokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,63 +24,74 @@ SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 16
 class WordTokenizer:
     """Ids of a text under a byte-level BPE of the tokenizers library, as little-endian uint32 bytes.
 
-    Such a tokenizer never merges across a blank that follows a non-blank character, so a text is cut there, and each
-    distinct word goes through the tokenizer once while it is remembered. Texts where a blank stands at an end or before
-    other white space are encoded whole. The memory is bounded by MOST_WORDS entries.
+    Such a tokenizer cuts a text before it merges: always before a blank or line feed that follows other characters than
+    white space, and between letters and a mark. So a text is cut there, and each distinct word (with its blank, or with
+    its line feed) and each run of marks after a word goes through the tokenizer once while it is remembered. Texts with
+    other runs of white space, or with the strings of special tokens, are encoded whole. The memory is bounded by MOST_WORDS entries.
     """
 
-    MOST_WORDS = 800_000
+    MOST_WORDS = 700_000
     BULK = 4_000
     #: White space but the blank and the line feed, looked for first.
     SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+    #: Runs that a cut text must not hold.
+    RUNS = ("  ", " \n", "\n ", "\n\n\n")
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
-        import re
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.rare = re.compile(r" \s| \Z|\A ").search
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
-        self.stops = dict(zip(".,;:!?", self.whole(list(".,;:!?")), strict=True))
+        self.tails: dict[str, bytes] = {}
         vocab = self.tok.get_vocab()
         self.starts = np.zeros(max(vocab.values(), default=0) + 1, bool)
         for token, k in vocab.items():
-            self.starts[k] = token.startswith("Ġ")  # the alphabet's sign for the blank
+            self.starts[k] = token[:1] in ("Ġ", "Ċ")  # the alphabet's signs for the blank and the line feed
 
     def odd(self, text: str) -> bool:
-        """Whether a blank stands at an end or before other white space."""
-        if any(map(text.__contains__, self.SPACES)):
-            return self.rare(text) is not None
-        return "  " in text or " \n" in text or text[:1] == " " or text[-1:] == " "
+        """Whether a text must be encoded whole."""
+        has = text.__contains__
+        return any(map(has, self.SPACES)) or any(map(has, self.RUNS)) or any(map(has, self.special)) or text[:1] == " " or text[-1:] == " " or text[-2:] == "\n\n"
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> None:
-        """Plain words are encoded in one run, cut again where a token begins with the blank. A letter run and a stop after
-        it never merge either, so a word with a stop is its stem's ids and the stop's."""
-        closed = [w for w in new if w[-1:] in self.stops and w[:-1].isalpha()]
-        new = new.difference(closed).union({w[:-1] for w in closed}.difference(self.words))
-        plain = [w for w in new if w.isprintable() and w]
+        """Words are encoded in one run, cut again where a token begins with a blank or line feed."""
+        ended, plain = [], set()
+        for w in new:
+            stem = w.rstrip(self.MARKS)
+            if len(stem) < len(w) and stem[-1:] < "\u0250" and (stem[1:] if stem[:1] == "\n" else stem).isalpha():
+                ended.append((w, stem, w[len(stem) :]))
+                plain.add(stem)
+            else:
+                plain.add(w)
+        plain = list(plain.difference(self.words))
         for k in range(0, len(plain), self.BULK):
             part = plain[k : k + self.BULK]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            texts = [w if w[:1] == "\n" else " " + w for w in part]
+            ids = np.array(self.tok.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.starts[ids])
-            if len(at) == len(part):
+            if len(at) == len(part) and "\n" not in part:
                 raw, ends = ids.tobytes(), (np.append(at, len(ids)) * 4).tolist()
                 self.words.update({w: raw[a:b] for w, a, b in zip(part, ends, ends[1:], strict=False)})
             else:
-                self.words.update(zip(part, self.whole([" " + w for w in part]), strict=True))
-        rest = [w for w in new if not w or not w.isprintable()]
-        self.words.update(zip(rest, self.whole([" " + w for w in rest]), strict=True))
-        self.words.update({w: self.words[w[:-1]] + self.stops[w[-1]] for w in closed})
+                self.words.update(zip(part, self.whole(texts), strict=True))
+        if tails := list({t for _, _, t in ended}.difference(self.tails)):
+            if len(self.tails) > 50_000:
+                self.tails.clear()
+                tails = list({t for _, _, t in ended})
+            self.tails.update(zip(tails, self.whole(tails), strict=True))
+        words, ends = self.words, self.tails
+        words.update({w: words[stem] + ends[t] for w, stem, t in ended})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.odd(t) else t.split(" ") for t in texts]
-        if len(self.words) > self.MOST_WORDS:
-            self.words.clear()
+        cut = [None if self.odd(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        if len(self.words) > self.MOST_WORDS:  # words met early are mostly the frequent ones
+            self.words = dict(islice(self.words.items(), self.MOST_WORDS // 2))
         if new := set().union(*(c[1:] for c in cut if c)).difference(self.words):
             self._learn(new)
         first = iter(self.whole([t if c is None else c[0] for t, c in zip(texts, cut, strict=True)]))
@@ -86,6 +99,12 @@ class WordTokenizer:
         return [next(first) if c is None else next(first) + b"".join(map(get, c[1:])) for c in cut]
 
 
+@lru_cache(1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, so that its words outlive a task."""
+    return WordTokenizer(path)
+
+
 def small_batches(texts: list[str], most: int = 4 << 20) -> Iterator[slice]:
     """Slices of about `most` characters, so that a batch of long texts is not held encoded at once."""
     begin = size = 0
@@ -162,7 +181,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
         return pa.RecordBatch.from_pylist([row], _SHARD_ARROW)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = WordTokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
+        tok, end = word_tokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
         part, seq, names, runs, ends = TaskContext.get().partitionId(), 0, [], [], []
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
