@@ -66,6 +66,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select("row.doc_id", "held_out", "score", "predicted")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leak_report
+
+    return leak_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_groups
 
