@@ -552,9 +552,9 @@ def search_documents(spark, d):
     return _hits(search.search_corpus(_corpus(spark, d, "documents", "doc_id", "text"), ["text"], _TERM.upper(), "document", None))
 
 
-@query(f"WITH {_search_sql('pages', 'page_id', 'html', 'nav><ul', 'page')} SELECT * FROM k")
+@query(f"WITH {_search_sql('pages', 'page_id', 'html', 'tionhe', 'page')} SELECT * FROM k")
 def search_pages(spark, d):
-    return _hits(search.search_corpus(_corpus(spark, d, "pages", "page_id", "html"), ["text"], "nav><ul", "page", None))
+    return _hits(search.search_corpus(_corpus(spark, d, "pages", "page_id", "html"), ["text"], "tionhe", "page", None))
 
 
 @query(f"WITH {_search_sql('conversations', chr(39) + chr(39) + ' || conv_id || chr(35) || turn', 'text', 'tion ', 'turn')} SELECT * FROM k")
