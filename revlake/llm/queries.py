@@ -41,6 +41,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import grade_quality
 
