@@ -16,7 +16,7 @@ from .common import drop_staged, small, stage, text_of
 
 FIRST_DIGIT = 64
 GROWTH = 8
-#: Open rows up to this many (8 bytes and a group each) are broadcast to fetch their texts; more are joined by shuffle.
+#: Open rows up to this many (8 bytes and a group each) are broadcast to fetch their bytes; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -49,7 +49,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         bodies = stage(base.select("rid", "body").join(small(open_rows.select("rid"), left, BROADCAST_ROWS), "rid"), "exact-bodies")
         while left:
             at, width = at + width, width * GROWTH
-            rows = bodies.filter(F.octet_length("body") >= at).select("rid", digit(at, width)).join(open_rows, "rid")
+            rows = bodies.filter(F.octet_length("body") >= at).select("rid", digit(at, width)).join(small(open_rows, left, BROADCAST_ROWS), "rid")
             found = stage(_level(rows, width), "exact-level")
             done.append(found.filter("ended"))
             open_rows = found.filter("not ended").select("rid", "grp")
