@@ -26,9 +26,11 @@ from .common import drop_staged, small, stage, text_of
 NEED, GRAM = 400, 64
 HOT, BAND = 512, 16
 SHARD_BYTES, TASK_BYTES = 1 << 17, 1 << 20
+#: Symbols that one refining step takes at most.
+STRIDE = 16
 #: Longer texts are scanned in pieces of this many window starts.
 PIECE = 1 << 22
-#: Rows up to this count, some 100 bytes each, are broadcast to meet their documents; more are joined by shuffle.
+#: Anchors with many contexts, 8 bytes each, are broadcast up to this count; more are joined by shuffle.
 BROADCAST_ROWS = 300_000
 _NULL_ID = -(2**63)
 
@@ -108,6 +110,23 @@ class Shard:
         self.lf[np.argsort(self.symbol, kind="stable")] = np.arange(n)
 
 
+def _refine(ids: np.ndarray, block: np.ndarray, code: np.ndarray, lf: np.ndarray, dead: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries (in interleaved order, by block of equal prefixes) after so many steps; settled ones have left. dead marks
+    steps that would leave a string."""
+    for _ in range(steps):
+        alive = ~dead[ids]
+        ids, block = ids[alive], block[alive]
+        if not len(ids):
+            break
+        before = code[ids]
+        order = np.argsort(before, kind="stable")
+        ids, block, before = lf[ids[order]], block[order], before[order]
+        cut = np.concatenate(([True], (before[1:] != before[:-1]) | (block[1:] != block[:-1]), [True]))
+        keep = ~(cut[:-1] & cut[1:])
+        ids, block = ids[keep], np.cumsum(cut[:-1])[keep]
+    return ids, block
+
+
 def merge_repeats(strings: list[bytes], need: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
     """For each string the places where a run of need bytes starts that also starts elsewhere in the strings."""
     shards, owner, part, size = [], [], [], 0
@@ -122,15 +141,14 @@ def merge_repeats(strings: list[bytes], need: int, shard_bytes: int = SHARD_BYTE
     symbol = np.concatenate([s.symbol for s in shards])
     lf = np.concatenate([s.lf + b for s, b in zip(shards, bases, strict=False)])
     ids, block = np.arange(len(symbol)), np.zeros(len(symbol), np.int64)
-    for _ in range(need):
-        before = symbol[ids]
-        order = np.argsort(before, kind="stable")
-        ids, block, before = lf[ids[order]], block[order], before[order]
-        cut = np.concatenate(([True], (before[1:] != before[:-1]) | (block[1:] != block[:-1]) | (before[1:] == 0), [True]))
-        keep = ~(cut[:-1] & cut[1:])
-        ids, block = ids[keep], np.cumsum(cut[:-1])[keep]
-        if not len(ids):
+    ids, block = _refine(ids, block, symbol, lf, symbol == 0, need % STRIDE)
+    code, dead, stride = symbol, symbol == 0, 1
+    while stride < STRIDE:  # a step of so many symbols at once, where their runs are few enough to sort by counting
+        runs, wider = np.unique(code[lf].astype(np.int64) << 16 | code, return_inverse=True)
+        if len(runs) > 1 << 16:
             break
+        code, dead, lf, stride = wider.astype(np.uint16), dead | dead[lf], lf[lf], 2 * stride
+    ids, block = _refine(ids, block, code, lf, dead, need // STRIDE * (STRIDE // stride))
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(strings)
     for shard, mine, base, end in zip(shards, owner, bases, bases[1:], strict=False):
         at = np.sort(shard.place[ids[(ids >= base) & (ids < end)] - base])
@@ -172,8 +190,7 @@ def _bodies(rows: DataFrame, reps: DataFrame, need: int) -> DataFrame:
                 yield pa.record_batch({"h": pa.array([x["h"] for x in own], pa.int64()), "cid": pa.array([x["cid"] for x in own], pa.int64()), "off": pa.array([x["p"] - x["lo"] for x in own], pa.int64()), "body": pa.array([data[x["lo"] : x["hi"] + need] for x in own], pa.binary())})
 
     by_doc = reps.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "cid", "p", "lo", "hi")).alias("xs"))
-    n = reps.count()
-    held = rows.join(small(by_doc, n, BROADCAST_ROWS), ["doc", "th"]).select("data", "xs", "doc", "th")
+    held = rows.join(by_doc.hint("merge"), ["doc", "th"]).select("data", "xs", "doc", "th")
     return held.mapInArrow(run, "h long, cid long, off long, body binary").dropDuplicates(["cid"])
 
 
@@ -287,6 +304,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     col.append(v)
             yield pa.record_batch([batch["doc"], *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows = _rows(docs, id_col, text_col).join(by_doc, ["doc", "th"], "left").select("doc", "data", "xs")
+    rows = _rows(docs, id_col, text_col).join(by_doc.hint("merge"), ["doc", "th"], "left").select("doc", "data", "xs")
     done = rows.mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.select(F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
