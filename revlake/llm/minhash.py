@@ -10,20 +10,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, drop_staged, stage, text_of
 
 #: At a similarity of 0.8, 32 bands of 4 minima miss a pair with a chance of 5e-8; at 0.85 of 6e-11.
 BANDS, ROWS = 32, 4
-#: A signature this far below the threshold ends a pair before its sets are read: over seven deviations of 128 minima.
-SLACK = 0.25
+#: A signature this far below the threshold ends a pair before its sets are read: over four deviations of 128 minima.
+SLACK = 0.14
 LEADER_ROUNDS = 3
 
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -89,7 +88,7 @@ def _digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-_SIGNED = "id long, n long, set binary, sig binary, bands array<bigint>"
+_SIGNED = "id long, n long, set binary, sig array<int>, bands array<bigint>"
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -107,9 +106,9 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int = B
                 sig = signature(s, a, b) if len(s) else None
                 out[0].append(len(s))
                 out[1].append(None if sig is None else _digest(s))
-                out[2].append(None if sig is None else sig.tobytes())
+                out[2].append(None if sig is None else sig.view(np.int32))
                 out[3].append(None if sig is None else [xxhash.xxh3_64_intdigest(part.tobytes(), k) - (1 << 63) for k, part in enumerate(sig.reshape(bands, rows))])
-            yield pa.record_batch([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))], names=["id", "n", "set", "sig", "bands"])
+            yield pa.record_batch([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.int64()))], names=["id", "n", "set", "sig", "bands"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(run, _SIGNED)
 
@@ -152,16 +151,16 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
+def _may_link(u: str, v: str, percent: int) -> Column:
+    """Whether sizes and signatures (u_n, u_sig, ...) leave a link possible."""
+    same = F.aggregate(F.zip_with(f"{u}_sig", f"{v}_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda total, x: total + x)
+    return (100 * F.least(f"{u}_n", f"{v}_n") >= percent * F.greatest(f"{u}_n", f"{v}_n")) & (same >= (percent / 100 - SLACK) * BANDS * ROWS)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets have 100 * intersection >= percent * union."""
-    minima = BANDS * ROWS
     own = classes.select("set", "n", "sig", "first")
 
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), "<u4").reshape(-1, minima) for s in (a, b))
-        return pd.Series((x == y).mean(1) >= percent / 100 - SLACK)
-
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(p: bytes, q: bytes) -> bool:
@@ -173,7 +172,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
 
     side = lambda k: own.select(F.col("set").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("n", "sig", "first")])
     held = pairs.join(side("u"), "u").join(side("v"), "v")
-    held = held.filter((100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")) & near("u_sig", "v_sig"))
+    held = held.filter(_may_link("u", "v", percent))
     held = stage(held.select("u", "v", "u_first", "v_first"), "pairs")
     wanted = held.select(F.col("u").alias("set"), F.col("u_first").alias("id")).union(held.select("v", "v_first")).distinct()
     sets = stage(_sets(docs, id_col, text_col, width, wanted), "sets")
@@ -217,9 +216,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             lead = rest.filter("set = lead").select("band", "bucket", F.col("root").alias("lead_root"))
             pairs = rest.join(lead.hint("merge"), ["band", "bucket"]).filter("root <> lead_root").select(F.least("lead", "set").alias("u"), F.greatest("lead", "set").alias("v"))
         else:
-            # whatever is still apart in a bucket meets: classes of different components only
-            a, b = rest.select("band", "bucket", F.col("set").alias("u"), F.col("root").alias("ur")), rest.select("band", "bucket", F.col("set").alias("v"), F.col("root").alias("vr"))
-            pairs = a.join(b, ["band", "bucket"]).filter("u < v AND ur <> vr").select("u", "v")
+            # whatever is still apart in a bucket meets: classes of different components only, in their first common band
+            full = rest.select("band", "bucket", "set", "root").join(classes.select("set", "n", "sig", "bands"), "set")
+            side = lambda k: full.select("band", "bucket", *[F.col(c).alias(k if c == "set" else f"{k}_{c}") for c in ("set", "root", "n", "sig", "bands")])
+            met = F.exists(F.zip_with(F.slice("u_bands", 1, F.col("band")), F.slice("v_bands", 1, F.col("band")), lambda x, y: x == y), lambda x: x)
+            open_pair = F.expr("u < v AND u_root <> v_root") & ~F.when(F.col("band") > 0, met).otherwise(F.lit(False)) & _may_link("u", "v", percent)
+            pairs = side("u").join(side("v"), ["band", "bucket"]).filter(open_pair).select("u", "v")
         pairs = pairs.distinct().join(tried, ["u", "v"], "left_anti")
         pairs = stage(pairs, "tries")
         links = links.union(_verified(pairs, classes, docs, id_col, text_col, width, percent))
