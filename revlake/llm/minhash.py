@@ -21,7 +21,9 @@ from .common import LOWER, UPPER, drop_staged, stage, text_of
 
 #: At a similarity of 0.8, 32 bands of 4 minima miss a pair with a chance of 5e-8; at 0.85 of 6e-11.
 BANDS, ROWS = 32, 4
-#: A signature this far below the threshold ends a pair before its sets are read: over four deviations of 128 minima.
+#: Low bits kept of each minimum, packed into longs. Unequal minima agree in them with a chance of 1/16.
+BITS = 4
+#: Agreement this far below what the threshold gives ends a pair before its sets are read: over four deviations of 128 minima.
 SLACK = 0.14
 LEADER_ROUNDS = 3
 
@@ -82,17 +84,23 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype("<u4")
 
 
+def packed(sig: np.ndarray) -> np.ndarray:
+    """The low BITS bits of each minimum, 16 minima to a long."""
+    low = (sig & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(-1, 64 // BITS)
+    return (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(1, dtype=np.uint64).view(np.int64)
+
+
 def _digest(shingles: np.ndarray) -> bytes:
     import xxhash
 
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-_SIGNED = "id long, n long, set binary, sig array<int>, bands array<bigint>"
+_SIGNED = "id long, n long, set binary, sig array<bigint>, bands array<bigint>"
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, n (shingles), set (128-bit digest; null if empty), sig, bands (a hash for each band)."""
+    """id, n (shingles), set (128-bit digest; null if empty), sig (packed minima), bands (a hash for each band)."""
     a, b = _family(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +114,9 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int = B
                 sig = signature(s, a, b) if len(s) else None
                 out[0].append(len(s))
                 out[1].append(None if sig is None else _digest(s))
-                out[2].append(None if sig is None else sig.view(np.int32))
+                out[2].append(None if sig is None else packed(sig))
                 out[3].append(None if sig is None else [xxhash.xxh3_64_intdigest(part.tobytes(), k) - (1 << 63) for k, part in enumerate(sig.reshape(bands, rows))])
-            yield pa.record_batch([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.int64()))], names=["id", "n", "set", "sig", "bands"])
+            yield pa.record_batch([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64()))], names=["id", "n", "set", "sig", "bands"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(run, _SIGNED)
 
@@ -153,8 +161,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _may_link(u: str, v: str, percent: int) -> Column:
     """Whether sizes and signatures (u_n, u_sig, ...) leave a link possible."""
-    same = F.aggregate(F.zip_with(f"{u}_sig", f"{v}_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda total, x: total + x)
-    return (100 * F.least(f"{u}_n", f"{v}_n") >= percent * F.greatest(f"{u}_n", f"{v}_n")) & (same >= (percent / 100 - SLACK) * BANDS * ROWS)
+    ones = F.lit(int("1" * (64 // BITS), 16))
+
+    def unequal(k: int) -> Column:
+        """How many of the 16 minima in long k differ."""
+        x = F.col(f"{u}_sig")[k].bitwiseXOR(F.col(f"{v}_sig")[k])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(ones))
+
+    total = BANDS * ROWS
+    agree = percent / 100 + (1 - percent / 100) / 2**BITS
+    apart = sum((unequal(k) for k in range(1, total * BITS // 64)), unequal(0))
+    return (100 * F.least(f"{u}_n", f"{v}_n") >= percent * F.greatest(f"{u}_n", f"{v}_n")) & (apart <= int((1 - agree + SLACK) * total))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -217,10 +235,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pairs = rest.join(lead.hint("merge"), ["band", "bucket"]).filter("root <> lead_root").select(F.least("lead", "set").alias("u"), F.greatest("lead", "set").alias("v"))
         else:
             # whatever is still apart in a bucket meets: classes of different components only, in their first common band
-            full = rest.select("band", "bucket", "set", "root").join(classes.select("set", "n", "sig", "bands"), "set")
-            side = lambda k: full.select("band", "bucket", *[F.col(c).alias(k if c == "set" else f"{k}_{c}") for c in ("set", "root", "n", "sig", "bands")])
-            met = F.exists(F.zip_with(F.slice("u_bands", 1, F.col("band")), F.slice("v_bands", 1, F.col("band")), lambda x, y: x == y), lambda x: x)
-            open_pair = F.expr("u < v AND u_root <> v_root") & ~F.when(F.col("band") > 0, met).otherwise(F.lit(False)) & _may_link("u", "v", percent)
+            sides = classes.select("set", "n", "sig", "bands")
+            full = rest.select("band", "bucket", "set", "root").join(sides, "set").withColumn("before", F.slice("bands", 1, F.col("band"))).drop("bands")
+            side = lambda k: full.select("band", "bucket", *[F.col(c).alias(k if c == "set" else f"{k}_{c}") for c in ("set", "root", "n", "sig", "before")])
+            open_pair = F.expr("u < v AND u_root <> v_root") & _may_link("u", "v", percent) & ~F.arrays_overlap("u_before", "v_before")
             pairs = side("u").join(side("v"), ["band", "bucket"]).filter(open_pair).select("u", "v")
         pairs = pairs.distinct().join(tried, ["u", "v"], "left_anti")
         pairs = stage(pairs, "tries")

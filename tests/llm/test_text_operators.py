@@ -128,6 +128,17 @@ def test_near_groups_equal_brute_force(spark):
     assert got == {i: find(i) for i in sets}
 
 
+def test_packed_minima_count_agreement(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**32, (40, 128), dtype=np.uint32)
+    y = np.where(rng.random(x.shape) < np.linspace(0.5, 1, 40)[:, None], x, rng.integers(0, 2**32, x.shape, dtype=np.uint32))
+    rows = [(100, minhash.packed(a).tolist(), 100, minhash.packed(b).tolist()) for a, b in zip(x, y)]
+    got = spark.createDataFrame(rows, "u_n long, u_sig array<bigint>, v_n long, v_sig array<bigint>").coalesce(1).select(minhash._may_link("u", "v", 85).alias("m")).collect()
+    most = int((1 - (0.85 + 0.15 / 16) + minhash.SLACK) * 128)
+    want = [int(((a & 15) != (b & 15)).sum()) <= most for a, b in zip(x, y)]
+    assert [r["m"] for r in got] == want and 5 < sum(want) < 35
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(6)
     word = lambda: f"w{rng.randint(0, 3000)}"
