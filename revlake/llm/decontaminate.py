@@ -1,9 +1,10 @@
 """Benchmark decontamination in DataFrame operations only: SimHash of item-sized windows, a multi-index over Hamming
 blocks, and exact weighted-shingle similarity.
 
-A window of a document has as many words as a benchmark item (the whole document if that is shorter). Windows that share
-no shingle with any item have similarity 0, so only windows that place a shared shingle where an item of that size has it
-are taken. Their fingerprints are looked up in an index of all items of that size: a fingerprint is cut into BLOCKS
+A window of a document has as many words as a benchmark item (the whole document if that is shorter). It cannot be more
+similar to an item of that size than the number of its shingles that items of that size have allows, wherever these stand,
+so every window with enough of them is taken, and no other. Their fingerprints are looked up in an index of all items of
+that size: a fingerprint is cut into BLOCKS
 blocks, and an item is entered under every value within BLOCK_RADIUS bits of each of its blocks, so that every
 fingerprint within BLOCKS * (BLOCK_RADIUS + 1) - 1 bits meets it. Pairs within RADIUS are then compared exactly.
 """
@@ -72,6 +73,23 @@ def _index(items: DataFrame) -> DataFrame:
     return rows.select("size", "item", "fp", "n", "b.block", F.explode(F.transform(F.array(*map(F.lit, near)), lambda flip: F.col("b.value").bitwiseXOR(flip.cast("long")))).alias("value"))
 
 
+def _starts(shared: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc, th, size, start of every window that can reach percent: from doc, th, m (shingles of the document), size and p
+    (place of a shingle that an item of that size has). Windows lie inside the document; a shorter document is one."""
+    own = shared.groupBy("doc", "th", "size").agg(F.max("m").alias("m"), F.array_sort(F.collect_set("p")).alias("at"))
+    n_item = F.greatest(F.col("size") - width + 1, F.lit(1))
+    own = own.withColumn("n", F.least("m", n_item)).withColumn("need", F.greatest(F.lit(1), F.ceil(percent * (F.col("n") + n_item) / (100 + percent) - F.lit(1e-9))).cast("int"))
+    own = own.filter("size(at) >= need")
+
+    def span(x: Column, k: Column) -> Column:
+        """Starts of the windows whose first shared shingle is number k, at x, and that hold need of them."""
+        lo = F.greatest(F.lit(0), F.get("at", k + F.col("need") - 1) - F.col("n") + 1, F.coalesce(F.get("at", k - 1) + 1, F.lit(0)))
+        return F.struct(lo.alias("lo"), F.least(x, F.col("m") - F.col("n")).alias("hi"))
+
+    spans = F.filter(F.transform(F.slice("at", F.lit(1), F.size("at") - F.col("need") + 1), span), lambda s: s["lo"] <= s["hi"])
+    return own.select("doc", "th", "size", F.explode(spans).alias("s")).select("doc", "th", "size", F.explode(F.sequence("s.lo", "s.hi")).alias("start"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document and item that it holds: doc (null ids as the least long), th (hash of the text), item, start
     (word where the best window begins), similarity.
@@ -81,20 +99,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     are one shingle; repeated rows count once; other columns are not read; empty tables give no rows.
     """
     b = benchmark.select(F.col(item_col).cast("long").alias("item"), _word_hashes(text_of(item_text_col)).alias("w")).distinct().filter("size(w) > 0")
-    placed = stage(b.select("item", F.size("w").alias("size"), F.posexplode(_shingles(F.col("w"), width)).alias("q", "h")), "items")
+    placed = stage(b.select("item", F.size("w").alias("size"), F.explode(_shingles(F.col("w"), width)).alias("h")), "items")
     n_shingles = placed.count()
     item_counts = _counted(placed, ["item", "size"])
     item_prints = stage(_fingerprints(item_counts, ["item", "size"]), "items")
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), text_of(text_col).alias("t")).withColumn("th", F.xxhash64("t"))
-    hashed = rows.select("doc", "th", F.posexplode(_shingles(_word_hashes(F.col("t")), width)).alias("p", "h"))
-    starts = hashed.join(small(placed.select("h", "size", "q"), n_shingles, BROADCAST_SHINGLES), "h").select("doc", "th", "size", (F.col("p") - F.col("q")).alias("start")).distinct()
-    starts = stage(starts, "starts")
+    cut = rows.select("doc", "th", _shingles(_word_hashes(F.col("t")), width).alias("s")).withColumn("m", F.size("s"))
+    hashed = cut.select("doc", "th", "m", F.posexplode("s").alias("p", "h"))
+    shared = hashed.join(small(placed.select("h", "size").distinct(), n_shingles, BROADCAST_SHINGLES), "h")
+    starts = stage(_starts(shared, width, percent), "starts")
     held = starts.select("doc", "th").distinct()
     words = rows.join(small(held, held.count(), BROADCAST_DOCS), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("doc", "th", _word_hashes(F.col("t")).alias("w"))
-    # windows lie inside the document; a shorter document is one window
-    at = F.greatest(F.lit(0), F.least("start", F.size("w") - F.col("size")))
-    windows = words.join(starts, ["doc", "th"]).select("doc", "th", "size", at.alias("start"), F.slice("w", at + 1, F.col("size")).alias("w")).dropDuplicates(["doc", "th", "size", "start"])
+    windows = words.join(starts, ["doc", "th"]).select("doc", "th", "size", "start", F.slice("w", F.col("start") + 1, F.col("size")).alias("w"))
     key = ["doc", "th", "size", "start"]
     counted = stage(_counted(windows.select(*key, F.explode(_shingles(F.col("w"), width)).alias("h")), key), "windows")
     prints = _fingerprints(counted, key).select(*key, "n", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select(*key, "n", "fp", "b.*")
