@@ -44,7 +44,7 @@ def _shingles(words: Column, width: int) -> Column:
         runs = F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda k: F.xxhash64(*[F.get(h, k + j) for j in range(width)]))
         return F.when(F.size(h) >= width, runs).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-    return bind(words, of)
+    return bind(words, of)  # a run hashes as the array of its words does
 
 
 def _counted(df: DataFrame, by: list[str]) -> DataFrame:
@@ -96,7 +96,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Weights are multiplicities: similarity = sum of the shingles' smaller counts / sum of their larger counts, and
     percent / 100 of it or more is a leak. Null or empty texts hold and are nothing; items with fewer words than width
-    are one shingle; repeated rows count once; other columns are not read; empty tables give no rows.
+    are one shingle, and so are the windows of their size; repeated rows count once; other columns are not read; empty tables give no rows.
     """
     b = benchmark.select(F.col(item_col).cast("long").alias("item"), _word_hashes(text_of(item_text_col)).alias("w")).distinct().filter("size(w) > 0")
     placed = stage(b.select("item", F.size("w").alias("size"), F.explode(_shingles(F.col("w"), width)).alias("h")), "items")
@@ -105,9 +105,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     item_prints = stage(_fingerprints(item_counts, ["item", "size"]), "items")
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), text_of(text_col).alias("t")).withColumn("th", F.xxhash64("t"))
-    cut = rows.select("doc", "th", _shingles(_word_hashes(F.col("t")), width).alias("s")).withColumn("m", F.size("s"))
-    hashed = cut.select("doc", "th", "m", F.posexplode("s").alias("p", "h"))
-    shared = hashed.join(small(placed.select("h", "size").distinct(), n_shingles, BROADCAST_SHINGLES), "h")
+    # an item shorter than width meets runs of its own length
+    placed = placed.withColumn("k", F.least("size", F.lit(width)))
+    lengths = [r["k"] for r in placed.select("k").distinct().collect()]
+
+    def meet(k: int) -> DataFrame:
+        cut = rows.select("doc", "th", _shingles(_word_hashes(F.col("t")), k).alias("s")).withColumn("m", F.size("s"))
+        own = placed.filter(F.col("k") == k).select("h", "size").distinct()
+        return cut.select("doc", "th", "m", F.posexplode("s").alias("p", "h")).join(small(own, n_shingles, BROADCAST_SHINGLES), "h")
+
+    shared = reduce(DataFrame.unionByName, map(meet, lengths or [width]))
     starts = stage(_starts(shared, width, percent), "starts")
     held = starts.select("doc", "th").distinct()
     words = rows.join(small(held, held.count(), BROADCAST_DOCS), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("doc", "th", _word_hashes(F.col("t")).alias("w"))

@@ -61,3 +61,16 @@ def test_leaks_in_another_order_and_shorter_documents(spark):
     docs, bench = tables(spark, texts, items)
     got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in decontaminate.leak_report(docs, bench).collect()}
     assert got == want and {(8, 1), (12, 2), (16, 3)} <= set(want)
+
+
+def test_short_items_in_longer_documents(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randint(0, 60)}"
+    items = [[word() for _ in range(n)] for n in (1, 2, 3, 4, 4, 5, 9)]
+    texts = [items[2][:2], items[4], []]
+    for item in items * 2:
+        texts.append([word() for _ in range(rng.randint(0, 20))] + item + [word() for _ in range(rng.randint(0, 20))])
+    want = leaks(texts[:2], items) | {(d + 3, i): x for (d, i), x in leaks(texts[3:], items).items()}
+    docs, bench = tables(spark, texts, items)
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in decontaminate.leak_report(docs, bench).collect()}
+    assert got == want and {len(items[i]) for _, i in want} == {1, 2, 3, 4, 5, 9}
