@@ -6,7 +6,7 @@ similar to an item of that size than the number of its shingles that items of th
 so every window with enough of them is taken, and no other. Their fingerprints are looked up in an index of all items of
 that size: a fingerprint is cut into BLOCKS
 blocks, and an item is entered under every value within BLOCK_RADIUS bits of each of its blocks, so that every
-fingerprint within BLOCKS * (BLOCK_RADIUS + 1) - 1 bits meets it. Pairs within RADIUS are then compared exactly.
+fingerprint within RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1 bits meets it. Those pairs are then compared exactly.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from .common import BLANKS, ascii_lower, bind, drop_staged, small, stage, text_of
 
 WIDTH, PERCENT = 5, 80
-#: 63 bits in 9 blocks of 7; a radius of 20 lies over three deviations beyond what a similarity of 0.8 gives.
+#: 63 bits in 9 blocks of 7. The radius is all that the index is sure to meet; exact similarity decides within it.
 LANES, STEP = 3, 21
 BITS = LANES * STEP
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS, RADIUS = 9, 7, 2, 20
+BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 9, 7, 2
+RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Item shingles up to this count (a hash, an item and two places each) are broadcast; more are joined by shuffle.
 BROADCAST_SHINGLES = 2_000_000
 #: So are the keys of documents that share a shingle, 16 bytes each.

@@ -74,3 +74,11 @@ def test_short_items_in_longer_documents(spark):
     docs, bench = tables(spark, texts, items)
     got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in decontaminate.leak_report(docs, bench).collect()}
     assert got == want and {len(items[i]) for _, i in want} == {1, 2, 3, 4, 5, 9}
+
+
+def test_leaks_far_apart_in_bits(spark):
+    for seed in (134, 6635):  # similarity 0.8, and fingerprints 21 bits apart
+        rng = random.Random(seed)
+        item = [f"w{rng.randint(0, 10**6)}" for _ in range(19)]
+        docs, bench = tables(spark, [item[:16]], [item])
+        assert [r["similarity"] for r in decontaminate.leak_report(docs, bench).collect()] == [0.8]
