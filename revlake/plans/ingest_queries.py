@@ -13,6 +13,9 @@ from ..sources import pages
 from ..streaming import ingest
 from . import tables as t
 
+#: Requests on a page, about: those of a customer with more are dealt over several by their hash, as a forge cuts its pages.
+PAGE = 50
+
 
 def _place(spark: SparkSession, name: str) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="revlake-")
@@ -20,17 +23,20 @@ def _place(spark: SparkSession, name: str) -> str:
 
 
 def request_pages(spark: SparkSession, d: str) -> DataFrame:
-    """One page per customer with requests, as the wire has it: orders are requests, their line items reviews and files."""
+    """Pages of each customer with requests, as the wire has it: orders are requests, their line items reviews and files."""
     line = t.read(spark, d, "lineitem")
     actor = lambda c, bot: F.struct(F.concat(F.lit("Dev"), c.cast("string")).alias("login"), F.when(bot, "Bot").otherwise("User").alias("__typename"))
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     review = F.struct(F.concat_ws("-", F.lit("R"), "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("id"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("state"), F.lit("").alias("body"), iso("l_shipdate").alias("submittedAt"), actor(F.col("l_suppkey"), F.col("l_suppkey") % 9 == 0).alias("author"))
     file = F.struct(F.concat(F.lit("src/"), "l_partkey").alias("path"), F.col("l_quantity").cast("long").alias("additions"), F.lit(0).cast("long").alias("deletions"))
     held = line.groupBy("l_orderkey").agg(F.collect_list(review).alias("r"), F.collect_set(file).alias("f"))
-    o = t.read(spark, d, "orders").join(held, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = t.read(spark, d, "orders")
+    many = orders.groupBy("o_custkey").agg(F.ceil(F.count("*") / PAGE).alias("n_pages")).filter("n_pages > 1")
+    orders = orders.join(many, "o_custkey", "left").withColumn("page", F.pmod(F.xxhash64("o_orderkey"), F.coalesce("n_pages", F.lit(1))))
+    o = orders.join(held, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     created = F.when(F.col("o_orderkey") % 97 == 0, "not-a-timestamp").otherwise(iso("o_orderdate"))
     node = F.struct(F.col("o_orderkey").alias("number"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderstatus") == "F", "MERGED").alias("state"), created.alias("createdAt"), iso("o_orderdate").alias("updatedAt"), actor(F.col("o_custkey"), F.lit(False)).alias("author"), F.struct(F.col("r").alias("nodes")).alias("reviews"), F.struct(F.col("f").alias("nodes")).alias("files"))
-    by = o.groupBy("o_custkey").agg(F.collect_list(node).alias("nodes"))
+    by = o.groupBy("o_custkey", "page").agg(F.collect_list(node).alias("nodes"))
     repo = F.struct(F.concat(F.lit("Owner/Repo"), "o_custkey").alias("nameWithOwner"), F.lit(False).alias("isFork"), F.struct(F.col("nodes")).alias("pullRequests"))
     return by.select(F.struct(repo.alias("repository")).alias("data"))
 
