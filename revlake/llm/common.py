@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     global _own_dir
     if at := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return at
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="revlake-")
     return _own_dir
@@ -61,3 +67,31 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
 def bind(value: Column, body) -> Column:
     """body(value) with value computed once per row."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def text_slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[pa.Array]:
+    """Runs of about `most` bytes of a string array, so that what is made of a batch of long texts stays bounded."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        end = int(np.searchsorted(size, (size[begin - 1] if begin else 0) + most)) + 1
+        yield texts.slice(begin, end - begin)
+        begin = end
+
+
+class Words:
+    """The words [^\\x20\\x09-\\x0D]+ of each of some texts: different words once (known), and for each word its place among
+    them (at). ends holds where each text's words end in at."""
+
+    def __init__(self, texts: pa.Array, fold: bool = False):
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(texts) if fold else texts)
+        coded = pc.dictionary_encode(cut.flatten())
+        at, self.known = coded.indices.to_numpy(), coded.dictionary
+        ends = cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()
+        # a text that begins or ends with white space has an empty word there
+        if (none := pc.index(self.known, "").as_py()) >= 0:
+            real = at != none
+            ends = np.concatenate(([0], np.cumsum(real)))[ends]
+            at = at[real]
+        self.at, self.ends = at, ends
+        self.begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
