@@ -6,91 +6,144 @@ ascend. x holds hashed words and hashed word shapes, each as shares of the text'
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import Words, drop_staged, stage, text_of, text_slices
 from .toxicity import fold
 
-DIMS = 1 << 15
+DIMS, SHAPES = 1 << 15, 1024
 #: Words, shapes, then three shares of the whole text: its length, words like their predecessor (eightfold, 1 at most), different words.
-SIZE = DIMS + 1024 + 3
-#: At most so many graded rows are used to fit.
-FIT_ROWS = 12_000
-_SHAPE = str.maketrans({**{chr(c): "x" for c in range(97, 123)}, **{chr(c): "X" for c in range(65, 91)}, **{str(d): "0" for d in range(10)}})
-
-
-def _slots(word: str) -> tuple[int, int]:
-    """Slots of a word and of its shape (letters as x or X, digits as 0, runs shortened)."""
-    shape = word.translate(_SHAPE)
-    shape = "".join(a for a, b in zip(shape, " " + shape, strict=False) if a != b)[:12]
-    return zlib.crc32(word.lower().encode()) % DIMS, DIMS + zlib.crc32(shape.encode()) % 1024
+SIZE = DIMS + SHAPES + 3
+#: At most so many graded rows are used to fit, in so many partitions.
+FIT_ROWS, FIT_PARTS = 12_000, 8
+STEPS, RIDGE = 60, 3e-4
 
 
 class Hashed:
-    """Hashed vectors of texts; words met before are remembered, up to MOST_WORDS."""
-
-    MOST_WORDS = 300_000
-
-    def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
-
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = text.split()
-        counts: dict[int, float] = {}
-        if len(self.known) > self.MOST_WORDS:
-            self.known.clear()
-        for w, n in Counter(words).items():
-            slots = self.known.get(w)
-            if slots is None:
-                slots = self.known[w] = _slots(w)
-            for s in slots:
-                counts[s] = counts.get(s, 0) + n
-        n = max(len(words), 1)
-        at, share = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts)) / n
-        again = min(1.0, 8 * sum(map(str.__eq__, words, words[1:])) / n)
-        return np.append(at, range(DIMS + 1024, SIZE)), np.append(share, [math.log1p(n) / 10, again, len(set(words)) / n])
+    """Hashed vectors of some texts: a slot for each word and one for its shape (letters as x or X, digits as 0, in runs),
+    and the shares of each whole text."""
+
+    def __init__(self, texts: pa.Array):
+        self.words = w = Words(texts)
+        slot = np.array([zlib.crc32(x.encode()) for x in pc.ascii_lower(w.known).to_numpy(zero_copy_only=False)], np.int64) % DIMS
+        shapes = w.known
+        for run, sign in (("[a-z]+", "x"), ("[A-Z]+", "X"), ("[0-9]+", "0")):
+            shapes = pc.replace_substring_regex(shapes, run, sign)
+        shapes = pc.dictionary_encode(shapes)
+        kinds = np.array([DIMS + zlib.crc32(x[:12].encode()) % SHAPES for x in shapes.dictionary.to_pylist()], np.int64)
+        self.slots = np.stack([slot, kinds[shapes.indices.to_numpy()]]) if len(slot) else np.empty((2, 0), np.int64)
+        self.n = w.ends - w.begins
+        self.some = np.flatnonzero(self.n)
+        doc = np.repeat(np.arange(len(self.n)), self.n)
+        like = np.zeros(len(w.at))
+        like[1:] = (w.at[1:] == w.at[:-1]) & (doc[1:] == doc[:-1])
+        kinds = np.bincount(np.unique(doc * max(len(w.known), 1) + w.at) // max(len(w.known), 1), minlength=len(self.n))
+        least = np.maximum(self.n, 1)
+        self.whole = np.stack([np.log1p(least) / 10, np.minimum(1, 8 * self.sums(like) / least), kinds / least], 1)
+
+    def sums(self, of_word: np.ndarray) -> np.ndarray:
+        """Sums over the words of each text."""
+        out = np.zeros(len(self.n))
+        if len(self.some):
+            out[self.some] = np.add.reduceat(of_word, self.words.begins[self.some])
+        return out
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        of_word = w[self.slots].sum(0)[self.words.at] if len(self.words.at) else np.zeros(0)
+        return self.sums(of_word) / np.maximum(self.n, 1) + self.whole @ w[-3:]
+
+    def vectors(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Slots and shares of each text."""
+        for a, b, n, whole in zip(self.words.begins, self.words.ends, np.maximum(self.n, 1), self.whole, strict=True):
+            at, count = np.unique(self.slots[:, self.words.at[a:b]], return_counts=True)
+            yield np.append(at, range(SIZE - 3, SIZE)), np.append(count / n, whole)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, steps: int = 250, rate: float = 0.05, ridge: float = 3e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds (n_grades - 1) by Adam on the mean negative log likelihood."""
-    size = SIZE
-    row = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
-    col, val = np.concatenate([a for a, _ in rows]), np.concatenate([b for _, b in rows])
+def _over(fit: DataFrame, of: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """of(grades, row, slot, share) summed over the fitting rows: one array from each partition reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            sizes = np.diff(batch["slots"].offsets.to_numpy())
+            total = total + of(batch["y"].to_numpy(), np.repeat(np.arange(len(batch)), sizes), batch["slots"].flatten().to_numpy(), batch["shares"].flatten().to_numpy())
+        if isinstance(total, np.ndarray):
+            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    return sum(np.frombuffer(r["sums"]) for r in fit.mapInArrow(run, "sums binary").collect())
+
+
+def fit_ordinal(fit: DataFrame, n_grades: int, steps: int = STEPS, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds (n_grades - 1) from fit (y, slots, shares), by limited-memory BFGS on the mean
+    negative log likelihood. Tasks sum the gradients of their rows; the driver holds a few vectors of the model's size."""
+    ends = n_grades - 1
+    counts = _over(fit, lambda y, row, col, val: np.concatenate((np.bincount(y, minlength=n_grades), np.bincount(col, val.astype(float) ** 2, SIZE))))
+    n = counts[:n_grades].sum()
     # rarer slots are raised, so that the text's telling words move as fast as its common ones
-    scale = 1 / np.sqrt(np.bincount(col, val**2, size) / len(rows) + 1e-5)
-    val = val * scale[col]
-    share = np.array([(grades > k).mean() for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
-    theta0 = -np.log(share / (1 - share))
-    p = np.concatenate([np.zeros(size), theta0[:1], np.log(np.maximum(np.diff(theta0), 1e-2))])
-    m, v = np.zeros_like(p), np.zeros_like(p)
-    lower, upper = np.maximum(grades - 1, 0), np.minimum(grades, n_grades - 2)
-    for t in range(1, steps + 1):
-        theta = np.cumsum(np.concatenate([p[size : size + 1], np.exp(p[size + 1 :])]))
-        s = np.bincount(row, val * p[col], len(rows))
-        hi = np.where(grades == n_grades - 1, 1.0, _sigmoid(theta[upper] - s))
-        lo = np.where(grades == 0, 0.0, _sigmoid(theta[lower] - s))
-        like = np.maximum(hi - lo, 1e-9)
-        dhi, dlo = hi * (1 - hi) / like, lo * (1 - lo) / like
-        g = np.zeros_like(p)
-        g[:size] = np.bincount(col, val * ((dhi - dlo) / len(rows))[row], size) + ridge * p[:size]
-        dtheta = np.bincount(upper, -dhi * (grades < n_grades - 1), n_grades - 1) + np.bincount(lower, dlo * (grades > 0), n_grades - 1)
-        tail = np.cumsum(dtheta[::-1])[::-1] / len(rows)
-        g[size], g[size + 1 :] = tail[0], tail[1:] * np.exp(p[size + 1 :])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
-        p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return p[:size] * scale, np.cumsum(np.concatenate([p[size : size + 1], np.exp(p[size + 1 :])]))
+    scale = 1 / np.sqrt(counts[n_grades:] / n + 1e-5)
+    share = (1 - np.cumsum(counts[:ends]) / n).clip(1e-3, 1 - 1e-3)
+    first = -np.log(share / (1 - share))
+    p = np.concatenate([np.zeros(SIZE), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
+
+    def thresholds(p: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.concatenate([p[SIZE : SIZE + 1], np.exp(p[SIZE + 1 :])]))
+
+    def value(p: np.ndarray) -> tuple[float, np.ndarray]:
+        w, theta = p[:SIZE] * scale, thresholds(p)
+
+        def part(y: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarray) -> np.ndarray:
+            upper, lower = np.minimum(y, ends - 1), np.maximum(y - 1, 0)
+            s = np.bincount(row, val * w[col], len(y))
+            hi = np.where(y == ends, 1.0, _sigmoid(theta[upper] - s))
+            lo = np.where(y == 0, 0.0, _sigmoid(theta[lower] - s))
+            like = np.maximum(hi - lo, 1e-9)
+            dhi, dlo = hi * (1 - hi) / like, lo * (1 - lo) / like
+            dtheta = np.bincount(upper, -dhi * (y < ends), ends) + np.bincount(lower, dlo * (y > 0), ends)
+            return np.concatenate(([-np.log(like).sum()], np.bincount(col, val * (dhi - dlo)[row], SIZE), dtheta))
+
+        sums = _over(fit, part) / n
+        tail = np.cumsum(sums[1 + SIZE :][::-1])[::-1]
+        g = np.concatenate((sums[1 : 1 + SIZE] * scale + ridge * p[:SIZE], tail[:1], tail[1:] * np.exp(p[SIZE + 1 :])))
+        return sums[0] + ridge / 2 * (p[:SIZE] ** 2).sum(), g
+
+    f, g = value(p)
+    memory: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        way, kept = -g, []
+        for s, y in reversed(memory):
+            kept.append(a := s @ way / (s @ y))
+            way = way - a * y
+        if memory:
+            s, y = memory[-1]
+            way = way * (s @ y) / (y @ y)
+        for (s, y), a in zip(memory, reversed(kept), strict=True):
+            way = way + s * (a - y @ way / (s @ y))
+        rate = 1.0 if memory else min(1.0, 1 / np.abs(g).sum())
+        while True:
+            f2, g2 = value(p + rate * way)
+            if f2 <= f + 1e-4 * rate * (g @ way) or rate < 1e-4:
+                break
+            rate /= 3
+        s, y = rate * way, g2 - g
+        if s @ y > 1e-12:
+            memory = [*memory[-7:], (s, y)]
+        p, done = p + s, f - f2 < 1e-5 * abs(f)
+        f, g = f2, g2
+        if done:
+            break
+    return p[:SIZE] * scale, thresholds(p)
 
 
 def grade_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", n_grades: int = 2, at_least: int = 1, keep_from: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -104,29 +157,26 @@ def grade_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", t
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
 
-    @F.pandas_udf("array<int>")
-    def slots(texts: pd.Series) -> pd.Series:
-        own = Hashed()
-        return pd.Series([own.vector(t)[0] for t in texts])
-
-    @F.pandas_udf("array<double>")
-    def shares(texts: pd.Series) -> pd.Series:
-        own = Hashed()
-        return pd.Series([own.vector(t)[1] for t in texts])
-
-    # fit_rows bounds what is broadcast and collected
-    fit = rows.select("id", "text").join(F.broadcast(known), "id").dropDuplicates(["id"]).select("y", slots("text").alias("a"), shares("text").alias("b")).collect()
-    if fit:
-        w, theta = fit_ordinal([(np.array(r["a"], np.int64), np.array(r["b"])) for r in fit], np.array([r["y"] for r in fit]), n_grades)
-    else:
-        w, theta = np.zeros(SIZE), np.zeros(n_grades - 1)
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in text_slices(batch["text"]):
+                both = list(Hashed(texts).vectors())
+                yield pa.record_batch([batch["y"].slice(at, len(texts)), pa.array([x for x, _ in both], pa.list_(pa.int32())), pa.array([x for _, x in both], pa.list_(pa.float32()))], names=["y", "slots", "shares"])
+                at += len(texts)
+
+    # fit_rows bounds what is broadcast and what fits
+    fit = rows.select("id", "text").join(F.broadcast(known), "id").dropDuplicates(["id"]).select("y", "text").mapInArrow(vectors, "y int, slots array<int>, shares array<float>")
+    fit = stage(fit.repartition(FIT_PARTS), "quality-fit")
+    w, theta = fit_ordinal(fit, n_grades) if fit.count() else (np.zeros(SIZE), np.zeros(n_grades - 1))
+    drop_staged(fit)
     model = docs.sparkSession.sparkContext.broadcast((w, theta))
 
     @F.pandas_udf("expected double, tail double")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own, (w, theta) = Hashed(), model.value
+        w, theta = model.value
         for texts in parts:
-            s = np.array([w[a] @ b for a, b in map(own.vector, texts)])
+            s = np.concatenate([np.empty(0), *(Hashed(x).scores(w) for x in text_slices(pa.array(texts, pa.string())))])
             above = _sigmoid(s[:, None] - theta)
             yield pd.DataFrame({"expected": above.sum(1), "tail": above[:, at_least - 1]})
 
