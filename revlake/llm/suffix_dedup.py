@@ -4,11 +4,11 @@
    whose anchors stand nowhere else holds no repeat and is done. An anchor's context is the union of its windows.
 2. Equal contexts are one class: all windows of a class of two or more are repeats, and one context speaks for it.
 3. Different contexts under one anchor are compared by their Burrows-Wheeler transforms: contexts are dealt by anchor,
-   each task sorts the suffixes of small shards, and shard transforms are merged by refining their interleave a symbol at
-   a time. A block that is still whole after NEED symbols is a repeated interval (its common prefix is NEED or longer);
-   entries alone in their block are settled and leave. Suffixes of different shards are never sorted together.
-4. Anchors with more than HOT classes are split further: by groups of BAND window places whose common core stands
-   elsewhere, then by window, counted by digest with partial sums, so that no task holds such an anchor's contexts.
+   each task sorts the suffixes of small shards, and the shards' orders are merged by refining their interleave to twice
+   the depth at a time. A block that is still shared at NEED symbols is a repeated interval (its common prefix is NEED or
+   longer); entries alone in their block are settled and leave. Suffixes of different shards are never sorted together.
+4. Anchors with more than HOT classes are split further, so that no task holds such an anchor's contexts: by bands of BAND
+   window places that repeat whole, then by window, counted by digest with partial sums.
 """
 
 from __future__ import annotations
@@ -21,17 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, small, stage, text_of
+from .common import drop_staged, stage, text_of
 
-NEED, GRAM = 400, 64
-HOT, BAND = 512, 16
+NEED, GRAM = 400, 200
+HOT, BAND = 1024, 16
 SHARD_BYTES, TASK_BYTES = 1 << 17, 1 << 20
-#: Symbols that one refining step takes at most.
-STRIDE = 16
+#: Symbols that a shard's first sort and the first interleave compare.
+DEPTH = 8
 #: Longer texts are scanned in pieces of this many window starts.
-PIECE = 1 << 22
-#: Anchors with many contexts, 8 bytes each, are broadcast up to this count; more are joined by shuffle.
-BROADCAST_ROWS = 300_000
+PIECE = 1 << 20
 _NULL_ID = -(2**63)
 
 _BASES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
@@ -82,53 +80,67 @@ def anchors(data: np.ndarray, need: int, gram: int) -> dict[str, np.ndarray]:
 
 
 class Shard:
-    """The transform of a few strings: symbol before each sorted suffix, and where that longer suffix stands (lf)."""
+    """The sorted suffixes of a few strings, as their Burrows-Wheeler transform orders them: place of each, key (its first
+    DEPTH symbols) and inner (no end among these). ahead() steps from a suffix to shorter ones, as the transform's inverse
+    does."""
 
     def __init__(self, strings: list[bytes]):
-        t = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8).astype(np.int64)
-        ends = np.flatnonzero(t == 255)  # no byte of UTF-8
+        t = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)  # no byte of UTF-8
         n = len(t)
-        rank = t + len(ends)
-        rank[ends] = np.arange(len(ends))
-        step = 1
-        while True:
-            ahead = np.zeros(n, np.int64)
-            ahead[:-step] = rank[step:] + 1 if step < n else 0
-            key = rank * (n + len(ends) + 257) + ahead
-            order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-            if rank[order[-1]] == n - 1 or step >= n:
-                break
+        code = np.where(t == 255, 0, t.astype(np.uint64) + np.uint64(1))
+        # eight symbols at once; an end is the least symbol, and nothing follows it
+        key, inner, step = code, code > 0, 1
+        while step < DEPTH:
+            ahead = np.zeros(n, np.uint64)
+            ahead[:-step] = key[step:]
+            key = key << np.uint64(8 * step) | np.where(inner, ahead, np.uint64(0))
+            inner[:-step] &= inner[step:].copy()
+            inner[-step:] = False
             step *= 2
-        self.place = order
-        symbol = np.where(t == 255, 0, t + 1).astype(np.uint8)
-        self.symbol = symbol[order - 1]
-        self.symbol[np.isin(order, np.concatenate(([0], ends[:-1] + 1)))] = 0
-        self.lf = np.empty(n, np.int64)
-        self.lf[np.argsort(self.symbol, kind="stable")] = np.arange(n)
-
-
-def _refine(ids: np.ndarray, block: np.ndarray, code: np.ndarray, lf: np.ndarray, dead: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries (in interleaved order, by block of equal prefixes) after so many steps; settled ones have left. dead marks
-    steps that would leave a string."""
-    for _ in range(steps):
-        alive = ~dead[ids]
-        ids, block = ids[alive], block[alive]
-        if not len(ids):
-            break
-        before = code[ids]
-        order = np.argsort(before, kind="stable")
-        ids, block, before = lf[ids[order]], block[order], before[order]
-        cut = np.concatenate(([True], (before[1:] != before[:-1]) | (block[1:] != block[:-1]), [True]))
-        keep = ~(cut[:-1] & cut[1:])
-        ids, block = ids[keep], np.cumsum(cut[:-1])[keep]
-    return ids, block
+        whole = inner.copy()
+        order = np.argsort(key)
+        first = np.concatenate(([True], key[order[1:]] != key[order[:-1]]))
+        slots, rank = np.arange(n), np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(first, slots, 0))
+        open_ = ~(first & np.append(first[1:], True))
+        while len(slots := slots[open_]):  # only suffixes that equal others so far are sorted on
+            at = order[slots]
+            # ends differ by their string; what has no end within so many symbols goes by the symbols behind them
+            by = rank[at] << 32 | np.where(inner[at], rank[np.minimum(at + step, n - 1)], at)
+            own = np.argsort(by)
+            at, by = at[own], by[own]
+            first = np.concatenate(([True], by[1:] != by[:-1]))
+            order[slots] = at
+            rank[at] = np.maximum.accumulate(np.where(first, slots, 0))
+            open_ = ~(first & np.append(first[1:], True))
+            inner[at] = True
+            step *= 2
+        self.place, self.rank, self.key, self.inner = order, rank, key[order], whole[order]
+
+    def ahead(self, d: int) -> np.ndarray:
+        """Where the suffix stands that begins d symbols later (the last one, if none does)."""
+        return self.rank[np.minimum(self.place + d, len(self.place) - 1)]
+
+
+def _interleave(of: np.ndarray, high: np.ndarray, low: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of equal (high, low) among the entries of, which each shard holds in order, so that sorting merges them:
+    block numbers in merged order, and whether an entry shares its block; entries alone are settled."""
+    key = high if low is None else high << 32 | low
+    order = np.argsort(key, kind="stable")
+    at, key = of[order], key[order]
+    first = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+    block, shared = np.zeros(n, np.int64), np.zeros(n, bool)
+    block[at] = np.cumsum(first)
+    shared[at] = ~(first & np.append(first[1:], True)[: len(key)])
+    return block, shared
 
 
 def merge_repeats(strings: list[bytes], need: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """For each string the places where a run of need bytes starts that also starts elsewhere in the strings."""
+    """For each string the places where a run of need bytes (DEPTH or more) starts that also starts elsewhere in them.
+
+    The interleave of the shards' suffixes is refined to twice the depth by merging each shard's order of (block of the
+    suffix, block of the one so many symbols later). Blocks left at need symbols have a common prefix of that length.
+    """
     shards, owner, part, size = [], [], [], 0
     for k, s in enumerate(strings):
         part.append(k)
@@ -138,20 +150,19 @@ def merge_repeats(strings: list[bytes], need: int, shard_bytes: int = SHARD_BYTE
             owner.append(part)
             part, size = [], 0
     bases = np.concatenate(([0], np.cumsum([len(s.place) for s in shards])))
-    symbol = np.concatenate([s.symbol for s in shards])
-    lf = np.concatenate([s.lf + b for s, b in zip(shards, bases, strict=False)])
-    ids, block = np.arange(len(symbol)), np.zeros(len(symbol), np.int64)
-    ids, block = _refine(ids, block, symbol, lf, symbol == 0, need % STRIDE)
-    code, dead, stride = symbol, symbol == 0, 1
-    while stride < STRIDE:  # a step of so many symbols at once, where their runs are few enough to sort by counting
-        runs, wider = np.unique(code[lf].astype(np.int64) << 16 | code, return_inverse=True)
-        if len(runs) > 1 << 16:
-            break
-        code, dead, lf, stride = wider.astype(np.uint16), dead | dead[lf], lf[lf], 2 * stride
-    ids, block = _refine(ids, block, code, lf, dead, need // STRIDE * (STRIDE // stride))
+    n = int(bases[-1])
+    of = np.flatnonzero(np.concatenate([s.inner for s in shards]))
+    block, shared = _interleave(of, np.concatenate([s.key for s in shards])[of], None, n)
+    depth = DEPTH
+    while depth < need:
+        step = min(depth, need - depth)
+        ahead = np.concatenate([s.ahead(step) + b for s, b in zip(shards, bases, strict=False)])
+        of = np.flatnonzero(shared & shared[ahead])
+        block, shared = _interleave(of, block[of], block[ahead[of]], n)
+        depth += step
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(strings)
     for shard, mine, base, end in zip(shards, owner, bases, bases[1:], strict=False):
-        at = np.sort(shard.place[ids[(ids >= base) & (ids < end)] - base])
+        at = np.sort(shard.place[shared[base:end]])
         begins = np.concatenate(([0], np.cumsum([len(strings[k]) + 1 for k in mine])))
         for k, a, b in zip(mine, begins, begins[1:], strict=False):
             out[k] = at[np.searchsorted(at, a) : np.searchsorted(at, b)] - a
@@ -218,32 +229,45 @@ def _by_transform(bodies: DataFrame, need: int) -> DataFrame:
 
 
 def _by_digest(bodies: DataFrame, need: int) -> DataFrame:
-    """The same for contexts under very common anchors: cores of BAND places first, then single windows."""
+    """The same for contexts under very common anchors: bands of BAND places that repeat whole, then the single windows of
+    other bands whose core repeats."""
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, cid, off, body in zip(*(batch[c].to_pylist() for c in ("h", "cid", "off", "body")), strict=True):
-                d = Digests(np.frombuffer(body, np.uint8), _BASES[0])
+                one, two = (Digests(np.frombuffer(body, np.uint8), b) for b in _BASES)
                 bands = np.arange(max(0, off - (len(body) - need)) // BAND, off // BAND + 1)
-                begin, end = off - bands * BAND, off - bands * BAND - BAND + 1 + need
-                yield pa.record_batch({"h": pa.array([h] * len(bands), pa.int64()), "cid": pa.array([cid] * len(bands), pa.int64()), "band": pa.array(bands), "d": pa.array(d.of(np.maximum(begin, 0), np.minimum(end, len(body))).view(np.int64))})
+                last = off - bands * BAND
+                first = last - BAND + 1
+                inside = (first >= 0) & (last + need <= len(body))
+                core = one.of(np.clip(last, 0, None), np.minimum(first + need, len(body)))
+                span = np.clip(first, 0, None), np.minimum(last + need, len(body))
+                cols = {"band": bands, "d": core.view(np.int64), "f1": one.of(*span).view(np.int64), "f2": two.of(*span).view(np.int64), "first": first, "last": last}
+                n = len(bands)
+                yield pa.record_batch({"h": pa.array([h] * n, pa.int64()), "cid": pa.array([cid] * n, pa.int64()), **{k: pa.array(v, mask=~inside if k == "f1" else None) for k, v in cols.items()}})
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, cid, off, body, bands in zip(*(batch[c].to_pylist() for c in ("h", "cid", "off", "body", "bands")), strict=True):
                 data = np.frombuffer(body, np.uint8)
-                places = (np.array(bands)[:, None] * BAND + np.arange(BAND)).ravel()
-                start = off - places[(places <= off) & (off - places + need <= len(body))]
+                places = (np.array([x["band"] for x in bands])[:, None] * BAND + np.arange(BAND)).ravel()
+                real = (places <= off) & (off - places + need <= len(body))
+                start = off - places[real]
                 one, two = (Digests(data, b).of(start, start + need).view(np.int64) for b in _BASES)
+                done = np.repeat([x["done"] for x in bands], BAND)[real]
                 n = len(start)
-                yield pa.record_batch({"h": pa.array([h] * n, pa.int64()), "cid": pa.array([cid] * n, pa.int64()), "start": pa.array(start), "place": pa.array(off - start), "w1": pa.array(one), "w2": pa.array(two)})
-
-    c = stage(bodies.mapInArrow(cores, "h long, cid long, band long, d long"), "cores")
-    again = c.groupBy("h", "band", "d").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    left = c.join(again.hint("merge"), ["h", "band", "d"]).groupBy("cid").agg(F.collect_list("band").alias("bands"))
-    w = stage(bodies.join(left, "cid").select("h", "cid", "off", "body", "bands").mapInArrow(windows, "h long, cid long, start long, place long, w1 long, w2 long"), "windows")
+                yield pa.record_batch({"h": pa.array([h] * n, pa.int64()), "cid": pa.array([cid] * n, pa.int64()), "start": pa.array(start), "place": pa.array(off - start), "w1": pa.array(one), "w2": pa.array(two), "done": pa.array(done)})
+
+    whole = ["h", "band", "f1", "f2"]
+    c = stage(bodies.mapInArrow(cores, "h long, cid long, band long, d long, f1 long, f2 long, first long, last long"), "cores")
+    twice = c.filter("f1 IS NOT NULL").groupBy(*whole).agg(F.count("*").alias("n")).filter("n > 1")
+    c = stage(c.join(twice.hint("merge"), whole, "left").withColumn("done", F.col("n").isNotNull()), "cores")
+    again = c.groupBy("h", "band", "d").agg(F.count("*").alias("k"), F.count_if(~F.col("done")).alias("open")).filter("k > 1 AND open > 0").select("h", "band", "d")
+    left = c.join(again.hint("merge"), ["h", "band", "d"]).groupBy("cid").agg(F.collect_list(F.struct("band", "done")).alias("bands"))
+    w = stage(bodies.join(left, "cid").select("h", "cid", "off", "body", "bands").mapInArrow(windows, "h long, cid long, start long, place long, w1 long, w2 long, done boolean"), "windows")
     same = w.groupBy("h", "place", "w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return w.join(same.hint("merge"), ["h", "place", "w1", "w2"]).select("cid", F.col("start").alias("first"), F.col("start").alias("last"))
+    single = w.filter("NOT done").join(same.hint("merge"), ["h", "place", "w1", "w2"])
+    return c.filter("done").select("cid", "first", "last").unionByName(single.select("cid", F.col("start").alias("first"), F.col("start").alias("last")))
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", need: int = NEED, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -261,10 +285,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = stage(classes.join(crowd.hint("merge"), "h").select("cid", "h", "k", "doc", "th", "p", "lo", "hi", "n"), "contexts")
     bodies = stage(_bodies(rows, reps, need), "bodies")
     common = reps.filter(F.col("k") > hot).select("h").distinct()
-    n_common = common.count()
-    found = _by_transform(bodies.join(small(common, n_common, BROADCAST_ROWS), "h", "left_anti"), need)
-    if n_common:
-        found = found.unionByName(_by_digest(stage(bodies.join(small(common, n_common, BROADCAST_ROWS), "h", "left_semi"), "bodies"), need))
+    found = _by_transform(bodies.join(common.hint("merge"), "h", "left_anti"), need)
+    found = found.unionByName(_by_digest(stage(bodies.join(common.hint("merge"), "h", "left_semi"), "bodies"), need))
     # classes of two or more are covered already
     part = found.join(reps.filter("n = 1").select("cid", "doc", "th", "lo"), "cid").select("doc", "th", (F.col("lo") + F.col("first")).alias("begin"), (F.col("lo") + F.col("last") + need).alias("end"))
     out = stage(whole.unionByName(part), "ranges")
