@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
-from .tokens import END_ID, small_batches, word_tokenizer
+from .common import stage, text_of, text_slices
+from .tokens import END_ID, word_tokenizer
 
 CAPACITY = 2048
 
@@ -141,10 +142,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
         tok, end = word_tokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for s in small_batches(texts):
+            names = iter(batch.column(0).to_pylist())
+            for texts in text_slices(batch.column(1)):
                 rows = []
-                for name, run in zip(names[s], tok.encode(texts[s]), strict=True):
+                for name, run in zip(islice(names, len(texts)), tok.encode(texts), strict=True):
                     run, n, start = memoryview(run + end), len(run) // 4 + 1, 0
                     size = n % capacity or capacity
                     for piece in range(-(-n // capacity)):

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, text_slices
 
 END_ID = 0
 #: A shard closes at this many ids or documents; one longer document makes one longer shard.
@@ -25,78 +27,83 @@ class WordTokenizer:
     """Ids of a text under a byte-level BPE of the tokenizers library, as little-endian uint32 bytes.
 
     Such a tokenizer cuts a text before it merges: always before a blank or line feed that follows other characters than
-    white space, and between letters and a mark. So a text is cut there, and each distinct word (with its blank, or with
-    its line feed) and each run of marks after a word goes through the tokenizer once while it is remembered. Texts with
-    other runs of white space, or with the strings of special tokens, are encoded whole. The memory is bounded by MOST_WORDS entries.
+    white space, and between letters and a mark. So a text is cut there, and each different word of a batch (with its
+    blank, or with its line feed) and each run of marks after a word goes through the tokenizer once while it is
+    remembered. Texts with other runs of white space, or with the strings of special tokens, are encoded whole. The
+    memory is bounded by MOST_WORDS entries.
     """
 
-    MOST_WORDS = 700_000
+    MOST_WORDS = 200_000
     BULK = 4_000
-    #: White space but the blank and the line feed, looked for first.
+    #: White space but the blank and the line feed. Cut texts must hold neither these nor these runs.
     SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
-    #: Runs that a cut text must not hold.
     RUNS = ("  ", " \n", "\n ", "\n\n\n")
-    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Stands before the first word of a text, which has no blank; texts with it are encoded whole.
+    FIRST = "\x00"
+    #: A word of letters, and the marks after it.
+    MARKED = r"^(?P<stem>[\n\x00]?\pL*[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])(?P<tail>[!-/:-@\[-`{-~]+)$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.odd = "|".join([*map(re.escape, (*self.RUNS, *special)), f"[{''.join(self.SPACES)}{self.FIRST}]", "^ ", " $", "\\n\\n$"])
+        self.stems: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         vocab = self.tok.get_vocab()
         self.starts = np.zeros(max(vocab.values(), default=0) + 1, bool)
         for token, k in vocab.items():
             self.starts[k] = token[:1] in ("Ġ", "Ċ")  # the alphabet's signs for the blank and the line feed
 
-    def odd(self, text: str) -> bool:
-        """Whether a text must be encoded whole."""
-        has = text.__contains__
-        return any(map(has, self.SPACES)) or any(map(has, self.RUNS)) or any(map(has, self.special)) or text[:1] == " " or text[-1:] == " " or text[-2:] == "\n\n"
-
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> Iterator[bytes]:
         """Words are encoded in one run, cut again where a token begins with a blank or line feed."""
-        ended, plain = [], set()
-        for w in new:
-            stem = w.rstrip(self.MARKS)
-            if len(stem) < len(w) and stem[-1:] < "\u0250" and (stem[1:] if stem[:1] == "\n" else stem).isalpha():
-                ended.append((w, stem, w[len(stem) :]))
-                plain.add(stem)
-            else:
-                plain.add(w)
-        plain = list(plain.difference(self.words))
-        for k in range(0, len(plain), self.BULK):
-            part = plain[k : k + self.BULK]
-            texts = [w if w[:1] == "\n" else " " + w for w in part]
-            ids = np.array(self.tok.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(self.starts[ids])
-            if len(at) == len(part) and "\n" not in part:
+        for k in range(0, len(new), self.BULK):
+            part = new[k : k + self.BULK]
+            own = [w[1:] if w[:1] == self.FIRST else w if w[:1] == "\n" else " " + w for w in part]
+            at = []
+            if all(w[:1] == " " for w in own) and "\n" not in part:
+                ids = np.array(self.tok.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, "<u4")
+                at = np.flatnonzero(self.starts[ids])
+            if len(at) == len(part):
                 raw, ends = ids.tobytes(), (np.append(at, len(ids)) * 4).tolist()
-                self.words.update({w: raw[a:b] for w, a, b in zip(part, ends, ends[1:], strict=False)})
+                yield from [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
             else:
-                self.words.update(zip(part, self.whole(texts), strict=True))
-        if tails := list({t for _, _, t in ended}.difference(self.tails)):
-            if len(self.tails) > 50_000:
-                self.tails.clear()
-                tails = list({t for _, _, t in ended})
-            self.tails.update(zip(tails, self.whole(tails), strict=True))
-        words, ends = self.words, self.tails
-        words.update({w: words[stem] + ends[t] for w, stem, t in ended})
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.odd(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        if len(self.words) > self.MOST_WORDS:  # words met early are mostly the frequent ones
-            self.words = dict(islice(self.words.items(), self.MOST_WORDS // 2))
-        if new := set().union(*(c[1:] for c in cut if c)).difference(self.words):
-            self._learn(new)
-        first = iter(self.whole([t if c is None else c[0] for t, c in zip(texts, cut, strict=True)]))
-        get = self.words.__getitem__
-        return [next(first) if c is None else next(first) + b"".join(map(get, c[1:])) for c in cut]
+                yield from self.whole(own)
+
+    def _of(self, words: pa.Array, known: dict[str, bytes], learn: Callable[[list[str]], Iterable[bytes]], most: int) -> tuple[pa.Array, dict[str, bytes]]:
+        """The ids of words, through what is known, and what is known then."""
+        coded = pc.dictionary_encode(words)
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(known) > most:  # words met early are mostly the frequent ones
+            known = dict(islice(known.items(), most * 3 // 4))
+        if new := [w for w in names if w not in known]:
+            new.sort(key=lambda w: w[:1] in "\n\x00")
+            known.update(zip(new, learn(new), strict=True))
+        return pa.array(map(known.__getitem__, names), pa.large_binary()).take(coded.indices), known
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(texts, self.odd)
+        cut = pc.split_pattern(pc.binary_join_element_wise(self.FIRST, pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n"), ""), " ")
+        coded = pc.dictionary_encode(cut.flatten())
+        words = coded.dictionary
+        marked = pc.extract_regex(words, self.MARKED)
+        stems, self.stems = self._of(pc.coalesce(pc.struct_field(marked, "stem"), words), self.stems, self._learn, self.MOST_WORDS)
+        tails, self.tails = self._of(pc.coalesce(pc.struct_field(marked, "tail"), ""), self.tails, self.whole, self.MOST_WORDS // 4)
+        ids = pc.binary_join_element_wise(stems, tails, pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        # the ids of consecutive words lie next to each other
+        run = iter(())
+        if len(cut):
+            ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset + cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+            raw = memoryview(ids.buffers()[2] or b"")
+            run = iter([bytes(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False)])
+        rest = iter(self.whole(texts.filter(odd).to_pylist()))
+        return [next(rest if x else run) for x in odd.to_pylist()]
 
 
 @lru_cache(1)
@@ -105,18 +112,6 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def small_batches(texts: list[str], most: int = 4 << 20) -> Iterator[slice]:
-    """Slices of about `most` characters, so that a batch of long texts is not held encoded at once."""
-    begin = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield slice(begin, k + 1)
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield slice(begin, len(texts))
-
-
 class EliasFano:
     """Non-decreasing integers v[0..n) up to u in about n * (2 + log2(u / n)) bits.
 
@@ -163,36 +158,42 @@ class EliasFano:
         return (ones - np.arange(self.n) << self.l) + self._lows(0, self.n)
 
 
-_SHARD = "part int, seq int, n_docs long, n_ids long, doc_ids array<bigint>, ids binary, ef_l int, ef_low binary, ef_high binary, ef_sample binary"
+_CODED = "struct<n: int, l: int, low: binary, high: binary, sample: binary>"
+_SHARD = f"part int, seq int, n_docs long, n_ids long, n_null long, first_id long, doc_ids {_CODED}, ids binary, ends {_CODED}"
 
 
 def write_shards(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Write the ids of all texts, in ascending id order, as shards under out.
 
-    Format: a Parquet folder; one row is a shard: part and seq (its place), n_docs, n_ids, doc_ids, ids (one run of
-    little-endian uint32, each document closed by end_id) and the documents' ends in ids as Elias-Fano: ef_l, ef_low,
-    ef_high, ef_sample. A null text is empty and has the end id alone; null ids come first; rows with equal ids follow
-    each other by text. An empty table gives no shards.
+    Format: a Parquet folder; one row is a shard: part and seq (its place), n_docs, n_ids, ids (one run of little-endian
+    uint32, each document closed by end_id), and two Elias-Fano codes: ends, where the documents end in ids, and doc_ids,
+    their ids less first_id; the first n_null documents have no id. A null text is empty and has the end id alone; null
+    ids come first; rows with equal ids follow each other by text. An empty table gives no shards.
     """
 
+    def coded(values: list[int]) -> dict:
+        ef = EliasFano.encode(np.array(values, np.int64))
+        return {"n": ef.n, "l": ef.l, "low": ef.low, "high": ef.high, "sample": ef.sample}
+
     def close(part: int, seq: int, names: list, runs: list[bytes], ends: list[int]) -> pa.RecordBatch:
-        ef = EliasFano.encode(np.array(ends, np.int64))
-        row = {"part": part, "seq": seq, "n_docs": len(names), "n_ids": ends[-1], "doc_ids": names, "ids": b"".join(runs), "ef_l": ef.l, "ef_low": ef.low, "ef_high": ef.high, "ef_sample": ef.sample}
+        real = [x for x in names if x is not None]
+        row = {"part": part, "seq": seq, "n_docs": len(names), "n_ids": ends[-1], "n_null": len(names) - len(real), "first_id": real[0] if real else None, "doc_ids": coded([x - real[0] for x in real]), "ids": b"".join(runs), "ends": coded(ends)}
         return pa.RecordBatch.from_pylist([row], _SHARD_ARROW)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = word_tokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
         part, seq, names, runs, ends = TaskContext.get().partitionId(), 0, [], [], []
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for s in small_batches(texts):
-                for name, run in zip(ids[s], tok.encode(texts[s]), strict=True):
+            ids = iter(batch.column(0).to_pylist())
+            for texts in text_slices(batch.column(1)):
+                for name, run in zip(islice(ids, len(texts)), tok.encode(texts), strict=True):
+                    far = names and name is not None and names[-1] is not None and name - next(x for x in names if x is not None) > _WIDEST
+                    if far or ends and (ends[-1] >= shard_ids or len(names) >= SHARD_DOCS):
+                        yield close(part, seq, names, runs, ends)
+                        seq, names, runs, ends = seq + 1, [], [], []
                     names.append(name)
                     runs += (run, end)
                     ends.append((ends[-1] if ends else 0) + len(run) // 4 + 1)
-                    if ends[-1] >= shard_ids or len(names) >= SHARD_DOCS:
-                        yield close(part, seq, names, runs, ends)
-                        seq, names, runs, ends = seq + 1, [], [], []
         if names:
             yield close(part, seq, names, runs, ends)
 
@@ -200,7 +201,10 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
     rows.mapInArrow(encode, _SHARD).write.parquet(out)
 
 
-_SHARD_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ids", pa.binary()), ("ef_l", pa.int32()), ("ef_low", pa.binary()), ("ef_high", pa.binary()), ("ef_sample", pa.binary())])
+#: Ids of a shard lie no farther apart, so that their differences are longs.
+_WIDEST = 1 << 62
+_CODED_ARROW = pa.struct([("n", pa.int32()), ("l", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("sample", pa.binary())])
+_SHARD_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_null", pa.int64()), ("first_id", pa.int64()), ("doc_ids", _CODED_ARROW), ("ids", pa.binary()), ("ends", _CODED_ARROW)])
 
 
 def shard_bases(shards: DataFrame) -> DataFrame:
@@ -213,18 +217,23 @@ def shard_bases(shards: DataFrame) -> DataFrame:
 
 
 def read_boundaries(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """One row per document of the shards under path: id, start (ids before it), n_tokens (with the end id), ids_crc32."""
+    """One row per document of the shards under path: id, start (ids before it), n_tokens (with the end id), ids_crc32.
+
+    Ids and offsets are selected from the shards' codes; only the document at hand is touched in ids. Documents written
+    without id have null; no shards give no rows; repeated rows have a row each.
+    """
     shards = spark.read.schema(_SHARD).parquet(path)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ends = EliasFano(row["n_docs"], row["ef_l"], row["ef_low"], row["ef_high"], row["ef_sample"]).decode()
-                starts, ids = np.concatenate(([0], ends[:-1])), memoryview(row["ids"])
-                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                n = len(crc)
-                yield pa.record_batch({"part": pa.array([row["part"]] * n, pa.int32()), "seq": pa.array([row["seq"]] * n, pa.int32()), "id": pa.array(row["doc_ids"], pa.int64()), "at": pa.array(starts, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
-
-    blobs = shards.select("part", "seq", "n_docs", "doc_ids", "ids", "ef_l", "ef_low", "ef_high", "ef_sample")
-    rows = blobs.mapInArrow(decode, "part int, seq int, id long, at long, n_tokens long, ids_crc32 long")
+                ends, names = (EliasFano(**row[c]) for c in ("ends", "doc_ids"))
+                ids, n = memoryview(row["ids"]), row["n_docs"]
+                at = [0, *map(ends.select, range(n))]
+                own = [None] * row["n_null"] + [row["first_id"] + names.select(k) for k in range(names.n)]
+                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(at, at[1:], strict=False)]
+                yield pa.record_batch({"part": pa.array([row["part"]] * n, pa.int32()), "seq": pa.array([row["seq"]] * n, pa.int32()), "id": pa.array(own, pa.int64()), "at": pa.array(at[:-1], pa.int64()), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())})
+
+    blobs = shards.select("part", "seq", "n_docs", "n_null", "first_id", "doc_ids", "ids", "ends")
+    rows = blobs.mapInArrow(read, "part int, seq int, id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(shard_bases(shards), ["part", "seq"]).select(F.col("id").alias(id_col), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
