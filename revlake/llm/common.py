@@ -35,19 +35,21 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/revlake/{tag}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, fixes generated ids."""
+def stage(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder, in folders of column by, and read it back: cuts lineage, survives lost executors,
+    fixes generated ids. A staged side of a join is a plain scan, so that adaptive execution can split the other's hot keys."""
     spark = df.sparkSession
-    df.write.parquet(path := new_path(spark, tag))
+    (df.write.partitionBy(by) if by else df.write).parquet(path := new_path(spark, tag))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Remove the files of a staged table that no later plan reads."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_staged(*staged: DataFrame) -> None:
+    """Remove staged tables that no later plan reads: the folders of new_path that hold their files."""
+    for df in staged:
+        spark = df.sparkSession
+        for f in {x.partition("/revlake/")[0] + "/revlake/" + x.partition("/revlake/")[2].partition("/")[0] for x in df.inputFiles()[:1]}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(col: str = "text") -> Column:
@@ -69,7 +71,7 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def text_slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[pa.Array]:
+def text_slices(texts: pa.Array, most: int = 6 << 20) -> Iterator[pa.Array]:
     """Runs of about `most` bytes of a string array, so that what is made of a batch of long texts stays bounded."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     begin = 0

@@ -131,8 +131,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     good = both.filter(100 * F.col("both") >= percent * either).select("doc", "th", "item", "start", (F.col("both") / either).alias("similarity"))
     best = good.groupBy("doc", "th", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("m"))
     out = stage(best.select("doc", "th", "item", (-F.col("m.back")).alias("start"), F.col("m.similarity").alias("similarity")), "leaks")
-    for df in (starts, counted, pairs):
-        drop_staged(df)
+    drop_staged(starts, counted, pairs)
     return out
 
 

@@ -12,17 +12,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, small, stage, text_of
+from .common import drop_staged, stage, text_of
 
 FIRST_DIGIT = 64
 GROWTH = 8
-#: Open rows up to this many (8 bytes and a group each) are broadcast to fetch their bytes; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def _level(rows: DataFrame, width: int) -> DataFrame:
     """rows (rid, grp, digit) -> rows of groups that still have two members or more: rid, grp, ended."""
-    groups = rows.groupBy("grp", "digit").agg(F.min("rid").alias("next"), F.count("*").alias("n")).filter("n > 1")
+    groups = stage(rows.groupBy("grp", "digit").agg(F.min("rid").alias("next"), F.count("*").alias("n")).filter("n > 1"), "exact-groups")
     return rows.join(groups.hint("merge"), ["grp", "digit"]).select("rid", F.col("next").alias("grp"), (F.octet_length("digit") < width).alias("ended"))
 
 
@@ -46,10 +44,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     done = [found.filter("ended")]
     if left := found.filter("not ended").count():
         open_rows = found.filter("not ended").select("rid", "grp")
-        bodies = stage(base.select("rid", "body").join(small(open_rows.select("rid"), left, BROADCAST_ROWS), "rid"), "exact-bodies")
-        while left:
+        bodies = stage(base.select("rid", "body").join(open_rows.select("rid").hint("merge"), "rid"), "exact-bodies")
+        while left:  # levels, about log8 of the longest text in which two texts agree
             at, width = at + width, width * GROWTH
-            rows = bodies.filter(F.octet_length("body") >= at).select("rid", digit(at, width)).join(small(open_rows, left, BROADCAST_ROWS), "rid")
+            rows = bodies.filter(F.octet_length("body") >= at).select("rid", digit(at, width)).join(open_rows.hint("merge"), "rid")
             found = stage(_level(rows, width), "exact-level")
             done.append(found.filter("ended"))
             open_rows = found.filter("not ended").select("rid", "grp")
@@ -58,7 +56,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     head = base.select("rid", "id", "points", "sha")
     members = reduce(DataFrame.unionByName, done).select("rid", "grp").join(head.drop("sha"), "rid")
     best = members.groupBy("grp").agg(F.min(F.struct(-F.col("points"), "id", "rid")).alias("m"), F.count("*").alias("n")).select("grp", F.col("m.id").alias("keep_id"), F.col("m.rid").alias("keep_rid"), "n")
-    decided = members.join(best.hint("merge"), "grp").select("rid", "keep_id", "keep_rid", "n")
+    decided = members.join(stage(best, "exact-groups").hint("merge"), "grp").select("rid", "keep_id", "keep_rid", "n")
     return head.join(decided, "rid", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),

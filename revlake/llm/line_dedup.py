@@ -1,18 +1,20 @@
 """Line dedup with levelled sorted runs of line hashes, in DataFrame operations only.
 
-The runs hold the 128-bit hashes of all line keys seen so far. A batch of documents merge-anti-joins them: keys that
-the runs lack are new and become a run of level 0; keys that they hold have a first document already. FANOUT runs of
-one level are compacted into one of the next, so that a batch reads few runs and a hash is rewritten a few times.
+The runs hold the 128-bit hashes of all line keys seen so far, in as many buckets by hash as a shuffle has partitions,
+sorted within each. A batch of documents merge-anti-joins them bucket by bucket, without a shuffle: keys that the runs
+lack are new and become a run of level 0; keys that they hold have a first document already. FANOUT runs of one level
+are compacted into one of the next, so that a batch reads few runs and a hash is rewritten a few times.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, bind, drop_staged, stage, text_of
+from .common import BLANKS, ascii_lower, bind, new_path, stage, text_of
 
 MIN_CHARS = 10
 FANOUT = 3
@@ -25,35 +27,42 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
+    def _write(self, keys: DataFrame, tag: str) -> DataFrame:
+        """keys in sorted buckets, as files of the shared folder."""
+        name = f"revlake_{uuid.uuid4().hex}"
+        keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", new_path(self.spark, tag)).saveAsTable(name)
+        return self.spark.table(name)
+
     def add(self, lines: DataFrame) -> DataFrame:
         """lines (doc, h1, h2, ...) of a batch -> the repeated keys in it: h1, h2, first (the batch's document that keeps
         them; null if an earlier batch has one). The new keys become a run."""
         keys = lines.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        keys = stage(keys, "line-keys")
-        fresh = keys
-        for run in self.runs():
-            fresh = fresh.join(run.hint("merge"), ["h1", "h2"], "left_anti")
-        fresh = stage(fresh.sortWithinPartitions("h1", "h2"), "line-run")
-        self._push(0, fresh.select("h1", "h2"))
+        keys = fresh = self._write(keys, "line-keys")
+        if older := self.runs():
+            for run in older:
+                fresh = fresh.join(run.hint("merge"), ["h1", "h2"], "left_anti")
+            fresh = self._write(fresh, "line-run")
+        self._push(0, fresh)
         again = fresh.filter("first < last").select("h1", "h2", "first")
-        if len(self.runs()) > 1 or len(self.levels) > 1:
+        if older:
             old = keys.join(fresh.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
             again = again.unionByName(old.select("h1", "h2", F.lit(None).cast("long").alias("first")))
-        return again
+        return stage(again, "line-again")
 
     def _push(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(run)
+        self.levels[level].append(run.select("h1", "h2"))
         if len(self.levels[level]) >= self.fanout:
-            whole = reduce(DataFrame.unionByName, self.levels[level]).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
+            whole = reduce(DataFrame.unionByName, self.levels[level]).repartition(self.buckets, "h1", "h2")
             self.levels[level] = []
-            self._push(level + 1, stage(whole, "line-run"))
+            self._push(level + 1, self._write(whole, "line-run"))
 
 
 def _lines(text: Column) -> Column:
@@ -74,7 +83,7 @@ def _repeated(docs: DataFrame, id_col: str, text_col: str, min_chars: int, batch
     cuts = rows.agg(F.percentile_approx("doc", [k / batches for k in range(1, batches)]).alias("q")).first()["q"] if batches > 1 else None
     batch = reduce(lambda a, q: a + (F.col("doc") > q).cast("int"), sorted(set(cuts or [])), F.lit(0))
     lines = rows.select("doc", F.xxhash64("text").alias("th"), F.explode(_key_hashes(F.col("text"), min_chars)).alias("x")).select(batch.alias("batch"), "doc", "th", "x.*")
-    lines = stage(lines, "lines")
+    lines = stage(lines, "lines", "batch")
     runs, dropped = LineRuns(spark, fanout), []
     for k in range(len(set(cuts or [])) + 1):
         own = lines.filter(F.col("batch") == k)

@@ -208,8 +208,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     of = lambda k: sets.select(F.col("cid").alias(k), F.col("shingles").alias(f"{k}_s"))
     met = held.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_n", "v_n", shared("u_s", "v_s").alias("both"))
     found = stage(met.filter(_linked(F.col("u_n"), F.col("v_n"), F.col("u_n") + F.col("v_n") - 2 * F.col("both"), percent)).select("u", "v"), "links")
-    for df in (held, sets):
-        drop_staged(df)
+    drop_staged(held, sets)
     return found
 
 
@@ -246,7 +245,7 @@ def _open_links(opened: DataFrame, classes: DataFrame, docs: DataFrame, id_col:
     own = stage(opened.select("cid", "root", "pop").distinct().join(region, "cid"), "open")
     pivot = own.groupBy("region").agg(F.max(F.struct("pop", "cid"))["cid"].alias("pivot"), F.count("*").alias("m"))
     sets = stage(_sets(docs, id_col, text_col, width, own.select("cid").join(classes, "cid")), "sets")
-    pivots = pivot.join(sets, F.col("pivot") == F.col("cid")).select("region", "pivot", F.col("shingles").alias("p"))
+    pivots = stage(pivot.join(sets, F.col("pivot") == F.col("cid")).select("region", "pivot", F.col("shingles").alias("p")), "pivots")
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,6 +260,7 @@ def _open_links(opened: DataFrame, classes: DataFrame, docs: DataFrame, id_col:
     counts = deltas.select("region", F.explode("d").alias("elem")).groupBy("region", "elem").agg(F.count("*").alias("c")).filter("c >= 8")
     counts = counts.join(pivot, "region").filter(F.col("c") >= F.col("m") * COMMON)
     common = counts.groupBy("region").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "elem"))), lambda x: x["elem"]).alias("elems"))
+    common = stage(common, "common")
     first = stage(_prefixes(deltas, common, percent), "prefixes")
     side = lambda k: first.select("region", "elem", *[F.col(c).alias(f"{k}_{c}" if c != "cid" else k) for c in ("cid", "root", "n", "size", "place")])
     shared = F.least(F.col("u_size") - F.col("u_place"), F.col("v_size") - F.col("v_place"))
@@ -271,8 +271,7 @@ def _open_links(opened: DataFrame, classes: DataFrame, docs: DataFrame, id_col:
     met = pairs.join(of("u"), "u").join(of("v"), "v").filter(_linked(F.col("u_n"), F.col("v_n"), F.size("u_d") + F.size("v_d") - 2 * both, percent))
     near = deltas.filter((F.col("cid") != F.col("pivot")) & _linked(F.col("n"), F.col("p_n"), F.col("size"), percent))
     links = stage(met.select("u", "v").union(near.select("pivot", "cid")), "links")
-    for df in (own, sets, deltas, first, pairs):
-        drop_staged(df)
+    drop_staged(own, sets, pivots, deltas, common, first, pairs)
     return links
 
 
@@ -294,19 +293,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = signed.filter("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("first"), F.min(F.struct("key", "th")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = stage(classes.select(F.monotonically_increasing_id().alias("cid"), "set", "first", "rep.*", "n", "sig", "bands"), "classes")
     member = classes.select("cid", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = stage(member.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
     met = stage(member.join(shared.hint("merge"), "bucket"), "buckets")
     member = stage(met.join(met.groupBy("cid").agg(F.sum("c").alias("pop")), "cid").select("bucket", "cid", "pop"), "buckets")
-    lead = member.groupBy("bucket").agg(F.max(F.struct("pop", "cid"))["cid"].alias("lead"))
+    lead = stage(member.groupBy("bucket").agg(F.max(F.struct("pop", "cid"))["cid"].alias("lead")), "leads")
     pairs = member.join(lead.hint("merge"), "bucket").filter("cid <> lead").select(F.col("lead").alias("u"), F.col("cid").alias("v")).distinct()
     links = _verified(pairs, classes, docs, id_col, text_col, width, percent)
     root = _labels(links)
     named = member.join(root, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("pop", "cid"))["cid"].alias("hub")).filter("lo < hi")
-    opened = stage(named.join(mixed.select("bucket", "hub").hint("merge"), "bucket"), "open")
+    mixed = stage(mixed.select("bucket", "hub"), "leads")
+    opened = stage(named.join(mixed.hint("merge"), "bucket"), "open")
     root = _labels(links.union(_open_links(opened, classes, docs, id_col, text_col, width, percent)))
-    for df in (met, member, opened):
-        drop_staged(df)
+    drop_staged(shared, met, member, lead, mixed, opened)
     named = classes.select("cid", "first").join(root, "cid")
     ids = named.groupBy("root").agg(F.min("first").alias("component")).join(named.select("cid", "root"), "root").select("cid", "component")
     firsts = classes.select("set", "cid", "first").join(ids.hint("merge"), "cid", "left").select("set", F.coalesce("component", "first").alias("component"))

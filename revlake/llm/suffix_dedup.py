@@ -274,14 +274,14 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc, th (hash of the text), begin, end: byte ranges to remove; they may overlap."""
     rows = _rows(docs, id_col, text_col)
     scanned = stage(_scan(rows, need, gram), "anchors")
-    shared = scanned.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    met = stage(scanned.join(shared.hint("merge"), "h"), "anchors")
+    shared = stage(scanned.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "shared")
+    met_all = stage(scanned.join(shared.hint("merge"), "h"), "anchors")
     kind = ["h", "off", "len", "d1", "d2"]
-    met = met.select("doc", "th", "h", "p", "lo", "hi", (F.col("p") - F.col("lo")).alias("off"), (F.col("hi") - F.col("lo")).alias("len"), "d1", "d2")
+    met = met_all.select("doc", "th", "h", "p", "lo", "hi", (F.col("p") - F.col("lo")).alias("off"), (F.col("hi") - F.col("lo")).alias("len"), "d1", "d2")
     classes = met.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "p", "lo", "hi")).alias("rep"))
     classes = stage(classes.select(F.monotonically_increasing_id().alias("cid"), *kind, "n", "rep.*"), "contexts")
     whole = met.join(classes.filter("n > 1").select(*kind).hint("merge"), kind).select("doc", "th", F.col("lo").alias("begin"), (F.col("hi") + need).alias("end"))
-    crowd = classes.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
+    crowd = stage(classes.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1"), "crowds")
     reps = stage(classes.join(crowd.hint("merge"), "h").select("cid", "h", "k", "doc", "th", "p", "lo", "hi", "n"), "contexts")
     bodies = stage(_bodies(rows, reps, need), "bodies")
     common = reps.filter(F.col("k") > hot).select("h").distinct()
@@ -290,8 +290,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # classes of two or more are covered already
     part = found.join(reps.filter("n = 1").select("cid", "doc", "th", "lo"), "cid").select("doc", "th", (F.col("lo") + F.col("first")).alias("begin"), (F.col("lo") + F.col("last") + need).alias("end"))
     out = stage(whole.unionByName(part), "ranges")
-    for df in (scanned, bodies):
-        drop_staged(df)
+    drop_staged(shared, scanned, crowd, met_all, classes, reps, bodies)
     return out
 
 
