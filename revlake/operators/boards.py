@@ -35,11 +35,14 @@ def top_board(counts: DataFrame, top: int = 10) -> DataFrame:
 
 
 def scoped_boards(counts: DataFrame, scope: list[str], top: int = 10) -> DataFrame:
-    """The same for each scope; the ranks are windows within a scope."""
+    """The same for each scope. The filter on the row number lets tasks keep their first rows of a scope only; previous
+    ranks are counted against those with partial sums, so no task sorts a whole scope."""
     now = F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc("current"), "entity"))
-    before = F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc("previous"), "entity"))
-    ranked = counts.withColumn("rank_previous", F.when(F.col("previous") > 0, before)).withColumn("rank_current", now)
-    return ranked.filter((F.col("rank_current") <= top) & (F.col("current") > 0)).select(*scope, "entity", "current", "previous", (F.col("current") - F.col("previous")).alias("delta"), "rank_current", "rank_previous")
+    best = counts.filter("current > 0").withColumn("rank_current", now).filter(F.col("rank_current") <= top)
+    listed = best.select(*scope, F.col("entity").alias("e"), F.col("previous").alias("p"))
+    ahead = (F.col("previous") > F.col("p")) | ((F.col("previous") == F.col("p")) & (F.col("entity") <= F.col("e")))
+    before = counts.filter("previous > 0").join(listed.filter("p > 0"), scope).filter(ahead).groupBy(*scope, F.col("e").alias("entity")).agg(F.count("*").cast("int").alias("rank_previous"))
+    return best.join(before, [*scope, "entity"], "left").select(*scope, "entity", "current", "previous", (F.col("current") - F.col("previous")).alias("delta"), "rank_current", "rank_previous")
 
 
 def with_names(board: DataFrame, *names: DataFrame) -> DataFrame:

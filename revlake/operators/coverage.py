@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +29,11 @@ def record_ranges(old: DataFrame, new: DataFrame, sealable: Column) -> DataFrame
     return merge_ranges(old.unionByName(clamp_ranges(new, sealable)))
 
 
+def recorded_until(ranges: DataFrame, sealable: Column) -> DataFrame:
+    """Merged ranges as readers see them: clamped again, so that a day recorded too early is not taken as complete."""
+    return clamp_ranges(merge_ranges(ranges), sealable)
+
+
 def gaps(ranges: DataFrame, target: Column) -> DataFrame:
     """entity, gap_start, gap_end between merged ranges and after the last one up to target; nothing before the first."""
     merged = merge_ranges(ranges)
@@ -39,7 +42,9 @@ def gaps(ranges: DataFrame, target: Column) -> DataFrame:
     return merged.select("entity", F.date_add("end", 1).alias("gap_start"), F.least(after, target).alias("gap_end")).filter("gap_start <= gap_end")
 
 
-def extent(ranges: DataFrame) -> DataFrame:
+def extent(ranges: DataFrame, sealable: Column | None = None) -> DataFrame:
+    """entity, start, end of all ranges; with sealable the ends are cut to it first."""
+    ranges = ranges if sealable is None else clamp_ranges(ranges, sealable)
     return ranges.groupBy("entity").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
@@ -67,24 +72,25 @@ def load_window(sources: DataFrame, last_day: Column, days_back: Column) -> Data
 
 def capped_windows(daily: DataFrame, start: Column, end: Column, cap: int, depth: int = MOST_SPLITS) -> DataFrame:
     """win_start, win_end, items, unsplittable: month windows halved while they hold more than cap items and more than a
-    day, depth times at most. daily: day, items; one row a day, so all rounds work on a table bounded by the calendar."""
-    one = daily.sparkSession.range(1)
+    day, depth times at most. daily: day, items. The days' running counts become one array, a number for each day of the
+    calendar, and a window's count is the difference of two of its entries: no round counts again."""
+    span = daily.sparkSession.range(1).select(start.alias("lo"), end.alias("hi"))
+    days = span.select(F.explode(F.sequence("lo", "hi")).alias("day"))
     counts = daily.groupBy("day").agg(F.sum("items").alias("items"))
+    whole = days.join(counts, "day", "left").agg(F.array_sort(F.collect_list(F.struct("day", F.coalesce("items", F.lit(0)).alias("items")))).alias("d"))
+    sums = F.aggregate("d", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["items"])))
+    base = whole.select(sums.alias("sums"), F.col("d")[0]["day"].alias("lo"), F.element_at("d", -1)["day"].alias("hi"))
 
-    def counted(windows: DataFrame) -> DataFrame:
-        days = windows.select("win_start", "win_end", F.explode(F.sequence("win_start", "win_end")).alias("day")).join(counts, "day", "left")
-        return days.groupBy("win_start", "win_end").agg(F.coalesce(F.sum("items"), F.lit(0)).alias("items"))
+    def items(s: Column, e: Column) -> Column:
+        return F.get("sums", F.datediff(e, F.col("lo")) + 1) - F.get("sums", F.datediff(s, F.col("lo")))
 
-    now = counted(one.select(F.explode(month_windows(start, end)).alias("w")).select(F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end")))
-    settled = []
+    window = lambda s, e: F.struct(s.alias("s"), e.alias("e"), items(s, e).alias("n"))
+    now = base.select("sums", "lo", F.transform(month_windows(F.col("lo"), F.col("hi")), lambda w: window(w["start"], w["end"])).alias("w"))
     for _ in range(depth):
-        split = (F.col("items") > cap) & (F.col("win_start") < F.col("win_end"))
-        settled.append(now.filter(~split))
-        mid = F.date_add("win_start", F.floor(F.datediff("win_end", "win_start") / 2).cast("int"))
-        halves = F.array(F.struct(F.col("win_start").alias("s"), mid.alias("e")), F.struct(F.date_add(mid, 1).alias("s"), F.col("win_end").alias("e")))
-        now = counted(now.filter(split).select(F.explode(halves).alias("h")).select(F.col("h.s").alias("win_start"), F.col("h.e").alias("win_end")))
-    whole = reduce(DataFrame.unionByName, [*settled, now])
-    return whole.withColumn("unsplittable", F.col("items") > cap)
+        mid = lambda x: F.date_add(x["s"], F.floor(F.datediff(x["e"], x["s"]) / 2).cast("int"))
+        halves = lambda x: F.when((x["n"] > cap) & (x["s"] < x["e"]), F.array(window(x["s"], mid(x)), window(F.date_add(mid(x), 1), x["e"]))).otherwise(F.array(x))  # noqa: E731, B023
+        now = now.select("sums", "lo", F.flatten(F.transform("w", halves)).alias("w"))
+    return now.select(F.explode("w").alias("w")).select(F.col("w.s").alias("win_start"), F.col("w.e").alias("win_end"), F.col("w.n").alias("items"), (F.col("w.n") > cap).alias("unsplittable"))
 
 
 def route_sources(sources: DataFrame) -> DataFrame:

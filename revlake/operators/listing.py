@@ -15,6 +15,11 @@ def where_in(df: DataFrame, col: str, values: list) -> DataFrame:
     return df.filter(F.col(col).isin(values))
 
 
+def where_repo(df: DataFrame, repos: list[str], col: str = "repo_key") -> DataFrame:
+    """Repositories are named in any case; keys are in lower case."""
+    return where_in(df, col, [r.lower() for r in repos])
+
+
 def where_not_in(df: DataFrame, col: str, values: list) -> DataFrame:
     """An empty list keeps all."""
     return df.filter(~F.col(col).isin(values))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.identity import bare_login
+
 #: Columns by table: key, replaced (R), coalesced (C); all others are kept (K).
 POLICIES: dict[str, tuple[list[str], list[str], list[str]]] = {
     "dim_entities": (["entity_key"], ["entity_type", "is_human", "is_bot"], []),
@@ -22,6 +24,8 @@ POLICIES: dict[str, tuple[list[str], list[str], list[str]]] = {
     "labels": (["id"], ["name", "color", "description"], []),
     "milestones": (["id"], ["title", "description", "state", "due_on"], []),
     "user_group": (["name"], [], ["description"]),
+    "rejects": (["item_key"], ["updated_at", "error"], []),
+    "cursors": (["source_type", "source_id"], ["cursor"], []),
 }
 
 
@@ -66,6 +70,20 @@ def replace_links(old: DataFrame, new: DataFrame, parents: DataFrame, parent: st
     return old.join(parents.select(parent), parent, "left_anti").unionByName(new.select(*old.columns)).dropDuplicates(old.columns)
 
 
+def backfill_patches(diffs: DataFrame, patches: DataFrame) -> DataFrame:
+    """File diffs with the patches of scanned files: rows that exist only; a previous path is taken where one is given."""
+    p = patches.select(F.concat_ws(":", "pr_key", "filename").alias("file_diff_key"), "patch", F.col("previous_filename").alias("previous_path"))
+    p = p.groupBy("file_diff_key").agg(F.max_by("patch", F.struct("patch", "previous_path")).alias("patch"), F.max_by("previous_path", F.struct("patch", "previous_path")).alias("previous_path"))
+    return update_only(diffs, p, ["file_diff_key"], ["patch"], ["previous_path"])
+
+
+def normal_members(members: DataFrame, kind: str) -> DataFrame:
+    """group, member of a roster as loaded: users as bare logins and repositories, all in lower case and trimmed, once each."""
+    m = F.lower(F.trim("member"))
+    m = bare_login(m) if kind == "user" else m
+    return members.select("group", m.alias("member")).filter("member <> ''").distinct()
+
+
 def insert_or_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.unionByName(new.select(*old.columns).dropDuplicates(key).join(old.select(*key), key, "left_anti"))
 

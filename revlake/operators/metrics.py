@@ -1,10 +1,8 @@
-"""Two-window measures and the scorecards made of them. A scorecard reads each fact once: all its measures are
-conditional sums of one aggregate."""
+"""Two-window measures and the scorecards made of them. Reviews and comments are one table of activity, read once and
+joined once with the requests; requests are read twice, for their own measures and for that join."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +32,6 @@ def with_deltas(df: DataFrame) -> DataFrame:
     return df.withColumn("delta", delta(c, p)).withColumn("delta_percent", delta_percent(c, p))
 
 
-ALWAYS = F.lit  # condition of a measure without one
-
-
 def failure_ratio(runs: DataFrame, prs: DataFrame, by: list[str], windows: Windows) -> DataFrame:
     """by, ratio of failed runs of requests created in the current window; null conclusions count as runs."""
     own = prs.filter(windows.current(F.col("created"))).select("pr_key", *by)
@@ -44,37 +39,67 @@ def failure_ratio(runs: DataFrame, prs: DataFrame, by: list[str], windows: Windo
     return runs.select("pr_key", "conclusion").join(own, "pr_key").groupBy(*by).agg((F.sum(F.when(failed, 1).otherwise(0)).cast("double") / F.count("*")).alias("ratio"))
 
 
-def scorecard_authors(prs: DataFrame, reviews: DataFrame, comments: DataFrame, windows: Windows) -> DataFrame:
-    """author, measure, current, previous, delta, delta_percent for every author: opened, merged (by created date),
-    lines, reviews given and received and comments given, own requests excluded."""
-    own = split_sums(prs, ["author"], "created", {"opened": (F.lit(True), None), "merged": (F.col("state") == "MERGED", None), "lines": (F.lit(True), F.col("lines"))}, windows)
-    written = prs.select("pr_key", "author")
-    met = reviews.filter(windows.either(F.col("submitted"))).select("pr_key", "reviewer", "submitted").join(written, "pr_key").filter("reviewer <> author")
-    one = {"n": (F.lit(True), None)}
-    pairs = split_sums(met, ["reviewer", "author"], "submitted", one, windows)  # then by either side
-    side = lambda df, col, m: df.groupBy(F.col(col).alias("author")).agg(F.sum("n_current").alias(f"{m}_current"), F.sum("n_previous").alias(f"{m}_previous"))
-    said = comments.filter(windows.either(F.col("submitted"))).select("pr_key", F.col("reviewer"), "submitted").join(written, "pr_key").filter("reviewer <> author")
-    said = split_sums(said, ["reviewer"], "submitted", one, windows)
-    parts = [long_form(own, ["author"], ["opened", "merged", "lines"]), long_form(side(pairs, "reviewer", "reviews_given"), ["author"], ["reviews_given"]), long_form(side(pairs, "author", "reviews_received"), ["author"], ["reviews_received"]), long_form(side(said, "reviewer", "comments_given"), ["author"], ["comments_given"])]
-    return with_deltas(reduce(DataFrame.unionByName, parts))
+#: What an activity row can be.
+REVIEW, COMMENT = "review", "comment"
+
+
+def activity(reviews: DataFrame, comments: DataFrame) -> DataFrame:
+    """pr_key, actor, day, kind of reviews and of both kinds of comments."""
+    one = lambda df, kind: df.select("pr_key", F.col("reviewer").alias("actor"), F.col("submitted").alias("day"), F.lit(kind).alias("kind"))
+    return one(reviews, REVIEW).unionByName(one(comments, COMMENT))
+
+
+def _of_kind(names: dict[str, str]) -> dict[str, tuple[Column, None]]:
+    return {name: (F.col("kind") == kind, None) for name, kind in names.items()}
+
+
+def _own() -> dict[str, tuple[Column, None]]:
+    return {"opened": (F.lit(True), None), "merged": (F.col("state") == "MERGED", None)}
+
+
+def scorecard_authors(prs: DataFrame, acts: DataFrame, windows: Windows) -> DataFrame:
+    """author, measure, current, previous, delta, delta_percent for every author: opened, merged (by created date), lines
+    added and removed, reviews given and received and comments given, own requests excluded. acts as activity makes it."""
+    own = split_sums(prs, ["author"], "created", _own() | {"added": (F.lit(True), F.col("added")), "removed": (F.lit(True), F.col("removed"))}, windows)
+    met = acts.filter(windows.either(F.col("day"))).join(prs.select("pr_key", "author"), "pr_key").filter("actor <> author")
+    pairs = split_sums(met, ["actor", "author"], "day", _of_kind({"reviews": REVIEW, "comments": COMMENT}), windows)  # then by either side
+    given, taken = ["reviews_given", "comments_given"], ["reviews_received"]
+
+    def side(who: str, kept: list[str]) -> Column:
+        """One row for one side of a pair, with 0 in the other side's measures."""
+        value = lambda m, w: F.col(f"{m.split('_')[0]}_{w}") if m in kept else F.lit(0).cast("long")
+        return F.struct(F.col(who).alias("author"), *[value(m, w).alias(f"{m}_{w}") for m in given + taken for w in ("current", "previous")])
+
+    both = pairs.select(F.explode(F.array(side("actor", given), side("author", taken))).alias("x")).select("x.*")
+    sums = both.groupBy("author").agg(*[F.sum(c).alias(c) for c in both.columns if c != "author"])
+    return with_deltas(long_form(own, ["author"], ["opened", "merged", "added", "removed"]).unionByName(long_form(sums, ["author"], ["reviews_given", "reviews_received", "comments_given"])))
+
+
+def scorecard_scopes(prs: DataFrame, acts: DataFrame, windows: Windows, scope: str = "repo", runs: DataFrame | None = None) -> DataFrame:
+    """scope, measure, ...: opened, merged, reviews, comments; own reviews included. With check runs also failure_rate, of
+    the current window alone."""
+    own = split_sums(prs, [scope], "created", _own(), windows)
+    met = acts.filter(windows.either(F.col("day"))).join(prs.select("pr_key", scope), "pr_key")
+    met = split_sums(met, [scope], "day", _of_kind({"reviews": REVIEW, "comments": COMMENT}), windows)
+    card = long_form(own, [scope], ["opened", "merged"]).unionByName(long_form(met, [scope], ["reviews", "comments"]))
+    if runs is not None:
+        card = card.unionByName(_current_only(failure_ratio(runs, prs, [scope], windows), scope, "failure_rate", "ratio"))
+    return with_deltas(card)
 
 
-def scorecard_scopes(prs: DataFrame, reviews: DataFrame, comments: DataFrame, windows: Windows, scope: str = "repo") -> DataFrame:
-    """scope, measure, ...: opened, merged, reviews, comments; own reviews included."""
-    own = split_sums(prs, [scope], "created", {"opened": (F.lit(True), None), "merged": (F.col("state") == "MERGED", None)}, windows)
-    of = prs.select("pr_key", scope)
-    one = lambda df, m: long_form(split_sums(df.filter(windows.either(F.col("submitted"))).select("pr_key", "submitted").join(of, "pr_key"), [scope], "submitted", {m: (F.lit(True), None)}, windows), [scope], [m])
-    return with_deltas(reduce(DataFrame.unionByName, [long_form(own, [scope], ["opened", "merged"]), one(reviews, "reviews"), one(comments, "comments")]))
+def _current_only(df: DataFrame, by: str, measure: str, value: str) -> DataFrame:
+    return df.select(by, F.lit(measure).alias("measure"), F.col(value).cast("double").alias("current"), F.lit(None).cast("double").alias("previous"))
 
 
 def scorecard_members(prs: DataFrame, reviews: DataFrame, roster: DataFrame, windows: Windows) -> DataFrame:
-    """group, measure, ...: opened and merged by members, reviews given to outsiders. roster: group, member."""
+    """group, measure, ...: opened and merged by members, reviews given to outsiders, and members. roster: group, member."""
     own = prs.join(roster.withColumnRenamed("member", "author"), "author")
-    own = split_sums(own, ["group"], "created", {"opened": (F.lit(True), None), "merged": (F.col("state") == "MERGED", None)}, windows)
+    own = split_sums(own, ["group"], "created", _own(), windows)
     given = reviews.filter(windows.either(F.col("submitted"))).select("pr_key", "reviewer", "submitted").join(roster.withColumnRenamed("member", "reviewer"), "reviewer").join(prs.select("pr_key", "author"), "pr_key")
     given = given.join(roster.select(F.col("group").alias("g"), F.col("member").alias("m")), (F.col("g") == F.col("group")) & (F.col("m") == F.col("author")), "left_anti")
     given = split_sums(given, ["group"], "submitted", {"given_outside": (F.lit(True), None)}, windows)
-    return with_deltas(long_form(own, ["group"], ["opened", "merged"]).unionByName(long_form(given, ["group"], ["given_outside"])))
+    members = roster.groupBy("group").agg(F.countDistinct("member").alias("n"))
+    return with_deltas(long_form(own, ["group"], ["opened", "merged"]).unionByName(long_form(given, ["group"], ["given_outside"])).unionByName(_current_only(members, "group", "members", "n")))
 
 
 def group_sizes(groups: DataFrame, roster: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Ranked substring search over text corpora, by scan or by trigram postings.
 
 A query is one literal of three characters or more, compared without case within one field. The rank is the negated
-BM25 of the literal (lower is better), with each corpus's own counts. By scan, a corpus is read once: matches, their
-number and the corpus sizes come from the same pass; by postings, candidates hold all trigrams of the query first.
+BM25 of the literal (lower is better), with each corpus's own counts. A corpus is read twice: for its counts, which are
+one row, and for the matches. By postings, only candidates that hold all trigrams of the query are read for matches.
+Snippets are cut from the rows that a limit leaves.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .listing import when_given, with_authors
+
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 AROUND = 32
@@ -44,32 +47,63 @@ def snippet(fields: list[Column], query: str, around: int = AROUND) -> Column:
     return F.coalesce(*[of(f) for f in fields])
 
 
-def search_corpus(corpus: DataFrame, fields: list[str], query: str, kind: str, limit: int | None = DEFAULT_LIMIT, candidates: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
-    """kind, the corpus's columns but the fields, snippet, rank. A query under three characters finds nothing.
+def _length(fields: list[str]) -> Column:
+    return reduce(Column.__add__, [trigram_count(F.col(c)) for c in fields])
+
+
+def _holds(fields: list[str], query: str) -> Column:
+    return reduce(Column.__or__, [F.coalesce(F.contains(F.lower(F.col(c)), F.lit(query.lower())), F.lit(False)) for c in fields])
+
 
-    candidates (key) narrows the rows read for matches to those that can match; sizes must then be the corpus's sizes.
+def corpus_sizes(corpus: DataFrame, fields: list[str], query: str | None = None) -> DataFrame:
+    """One row: rows of the corpus, their average length in trigrams and, with a query, how many hold it."""
+    df = F.count_if(_holds(fields, query)) if query else F.lit(None).cast("long")
+    return corpus.agg(F.count("*").alias("_n"), F.greatest(F.avg(_length(fields)), F.lit(1.0)).alias("_avg"), df.alias("_df"))
+
+
+def ranked(corpus: DataFrame, fields: list[str], query: str, kind: str, candidates: DataFrame | None = None) -> DataFrame:
+    """The corpus's matching rows with all their columns, kind and rank. A query under three characters finds nothing.
+
+    candidates (key) narrows the rows read for matches to those that can match.
     """
-    cols = [F.col(c) for c in fields]
-    rest = [c for c in corpus.columns if c not in fields]
     if len(query) < 3:
-        return corpus.limit(0).select(F.lit(kind).alias("kind"), *rest, F.lit("").alias("snippet"), F.lit(0.0).alias("rank"))
-    length = reduce(Column.__add__, [trigram_count(c) for c in cols])
-    sizes = corpus_sizes(corpus, fields) if sizes is None else sizes
+        return corpus.limit(0).withColumns({"kind": F.lit(kind), "rank": F.lit(0.0)})
     rows = corpus if candidates is None else corpus.join(candidates, [c for c in candidates.columns], "left_semi")
-    lowered = F.lit(query.lower())
-    hits = rows.filter(reduce(Column.__or__, [F.contains(F.lower(c), lowered) for c in cols]))
-    hits = hits.select("*", reduce(Column.__add__, [occurrences(c, query) for c in cols]).cast("double").alias("_tf"), length.alias("_len"))
-    stats = hits.agg(F.count("*").alias("_df")).join(F.broadcast(sizes))  # one row each
+    tf = reduce(Column.__add__, [occurrences(F.col(c), query) for c in fields]).cast("double")
+    hits = rows.filter(_holds(fields, query)).withColumns({"_tf": tf, "_len": _length(fields)})
+    sizes = corpus_sizes(corpus, fields, query if candidates is None else None)
+    if candidates is not None:
+        sizes = sizes.drop("_df").join(F.broadcast(hits.agg(F.count("*").alias("_df"))))  # one row each
     idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(LEAST_IDF))
     bm25 = idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    out = hits.join(F.broadcast(stats)).select(F.lit(kind).alias("kind"), *rest, snippet(cols, query).alias("snippet"), (-bm25).alias("rank"))
-    return out if limit is None else out.orderBy("rank", *rest).limit(limit)
+    return hits.join(F.broadcast(sizes)).select(*corpus.columns, F.lit(kind).alias("kind"), (-bm25).alias("rank"))  # one row
+
+
+def search_corpus(corpus: DataFrame, fields: list[str], query: str, kind: str, limit: int | None = DEFAULT_LIMIT, candidates: DataFrame | None = None) -> DataFrame:
+    """kind, the corpus's columns but the fields, snippet, rank; the first limit rows by rank."""
+    rest = [c for c in corpus.columns if c not in fields]
+    out = ranked(corpus, fields, query, kind, candidates)
+    out = out if limit is None else out.orderBy("rank", *rest).limit(limit)
+    return out.select("kind", *rest, snippet([F.col(c) for c in fields], query).alias("snippet"), "rank")
+
+
+def search_facts(corpus: DataFrame, fields: list[str], query: str, kind: str, facts: DataFrame, entities: DataFrame, repo: str | None = None, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+    """kind, key, repo, title, author, author_type, snippet, rank of hits whose fact is there, of one repository if given.
+
+    corpus: fact_key, author_key and the fields. facts: fact_key, key (as shown), repo, title. Authors come last, for the
+    rows that the limit leaves; a missing entity falls back to what its key says.
+    """
+    found = ranked(corpus, fields, query, kind).join(when_given(facts.withColumnRenamed("title", "_title"), "repo", None if repo is None else repo.lower()), "fact_key")
+    found = found if limit is None else found.orderBy("rank", "key", "author_key").limit(limit)
+    cut = found.select("kind", "key", "repo", F.col("_title").alias("title"), "author_key", snippet([F.col(c) for c in fields], query).alias("snippet"), "rank")
+    return with_authors(cut, entities).select("kind", "key", "repo", "title", "author", "author_type", "snippet", "rank")
 
 
-def corpus_sizes(corpus: DataFrame, fields: list[str]) -> DataFrame:
-    """One row: rows of the corpus and their average length in trigrams."""
-    length = reduce(Column.__add__, [trigram_count(F.col(c)) for c in fields])
-    return corpus.agg(F.count("*").alias("_n"), F.greatest(F.avg(length), F.lit(1.0)).alias("_avg"))
+def parent_facts(prs: DataFrame, issues: DataFrame, repo: str | None = None) -> DataFrame:
+    """Facts of comments by their parent: fact_key (type and key), key, repo, title of requests and issues, each of one
+    repository if given."""
+    one = lambda df, kind: when_given(df, "repo", None if repo is None else repo.lower()).select(F.concat(F.lit(f"{kind}:"), "parent_key").alias("fact_key"), F.col("parent_key").alias("key"), "repo", "title")
+    return one(prs, "pull_request").unionByName(one(issues, "issue"))
 
 
 def merge_hits(hits: list[DataFrame], limit: int = DEFAULT_LIMIT) -> DataFrame:

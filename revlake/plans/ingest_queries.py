@@ -5,97 +5,421 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import listing, merge
 from ..operators.coverage import advance_cursors
-from ..sources import pages
+from ..sources import pages, sinks
 from ..streaming import ingest
 from . import tables as t
 
-#: Requests on a page, about: those of a customer with more are dealt over several by their hash, as a forge cuts its pages.
+#: Nodes on a page, about: those of an owner with more are dealt over several by their hash, as a forge cuts its pages.
 PAGE = 50
+ZONE = "America/Los_Angeles"
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="revlake-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="revlake-")
     return f"{root.rstrip('/')}/revlake/{name}-{uuid.uuid4().hex}"
 
 
-def request_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of each customer with requests, as the wire has it: orders are requests, their line items reviews and files."""
-    line = t.read(spark, d, "lineitem")
-    actor = lambda c, bot: F.struct(F.concat(F.lit("Dev"), c.cast("string")).alias("login"), F.when(bot, "Bot").otherwise("User").alias("__typename"))
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    review = F.struct(F.concat_ws("-", F.lit("R"), "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("id"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("state"), F.lit("").alias("body"), iso("l_shipdate").alias("submittedAt"), actor(F.col("l_suppkey"), F.col("l_suppkey") % 9 == 0).alias("author"))
-    file = F.struct(F.concat(F.lit("src/"), "l_partkey").alias("path"), F.col("l_quantity").cast("long").alias("additions"), F.lit(0).cast("long").alias("deletions"))
-    held = line.groupBy("l_orderkey").agg(F.collect_list(review).alias("r"), F.collect_set(file).alias("f"))
-    orders = t.read(spark, d, "orders")
-    many = orders.groupBy("o_custkey").agg(F.ceil(F.count("*") / PAGE).alias("n_pages")).filter("n_pages > 1")
-    orders = orders.join(many, "o_custkey", "left").withColumn("page", F.pmod(F.xxhash64("o_orderkey"), F.coalesce("n_pages", F.lit(1))))
-    o = orders.join(held, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    created = F.when(F.col("o_orderkey") % 97 == 0, "not-a-timestamp").otherwise(iso("o_orderdate"))
-    node = F.struct(F.col("o_orderkey").alias("number"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderstatus") == "F", "MERGED").alias("state"), created.alias("createdAt"), iso("o_orderdate").alias("updatedAt"), actor(F.col("o_custkey"), F.lit(False)).alias("author"), F.struct(F.col("r").alias("nodes")).alias("reviews"), F.struct(F.col("f").alias("nodes")).alias("files"))
-    by = o.groupBy("o_custkey", "page").agg(F.collect_list(node).alias("nodes"))
-    repo = F.struct(F.concat(F.lit("Owner/Repo"), "o_custkey").alias("nameWithOwner"), F.lit(False).alias("isFork"), F.struct(F.col("nodes")).alias("pullRequests"))
-    return by.select(F.struct(repo.alias("repository")).alias("data"))
-
-
-def _landed(spark: SparkSession, d: str) -> str:
-    request_pages(spark, d).write.json(path := _place(spark, "pages"))
+def _landed(df: DataFrame, name: str) -> str:
+    df.write.json(path := _place(df.sparkSession, name))
     return path
 
 
+def _iso(c: str | Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def _nodes(nodes: Column) -> Column:
+    return F.struct(nodes.alias("nodes"))
+
+
+def _actor(login: Column, bot: Column | bool = False) -> Column:
+    """Null without a login."""
+    return F.when(login.isNotNull(), F.struct(login.alias("login"), F.when(F.lit(bot) if isinstance(bot, bool) else bot, "Bot").otherwise("User").alias("__typename")))
+
+
+def _dev(key: Column | str) -> Column:
+    return F.concat(F.lit("Dev"), F.col(key) if isinstance(key, str) else key)
+
+
+def _dealt(df: DataFrame, owner: str, key: str) -> DataFrame:
+    """With the number of a row's page among its owner's, which has about PAGE rows."""
+    many = df.groupBy(owner).agg(F.ceil(F.count("*") / PAGE).alias("n_pages")).filter("n_pages > 1")
+    return df.join(many, owner, "left").withColumn("page", F.pmod(F.xxhash64(key), F.coalesce("n_pages", F.lit(1)))).drop("n_pages")
+
+
+def _line_parts(spark: SparkSession, d: str) -> DataFrame:
+    """l_orderkey and what its line items become: reviews, threads, comments, files, check runs."""
+    k, flag = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"), F.col("l_returnflag")
+    at, who, path = _iso("l_shipdate"), _actor(_dev("l_suppkey"), F.col("l_suppkey") % 9 == 0), F.concat(F.lit("src/"), "l_partkey")
+    bad = (F.col("l_orderkey") % 103 == 0) & (F.col("l_linenumber") == 1)
+    review = F.struct(F.concat(F.lit("R-"), k).alias("id"), F.when(flag != "N", flag).alias("state"), F.when(flag == "R", "please change").otherwise("").alias("body"), F.when(bad, "yesterday").when(F.col("l_linenumber") != 7, at).alias("submittedAt"), who.alias("author"))
+
+    def said(prefix: str, author: Column, reply_to: Column) -> Column:
+        own = [F.concat(F.lit(prefix), k).alias("id"), F.concat(F.lit("see "), "l_partkey").alias("body"), path.alias("path"), F.col("l_linenumber").cast("long").alias("line"), at.alias("createdAt"), author.alias("author")]
+        return F.struct(*own, F.struct(reply_to.alias("id")).alias("replyTo"))
+
+    first, reply = said("C-", who, F.lit(None).cast("string")), said("P-", _actor(F.lit(None).cast("string")), F.concat(F.lit("C-"), k))
+    thread = F.struct(_nodes(F.when(flag == "R", F.array(first, reply)).otherwise(F.array(first))).alias("comments"))
+    note = F.struct(F.concat(F.lit("N-"), k).alias("id"), F.lit("note").alias("body"), at.alias("createdAt"), who.alias("author"))
+    file = F.struct(path.alias("path"), F.col("l_quantity").cast("long").alias("additions"), F.lit(0).cast("long").alias("deletions"))
+    run = F.struct(F.concat(F.lit("K-"), k).alias("id"), F.concat(F.lit("ci-"), "l_linenumber").alias("name"), F.when(flag == "R", "FAILURE").when(flag == "A", "SUCCESS").alias("conclusion"), at.alias("startedAt"), at.alias("completedAt"))
+    open_ = F.col("l_linestatus") == "O"
+    return t.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(review).alias("r"), F.collect_list(F.when(open_, thread)).alias("th"), F.collect_list(F.when(~open_, note)).alias("c"), F.collect_set(file).alias("f"), F.collect_list(run).alias("k"))
+
+
+def _request_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """o_custkey, o_orderkey, node: orders as requests."""
+    o = t.read(spark, d, "orders").join(_line_parts(spark, d), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    key, merged = F.col("o_orderkey"), F.col("o_orderstatus") == "F"
+    created = F.when(key % 97 == 0, "not-a-timestamp").otherwise(_iso("o_orderdate"))
+    done = F.when(merged, _iso(F.col("o_orderdate") + F.expr("interval 30 hours")))
+    commit = lambda oid, runs: F.struct(F.struct(oid.alias("oid"), _nodes(F.array(F.struct(_nodes(runs).alias("checkRuns")))).alias("checkSuites")).alias("commit"))
+    earlier = commit(F.lit("old"), F.transform(F.slice("k", 1, 1), lambda x: x.withField("id", F.concat(F.lit("old-"), x["id"]))))
+    last = commit(F.when(key % 11 != 0, F.concat(F.lit("sha"), key)), F.col("k"))
+    node = {
+        "number": key, "title": F.col("o_orderpriority"), "state": F.when(merged, "MERGED"), "createdAt": created, "updatedAt": _iso("o_orderdate"), "mergedAt": done, "closedAt": done,
+        "baseRefName": F.lit("main"), "headRefName": F.concat(F.lit("f"), key), "additions": F.col("o_totalprice").cast("long"), "changedFiles": F.size("f").cast("long"), "author": _actor(F.when(key % 89 != 0, _dev("o_custkey"))),
+        "mergedBy": _actor(F.when(merged, "Merge[bot]")), "reviews": _nodes(F.col("r")), "reviewThreads": _nodes(F.col("th")), "comments": _nodes(F.col("c")), "files": _nodes(F.col("f")), "commits": _nodes(F.array(earlier, last)),
+    }
+    return o.select("o_custkey", "o_orderkey", F.struct(*[c.alias(n) for n, c in node.items()]).alias("node"))
+
+
+def _repository(owner: Column) -> list[Column]:
+    return [F.concat(F.lit("Owner/Repo"), owner).alias("nameWithOwner"), F.lit(False).alias("isFork"), F.struct(F.lit("Rust").alias("name")).alias("primaryLanguage"), F.lit("1992-01-01T00:00:00Z").alias("createdAt")]
+
+
+def request_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of each customer with requests, as the wire has it: orders are requests, their line items what stands in them."""
+    o = _dealt(_request_nodes(spark, d), "o_custkey", "o_orderkey")
+    by = o.groupBy("o_custkey", "page").agg(F.collect_list("node").alias("nodes"))
+    return by.select(F.struct(F.struct(*_repository(F.col("o_custkey")), F.struct("nodes").alias("pullRequests")).alias("repository")).alias("data"))
+
+
+def search_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The same requests as a search by person finds them: each node has its repository, and nodes without a number come too."""
+    o = _dealt(_request_nodes(spark, d), "o_custkey", "o_orderkey")
+    found = o.withColumn("node", F.col("node").withField("repository", F.struct(*_repository(F.col("o_custkey")))))
+    by = found.groupBy("o_custkey", "page").agg(F.collect_list("node").alias("nodes"))
+    lost = F.transform(F.slice("nodes", 1, 1), lambda x: x.withField("number", F.lit(None).cast("long")))
+    return by.select(F.struct(F.struct(F.concat("nodes", lost).alias("nodes")).alias("search")).alias("data"))
+
+
+def issue_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of each language with issues: documents are issues, the turns of a conversation of that number their comments."""
+    turn = t.read(spark, d, "conversations")
+    note = F.struct(F.concat_ws("-", F.lit("T"), "conv_id", "turn").alias("id"), F.col("text").alias("body"), F.lit("2024-03-10T10:30:00Z").alias("createdAt"), _actor(F.concat(F.lit("Dev"), F.col("conv_id") % 30), F.col("role") == "assistant").alias("author"))
+    notes = turn.groupBy("conv_id").agg(F.collect_list(note).alias("c"))
+    doc = t.read(spark, d, "documents").join(notes, F.col("doc_id") == F.col("conv_id"), "left")
+    k = F.col("doc_id")
+    day = lambda n: _iso(F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int")).cast("timestamp"))
+    created = F.when(k % 61 == 0, "2024-13-45").otherwise(day(k % 300))
+    closed = k % 3 == 0
+    stone = F.struct(F.concat(F.lit("M-"), "lang", F.lit("-"), "source").alias("id"), F.lit(1).cast("long").alias("number"), F.col("source").alias("title"), F.lit("OPEN").alias("state"), day(F.lit(400)).alias("dueOn"), day(F.lit(1)).alias("createdAt"))
+    label = lambda *name: F.struct(F.concat_ws("-", F.lit("L"), "lang", *name).alias("id"), F.concat_ws("-", *name).alias("name"), F.when(k % 2 == 0, "ff0000").alias("color"))
+    node = {
+        "id": F.concat(F.lit("I-"), k), "number": k, "title": F.col("source"), "body": F.substring("text", 1, 200), "state": F.when(closed, "CLOSED").otherwise("OPEN"), "stateReason": F.when(closed, "COMPLETED"), "createdAt": created, "updatedAt": F.when(k % 5 != 0, day(k % 300 + 7)),
+        "closedAt": F.when(closed, day(k % 300 + 7)), "author": _actor(F.when(k % 13 != 0, F.concat(F.lit("Dev"), k % 40))), "milestone": F.when(k % 4 == 0, stone), "labels": _nodes(F.array(label(F.lit("bug")), label(F.lit("from"), F.lit("docs")))),
+        "assignees": _nodes(F.array(_actor(F.concat(F.lit("Dev"), k % 7)), _actor(F.concat(F.lit("DEV"), k % 7)))), "comments": _nodes(F.col("c")),
+    }
+    issue = _dealt(doc.select("lang", "doc_id", F.struct(*[c.alias(n) for n, c in node.items()]).alias("node")), "lang", "doc_id")
+    by = issue.groupBy("lang", "page").agg(F.collect_list("node").alias("nodes"))
+    return by.select(F.struct(F.struct(F.concat(F.lit("Docs/"), F.upper("lang")).alias("nameWithOwner"), F.struct("nodes").alias("issues")).alias("repository")).alias("data"))
+
+
+def shown(df: DataFrame) -> DataFrame:
+    """Dates and times as text."""
+    text = {"date": lambda c: F.col(c).cast("string"), "timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")}
+    return df.select(*[text[kind](c).alias(c) if kind in text else F.col(c) for c, kind in df.dtypes])
+
+
+def _requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return pages.split_rejects(pages.read_pr_pages(spark, _landed(request_pages(spark, d), "pages")))
+
+
+def _issues(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return pages.split_rejects(pages.read_issue_pages(spark, _landed(issue_pages(spark, d), "issues")))
+
+
+QUERIES, SQL = {}, {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+# --- requests
+
+_O = """o AS (SELECT *, 'owner/repo' || o_custkey AS repo_key, 'owner/repo' || o_custkey || '#' || o_orderkey AS pr_key FROM orders WHERE o_orderkey % 97 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 103 = 0 AND l_linenumber = 1)),
+l AS (SELECT lineitem.*, pr_key, repo_key, o_orderkey, l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_partkey AS k, CASE WHEN l_suppkey % 9 = 0 THEN 'bot:dev' ELSE 'user:dev' END || l_suppkey AS who, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS moment FROM lineitem JOIN o ON l_orderkey = o_orderkey)"""
+
+
+def _day(c: str) -> str:
+    return f"CAST(CAST({c} AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}' AS DATE) AS VARCHAR)"
+
+
+def _hour(c: str) -> str:
+    return f"strftime({c} AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}', '%H:00')"
+
+
+_DONE = "CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 30 HOUR END"
+_REQUESTS = f"""WITH {_O}, n AS (SELECT l_orderkey, count(*) AS reviews, count(*) + count(*) FILTER (l_linestatus = 'O' AND l_returnflag = 'R') AS comments, count(DISTINCT (l_partkey, CAST(l_quantity AS BIGINT))) AS files FROM lineitem GROUP BY 1)
+SELECT pr_key, o_orderkey AS number, repo_key, CASE WHEN o_orderkey % 89 = 0 THEN 'user:ghost' ELSE 'user:dev' || o_custkey END AS author_key, CASE WHEN o_orderstatus = 'F' THEN 'MERGED' ELSE 'OPEN' END AS state, FALSE AS is_draft, o_orderpriority AS title, '' AS body, 'main' AS base_ref, 'f' || o_orderkey AS head_ref,
+strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS updated_at, strftime({_DONE}, '%Y-%m-%d %H:%M:%S') AS merged_at, strftime({_DONE}, '%Y-%m-%d %H:%M:%S') AS closed_at, CASE WHEN o_orderstatus = 'F' THEN 'bot:merge[bot]' END AS merged_by_key,
+{_day("o_orderdate")} AS created_date_key, {_hour("o_orderdate")} AS created_time_key, {_day("o_orderdate")} AS updated_date_key, {_hour("o_orderdate")} AS updated_time_key, {_day(f"({_DONE})")} AS merged_date_key,
+coalesce(comments, 0) AS comment_count, coalesce(reviews, 0) AS review_count, coalesce(files, 0) AS changed_files, CAST(trunc(o_totalprice) AS BIGINT) AS additions, CAST(0 AS BIGINT) AS deletions FROM o LEFT JOIN n ON l_orderkey = o_orderkey"""
+
+
+@query(_REQUESTS)
+def ingest_requests(spark: SparkSession, d: str) -> DataFrame:
+    """The request facts themselves."""
+    return shown(pages.pull_requests(_requests(spark, d)[0], ZONE))
+
+
+@query(f"WITH {_O} SELECT 'R-' || k AS review_key, pr_key, who AS reviewer_key, CASE WHEN l_returnflag = 'N' THEN 'COMMENTED' ELSE l_returnflag END AS state, CASE WHEN l_returnflag = 'R' THEN 'please change' END AS body, moment AS submitted_at, {_day('l_shipdate')} AS submitted_date_key, {_hour('l_shipdate')} AS submitted_time_key FROM l WHERE l_linenumber <> 7")
+def ingest_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews that have been submitted."""
+    return shown(pages.reviews(_requests(spark, d)[0], ZONE))
+
+
+_SAID = f"pr_key, 'src/' || l_partkey AS path, CAST(l_linenumber AS BIGINT) AS line, 'see ' || l_partkey AS body, moment AS created_at, {_day('l_shipdate')} AS created_date_key, {_hour('l_shipdate')} AS created_time_key"
+
+
+@query(f"WITH {_O} SELECT 'C-' || k AS comment_key, who AS author_key, NULL AS in_reply_to, {_SAID} FROM l WHERE l_linestatus = 'O' UNION ALL SELECT 'P-' || k, 'user:ghost', 'C-' || k, {_SAID} FROM l WHERE l_linestatus = 'O' AND l_returnflag = 'R'")
+def ingest_review_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Comments of all threads; one without an actor is the ghost's."""
+    return shown(pages.review_comments(_requests(spark, d)[0], ZONE).drop("review_key"))
+
+
+@query(f"WITH {_O} SELECT 'N-' || k AS comment_key, 'pull_request' AS parent_type, pr_key AS parent_key, who AS author_key, 'note' AS body, moment AS created_at, {_day('l_shipdate')} AS created_date_key, {_hour('l_shipdate')} AS created_time_key FROM l WHERE l_linestatus <> 'O'")
+def ingest_pr_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Comments of the conversation."""
+    return shown(pages.pr_comments(_requests(spark, d)[0], ZONE).drop("in_reply_to"))
+
+
+@query(f"WITH {_O} SELECT DISTINCT pr_key || ':src/' || l_partkey AS file_diff_key, pr_key, repo_key, 'src/' || l_partkey AS file_path, 'MODIFIED' AS change_type, CAST(l_quantity AS BIGINT) AS additions, CAST(0 AS BIGINT) AS deletions FROM l")
+def ingest_file_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Changed files."""
+    return pages.file_diffs(_requests(spark, d)[0]).drop("previous_path", "patch")
+
+
+@query(f"WITH {_O} SELECT 'K-' || k AS check_run_key, pr_key, 'sha' || o_orderkey AS head_sha, 'ci-' || l_linenumber AS name, 'COMPLETED' AS status, CASE l_returnflag WHEN 'R' THEN 'FAILURE' WHEN 'A' THEN 'SUCCESS' END AS conclusion, moment AS started_at, moment AS completed_at FROM l WHERE o_orderkey % 11 <> 0")
+def ingest_check_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of the last commit; none where its hash is missing."""
+    return shown(pages.check_runs(_requests(spark, d)[0]))
+
+
+_DOC = "d AS (SELECT *, doc_id % 300 AS n FROM documents WHERE doc_id % 61 <> 0), tn AS (SELECT conversations.*, d.lang, CASE WHEN role = 'assistant' THEN 'bot:dev' ELSE 'user:dev' END || (conv_id % 30) AS who FROM conversations JOIN d ON doc_id = conv_id)"
+
+
+@query(f"""WITH {_O}, {_DOC}, a AS (SELECT 'user:dev' || o_custkey AS entity_key, 'Dev' || o_custkey AS name FROM o WHERE o_orderkey % 89 <> 0 UNION SELECT 'bot:merge[bot]', 'Merge[bot]' FROM o WHERE o_orderstatus = 'F' UNION SELECT who, 'Dev' || l_suppkey FROM l
+UNION SELECT 'user:dev' || (doc_id % 40), 'Dev' || (doc_id % 40) FROM d WHERE doc_id % 13 <> 0 UNION SELECT 'user:dev' || (doc_id % 7), 'DEV' || (doc_id % 7) FROM d UNION SELECT who, 'Dev' || (conv_id % 30) FROM tn UNION SELECT 'user:ghost', 'ghost')
+SELECT entity_key, split_part(entity_key, ':', 1) AS entity_type, substr(entity_key, strpos(entity_key, ':') + 1) AS login, entity_key LIKE 'user:%' AS is_human, entity_key LIKE 'bot:%' AS is_bot, min(name) AS name FROM a GROUP BY 1""")
+def ingest_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Actors of requests and issues in all places."""
+    return pages.entities(_requests(spark, d)[0], _issues(spark, d)[0])
+
+
+@query(f"WITH {_O} SELECT DISTINCT repo_key, 'owner' AS owner, 'repo' || o_custkey AS name, 'Rust' AS primary_language, FALSE AS is_fork, FALSE AS is_private, '1992-01-01 00:00:00' AS created_at FROM o")
+def ingest_repositories(spark: SparkSession, d: str) -> DataFrame:
+    """Repositories of the pages' headers."""
+    return shown(pages.repositories(_requests(spark, d)[0]).drop("default_branch"))
+
+
+@query(f"""WITH {_O} SELECT 'dim_repositories' AS "table", count(DISTINCT o_custkey) AS n FROM o
+UNION ALL SELECT 'dim_entities', count(DISTINCT k) FROM (SELECT 'user:dev' || o_custkey AS k FROM o WHERE o_orderkey % 89 <> 0 UNION SELECT who FROM l UNION SELECT 'bot:merge[bot]' FROM o WHERE o_orderstatus = 'F' UNION SELECT 'user:ghost')
+UNION ALL SELECT 'fact_pull_requests', count(*) FROM o UNION ALL SELECT 'fact_reviews', count(*) FROM l WHERE l_linenumber <> 7
+UNION ALL SELECT 'fact_file_diffs', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) FROM l)
+UNION ALL SELECT 'fact_review_comments', count(*) + count(*) FILTER (l_returnflag = 'R') FROM l WHERE l_linestatus = 'O'
+UNION ALL SELECT 'fact_issue_comments', count(*) FROM l WHERE l_linestatus <> 'O' UNION ALL SELECT 'fact_check_runs', count(*) FROM l WHERE o_orderkey % 11 <> 0""")
 def ingest_pages(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each table that the landed pages fill."""
-    good, _ = pages.split_rejects(pages.read_pr_pages(spark, _landed(spark, d)))
-    made = pages.request_tables(good, "UTC")
     out = None
-    for name, df in sorted(made.items()):
+    for name, df in sorted(pages.request_tables(_requests(spark, d)[0], "UTC").items()):
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def ingest_requests(spark: SparkSession, d: str) -> DataFrame:
-    """The request facts themselves."""
-    good, _ = pages.split_rejects(pages.read_pr_pages(spark, _landed(spark, d)))
-    return pages.pull_requests(good, "UTC").select("pr_key", "author_key", "state", "review_count", F.col("created_date_key").cast("string").alias("created"))
+_BAD = "o_orderkey % 97 = 0 OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 103 = 0 AND l_linenumber = 1)"
 
 
+@query(f"WITH a AS (SELECT 'owner/repo' || o_custkey AS repo_key, max(o_orderdate) FILTER (NOT bad) AS newest, min(o_orderdate) FILTER (bad) AS first_bad, count(*) FILTER (bad) AS rejected FROM (SELECT *, {_BAD} AS bad FROM orders) GROUP BY 1) SELECT repo_key, strftime(coalesce(first_bad, newest), '%Y-%m-%d') AS cursor, rejected FROM a WHERE newest IS NOT NULL")
 def ingest_rejects(spark: SparkSession, d: str) -> DataFrame:
     """Per repository: rejected items and the cursor, which stays at the oldest of them."""
-    items = pages.read_pr_pages(spark, _landed(spark, d))
-    good, bad = pages.split_rejects(items)
-    by = F.lower("header.nameWithOwner").alias("repo_key")
-    accepted = good.select(by, F.try_to_timestamp("node.updatedAt").alias("updated_at"))
+    good, bad = _requests(spark, d)
+    accepted = good.select(F.lower("header.nameWithOwner").alias("repo_key"), F.try_to_timestamp("node.updatedAt").alias("updated_at"))
     rejected = bad.select(F.split_part("item_key", F.lit("#"), F.lit(1)).alias("repo_key"), "updated_at")
     old = accepted.limit(0).select("repo_key", F.col("updated_at").alias("cursor"))
     n = rejected.groupBy("repo_key").agg(F.count("*").alias("rejected"))
     return advance_cursors(old, accepted, rejected, ["repo_key"]).join(n, "repo_key", "left").select("repo_key", F.date_format("cursor", "yyyy-MM-dd").alias("cursor"), F.coalesce("rejected", F.lit(0)).cast("long").alias("rejected"))
 
 
-def stream_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Requests after a streamed ingest of the landed pages and a second one of the same pages."""
-    landing, root = _landed(spark, d), _place(spark, "warehouse")
+@query(_REQUESTS)
+def two_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Requests that repository pages and person searches both bring land once."""
+    columns = lambda path_items: pages.pull_requests(path_items, ZONE)
+    found = pages.split_rejects(pages.read_search_pages(spark, _landed(search_pages(spark, d), "search")))[0]
+    by_repo, by_person = columns(_requests(spark, d)[0]), columns(found)
+    half = by_repo.filter("number % 3 <> 0")
+    both = half.unionByName(by_person)
+    return shown(merge.merge_table("fact_pull_requests", half, both, [F.desc("updated_at"), F.col("pr_key")]))
+
+
+@query(f"WITH {_O}, f AS (SELECT DISTINCT pr_key, l_partkey, CAST(l_quantity AS BIGINT) AS q FROM l) SELECT pr_key || ':src/' || l_partkey AS file_diff_key, q AS additions, CASE WHEN l_partkey % 2 = 0 THEN '@@ ' || l_partkey END AS patch, CASE WHEN l_partkey % 4 = 0 THEN 'old/' || l_partkey END AS previous_path FROM f")
+def patch_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Patches of scanned files reach the diffs that exist; files that no request has are left out."""
+    diffs = pages.file_diffs(_requests(spark, d)[0])
+    line = t.read(spark, d, "lineitem").join(t.read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).filter("l_partkey % 2 = 0")
+    pr_key = F.concat(F.lit("owner/repo"), "o_custkey", F.lit("#"), "o_orderkey")
+    scan = line.select(pr_key.alias("pr_key"), F.concat(F.lit("src/"), "l_partkey").alias("filename"), F.when(F.col("l_partkey") % 4 == 0, F.concat(F.lit("old/"), "l_partkey")).alias("previous_filename"), F.concat(F.lit("@@ "), "l_partkey").alias("patch"))
+    lost = scan.withColumn("filename", F.concat(F.lit("gone/"), "filename")).unionByName(scan.withColumn("filename", F.lit(None).cast("string")))
+    patches = pages.read_patches(spark, _landed(scan.unionByName(lost), "patches"))
+    return merge.backfill_patches(diffs, patches).select("file_diff_key", "additions", "patch", "previous_path")
+
+
+# --- issues
+
+_STAMP = "strftime(DATE '2024-01-01' + CAST({} AS INTEGER), '%Y-%m-%d %H:%M:%S')"
+_CREATED = "DATE '2024-01-01' + CAST(n AS INTEGER)"
+
+
+@query(f"WITH {_DOC}, c AS (SELECT conv_id, count(*) AS n_comments FROM conversations GROUP BY 1) SELECT 'I-' || doc_id AS id, 'docs/' || lang AS repo_key, doc_id AS number, source AS title, substr(text, 1, 200) AS body, CASE WHEN doc_id % 3 = 0 THEN 'closed' ELSE 'open' END AS state, CASE WHEN doc_id % 3 = 0 THEN 'completed' END AS state_reason, CASE WHEN doc_id % 13 = 0 THEN 'user:ghost' ELSE 'user:dev' || (doc_id % 40) END AS author_key, CASE WHEN doc_id % 4 = 0 THEN 'M-' || lang || '-' || source END AS milestone_id, coalesce(n_comments, 0) AS comment_count, {_STAMP.format('n')} AS created_at, CASE WHEN doc_id % 5 = 0 THEN {_STAMP.format('n')} ELSE {_STAMP.format('n + 7')} END AS updated_at, CASE WHEN doc_id % 3 = 0 THEN {_STAMP.format('n + 7')} END AS closed_at, {_day('CAST(' + _CREATED + ' AS TIMESTAMP)')} AS created_date_key FROM d LEFT JOIN c ON conv_id = doc_id")
+def ingest_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Issue rows; an update time that is missing is the creation's."""
+    return shown(pages.issues(_issues(spark, d)[0], ZONE))
+
+
+@query(f"WITH {_DOC} SELECT DISTINCT 'M-' || lang || '-' || source AS id, 'docs/' || lang AS repo_key, CAST(1 AS BIGINT) AS number, source AS title, 'open' AS state, {_STAMP.format('400')} AS due_on, {_STAMP.format('1')} AS created_at FROM d WHERE doc_id % 4 = 0")
+def ingest_milestones(spark: SparkSession, d: str) -> DataFrame:
+    """Milestones, once each."""
+    return shown(pages.milestones(_issues(spark, d)[0]).drop("description"))
+
+
+@query(f"WITH {_DOC} SELECT DISTINCT 'L-' || lang || '-' || w AS id, 'docs/' || lang AS repo_key, w AS name, '' AS description FROM d, (SELECT unnest(['bug', 'from-docs']) AS w)")
+def ingest_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels, once each."""
+    return pages.labels(_issues(spark, d)[0]).drop("color")
+
+
+@query(f"WITH {_DOC} SELECT 'label' AS link, 'I-' || doc_id AS issue_id, 'L-' || lang || '-' || w AS linked FROM d, (SELECT unnest(['bug', 'from-docs']) AS w) UNION ALL SELECT 'assignee', 'I-' || doc_id, 'user:dev' || (doc_id % 7) FROM d")
+def ingest_issue_links(spark: SparkSession, d: str) -> DataFrame:
+    """Bridges of issues; an assignee named twice is one."""
+    items = _issues(spark, d)[0]
+    labels = pages.issue_labels(items).select(F.lit("label").alias("link"), "issue_id", F.col("label_id").alias("linked"))
+    return labels.unionByName(pages.issue_assignees(items).select(F.lit("assignee").alias("link"), "issue_id", F.col("entity_key").alias("linked")))
+
+
+@query(f"WITH {_DOC} SELECT 'T-' || conv_id || '-' || turn AS comment_key, 'issue' AS parent_type, 'I-' || conv_id AS parent_key, who AS author_key, text AS body, '2024-03-10 10:30:00' AS created_at, '2024-03-10' AS created_date_key, '03:00' AS created_time_key FROM tn")
+def ingest_issue_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Comments of issues, on the day that clocks change."""
+    return shown(pages.issue_comments(_issues(spark, d)[0], ZONE).drop("in_reply_to"))
+
+
+@query("SELECT 'I-' || doc_id AS item_key, CASE WHEN doc_id % 5 <> 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 300 + 7 AS INTEGER), '%Y-%m-%d %H:%M:%S') END AS updated_at FROM documents WHERE doc_id % 61 = 0")
+def ingest_issue_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Issues whose times do not parse."""
+    return shown(_issues(spark, d)[1].select("item_key", "updated_at"))
+
+
+# --- streaming, merges by table, sinks
+
+
+def _replayed(spark: SparkSession, d: str) -> str:
+    """The tables after a streamed ingest of the landed pages and a second one of the same pages."""
+    landing, root = _landed(request_pages(spark, d), "pages"), _place(spark, "warehouse")
     for k in range(2):
-        ingest.ingest(spark, landing, root, f"{root}/checkpoint{k}").awaitTermination()
-    return ingest.current(spark, root, "fact_pull_requests").select("pr_key", "author_key", "state", "review_count", F.col("created_date_key").cast("string").alias("created"))
-
-
-_O = "o AS (SELECT * FROM orders WHERE o_orderkey % 97 <> 0)"
-_REQUESTS = f"WITH {_O} SELECT 'owner/repo' || o_custkey || '#' || o_orderkey AS pr_key, 'user:dev' || o_custkey AS author_key, CASE WHEN o_orderstatus = 'F' THEN 'MERGED' ELSE 'OPEN' END AS state, coalesce(n, 0) AS review_count, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS created FROM o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"
-
-QUERIES = {f.__name__: f for f in (ingest_pages, ingest_requests, ingest_rejects, stream_replay)}
-SQL = {
-    "ingest_requests": _REQUESTS,
-    "stream_replay": _REQUESTS,
-    "ingest_rejects": "WITH a AS (SELECT 'owner/repo' || o_custkey AS repo_key, max(o_orderdate) FILTER (o_orderkey % 97 <> 0) AS newest, min(o_orderdate) FILTER (o_orderkey % 97 = 0) AS bad, count(*) FILTER (o_orderkey % 97 = 0) AS rejected FROM orders GROUP BY 1) SELECT repo_key, strftime(coalesce(bad, newest), '%Y-%m-%d') AS cursor, rejected FROM a WHERE newest IS NOT NULL",
-    "ingest_pages": f"""WITH {_O}, l AS (SELECT * FROM lineitem JOIN o ON l_orderkey = o_orderkey)
-SELECT 'dim_repositories' AS "table", count(DISTINCT o_custkey) AS n FROM o
-UNION ALL SELECT 'dim_entities', 1 + (SELECT count(DISTINCT k) FROM (SELECT 'user:' || o_custkey AS k FROM o UNION SELECT CASE WHEN l_suppkey % 9 = 0 THEN 'bot:' ELSE 'user:' END || l_suppkey FROM l))
-UNION ALL SELECT 'fact_pull_requests', count(*) FROM o
-UNION ALL SELECT 'fact_reviews', count(*) FROM l
-UNION ALL SELECT 'fact_file_diffs', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) FROM l)
-UNION ALL SELECT unnest(['fact_review_comments', 'fact_issue_comments', 'fact_check_runs']), 0""",
-}
+        ingest.ingest(spark, landing, root, f"{root}/checkpoint{k}", ZONE).awaitTermination()
+    ingest.drop_old_versions(spark, root, 1)
+    return root
+
+
+@query(_REQUESTS)
+def stream_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Requests after a stream and its replay."""
+    return shown(ingest.current(spark, _replayed(spark, d), "fact_pull_requests"))
+
+
+@query(f"WITH b AS (SELECT *, {_BAD} AS bad FROM orders) SELECT 'reject' AS kind, 'owner/repo' || o_custkey || '#' || o_orderkey AS key, strftime(o_orderdate, '%Y-%m-%d') AS day FROM b WHERE bad UNION ALL SELECT 'cursor', 'repo:owner/repo' || o_custkey, strftime(coalesce(min(o_orderdate) FILTER (bad), max(o_orderdate) FILTER (NOT bad)), '%Y-%m-%d') FROM b GROUP BY o_custkey HAVING count(*) FILTER (NOT bad) > 0")
+def stream_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Rejects and cursors after a stream and its replay: each item once."""
+    root = _replayed(spark, d)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("day")
+    bad = ingest.current(spark, root, "rejects").select(F.lit("reject").alias("kind"), F.col("item_key").alias("key"), day("updated_at"))
+    return bad.unionByName(ingest.current(spark, root, "cursors").select(F.lit("cursor").alias("kind"), F.concat_ws(":", "source_type", "source_id").alias("key"), day("cursor")))
+
+
+#: What a changed row may do to each column: R takes the new value, K keeps the first, C takes the new one unless it is null.
+_RULES = """dim_entities entity_type:R is_human:R is_bot:R login:K name:K | dim_repositories primary_language:R is_fork:R is_private:R default_branch:R owner:K name:K created_at:C
+| fact_pull_requests state:R is_draft:R title:R body:R base_ref:R head_ref:R updated_at:R merged_at:R closed_at:R merged_by_key:R updated_date_key:R updated_time_key:R merged_date_key:R comment_count:R review_count:R changed_files:R additions:R deletions:R number:K repo_key:K author_key:K created_at:K created_date_key:K created_time_key:K
+| fact_reviews state:R body:R submitted_at:R submitted_date_key:R submitted_time_key:R pr_key:K reviewer_key:K | fact_review_comments in_reply_to:R path:R line:R body:R pr_key:K author_key:K review_key:K created_at:K created_date_key:K created_time_key:K
+| fact_issue_comments body:R in_reply_to:R parent_type:K parent_key:K author_key:K created_at:K created_date_key:K created_time_key:K | fact_check_runs status:R conclusion:R started_at:R completed_at:R pr_key:K head_sha:K name:K
+| fact_file_diffs previous_path:R change_type:R additions:R deletions:R patch:C pr_key:K repo_key:K file_path:K | issues title:R body:R state:R state_reason:R author_key:R milestone_id:R comment_count:R updated_at:R closed_at:R created_date_key:R repo_key:K number:K created_at:K
+| labels name:R color:R description:R repo_key:K | milestones title:R description:R state:R due_on:R repo_key:K number:K created_at:K"""
+_RULE_ROWS = ", ".join(f"('{table}', '{c}', '{rule}')" for table, *cols in (part.split() for part in _RULES.split("|")) for c, rule in (x.split(":") for x in cols))
+
+
+@query(f"""WITH r(t, c, rule) AS (VALUES {_RULE_ROWS}), k AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 <> 0 THEN 'old' END AS was, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 7 <> 0 THEN 'new' END AS now, o_orderkey % 3 <> 0 AS had, o_orderkey % 2 = 0 AS has FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0)
+SELECT t AS "table", c AS "column", CASE WHEN NOT has THEN was WHEN NOT had THEN now WHEN rule = 'R' THEN now WHEN rule = 'K' THEN was ELSE coalesce(now, was) END AS value, count(*) AS n FROM k, r GROUP BY ALL""")
+def merge_policies(spark: SparkSession, d: str) -> DataFrame:
+    """Every table's merge with a changed batch, which holds an older row of each key too: what its columns hold after it."""
+    o, k, out = t.read(spark, d, "orders").select("o_orderkey"), F.col("o_orderkey"), None
+    for table, *cols in (part.split() for part in _RULES.split("|")):
+        key, names = merge.POLICIES[table][0][0], [c.split(":")[0] for c in cols]
+        fill = lambda df, v: df.select(k.alias(key), *[v.alias(c) for c in names])  # noqa: B023, E731
+        new = fill(o.filter(k % 2 == 0), F.when(k % 7 != 0, "new")).withColumn("_seq", F.lit(2)).unionByName(fill(o.filter(k % 2 == 0), F.lit("older")).withColumn("_seq", F.lit(1)))
+        done = merge.merge_table(table, fill(o.filter(k % 3 != 0), F.lit("old")), new, [F.desc("_seq")])
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in names])).alias("x")
+        one = done.select(pairs).groupBy("x.column", "x.value").agg(F.count("*").alias("n")).select(F.lit(table).alias("table"), "column", "value", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _output(spark: SparkSession, d: str) -> DataFrame:
+    """The thirteen fields of a listing as files have them."""
+    prs = pages.pull_requests(_requests(spark, d)[0], "UTC")
+    named = listing.with_authors(prs, spark.createDataFrame([], "entity_key string, login string, entity_type string"))
+    title = F.concat(F.lit('say "'), "title", F.lit('", then\nmore'))
+    return shown(named.select("pr_key", "number", F.col("repo_key").alias("repo"), "author", "author_type", "state", title.alias("title"), "created_at", "merged_at", F.col("comment_count").alias("comments"), F.col("review_count").alias("reviews"), "additions", "deletions"))
+
+
+_OUTPUT = f"""WITH q AS ({_REQUESTS}) SELECT pr_key, number, repo_key AS repo, substr(author_key, 6) AS author, 'user' AS author_type, state, 'say "' || title || '", then' || chr(10) || 'more' AS title, created_at, merged_at, comment_count AS comments, review_count AS reviews, additions, deletions FROM q"""
+
+
+@query(_OUTPUT)
+def sink_csv(spark: SparkSession, d: str) -> DataFrame:
+    """A listing written as CSV and read back; quotes, commas and line feeds within a field survive."""
+    out = _output(spark, d)
+    sinks.write_csv(out, path := _place(spark, "csv"))
+    return spark.read.schema(out.schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
+@query(_OUTPUT)
+def sink_json(spark: SparkSession, d: str) -> DataFrame:
+    """A listing written as JSON lines and read back."""
+    out = _output(spark, d)
+    sinks.write_json(out, path := _place(spark, "json"))
+    return spark.read.schema(out.schema).json(path)
+
+
+@query(f"WITH {_O} SELECT strftime(o_orderdate, '%Y-%m') AS created_month, count(*) AS n, CAST(sum(CASE WHEN o_orderdate < DATE '1997-03-01' AND o_orderdate >= DATE '1997-02-01' THEN 1 ELSE 0 END) AS BIGINT) AS rewritten FROM o GROUP BY 1")
+def sink_months(spark: SparkSession, d: str) -> DataFrame:
+    """A fact in folders by month; a merge that touches one month writes that folder alone."""
+    prs = pages.pull_requests(_requests(spark, d)[0], "UTC").withColumn("batch", F.lit(1))
+    sinks.write_table(prs, path := _place(spark, "facts"), "created_at")
+    touched = prs.filter("created_at >= timestamp'1997-02-01' AND created_at < timestamp'1997-03-01'").withColumn("batch", F.lit(2))
+    sinks.write_table(touched, path, "created_at")
+    again = F.count_if(F.col("batch") == 2)
+    return spark.read.parquet(path).groupBy("created_month").agg(F.count("*").alias("n"), again.alias("rewritten"))

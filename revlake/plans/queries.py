@@ -102,15 +102,48 @@ def filter_by_empty_set(spark, d):
     return one("none", listing.where_in(own, "author", [])).union(one("all", listing.where_not_in(own, "author", [])))
 
 
+@query(f"WITH {t.PR}, a AS (SELECT c_custkey FROM customer WHERE c_name IN ('Customer#000000007', 'Customer#000000011') AND c_mktsegment <> 'MACHINERY' OR c_mktsegment = 'MACHINERY' AND c_name = 'Customer#000000001') SELECT {_LIST} FROM pr WHERE author IN (SELECT c_custkey FROM a)")
+def listing_by_login(spark, d):
+    """Bare logins in any case give every entity that has them; type:login is taken as it is."""
+    c = t.read(spark, d, "customer")
+    kind = F.when(F.col("c_mktsegment") == "MACHINERY", "Bot").otherwise("User")
+    known = c.select("c_custkey", identity.entity_key(F.col("c_name"), kind).alias("entity_key"), F.lower("c_name").alias("login"))
+    asked = spark.createDataFrame([("user:customer#000000007",), ("User:CUSTOMER#000000011",), ("bot:customer#000000001",), ("nobody",)], "login string")
+    keys = known.join(identity.resolve_logins(asked, known.select("login", "entity_key")).select("entity_key"), "entity_key", "left_semi")
+    return _listed(listing.where_related(t.requests(spark, d), keys.select(F.col("c_custkey").alias("author")), "author"))
+
+
+@query(f"WITH {t.PR} SELECT {_LIST} FROM pr WHERE repo IN (SELECT n_nationkey FROM nation WHERE lower(n_name) IN ('nation_3', 'nation_8'))")
+def listing_by_repo(spark, d):
+    named = t.scoped_requests(spark, d).join(t.read(spark, d, "nation").select(F.col("n_nationkey").alias("repo"), F.lower("n_name").alias("repo_key")), "repo")
+    return _listed(listing.where_repo(named, ["NATION_3", "nation_8", "Nation_99"]))
+
+
+@query(f"""WITH {t.PR}, rv AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT 'owner/nation_' || repo || '#' || pr_key AS pr_key, 'owner/nation_' || repo AS repo_key, pr_key AS number, 'pr ' || pr_key AS title,
+CASE WHEN author % 7 = 0 THEN 'cust-' || author ELSE c_name END AS author, CASE WHEN author % 7 = 0 AND author % 2 = 0 THEN 'bot' WHEN author % 7 = 0 THEN 'user' WHEN c_mktsegment = 'MACHINERY' THEN 'bot' ELSE 'user' END AS author_type, CASE WHEN author % 2 = 0 THEN 'bot' ELSE 'user' END || ':cust-' || author AS author_key, state,
+CAST(created AS VARCHAR) AS created_at, CAST(created + 1 AS VARCHAR) AS updated_at, CAST(CASE WHEN state = 'MERGED' THEN created + 1 END AS VARCHAR) AS merged_at, CAST(coalesce(q, 0) AS BIGINT) AS additions, 0 AS deletions, coalesce(n, 0) AS review_count FROM pr LEFT JOIN rv ON l_orderkey = pr_key""")
+def listing_full(spark, d):
+    """All fourteen fields; an author that the dimension lacks is named by the key."""
+    k = F.col("author")
+    key = F.concat(F.when(k % 2 == 0, "bot").otherwise("user"), F.lit(":cust-"), k)
+    counts = t.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("number")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    repo = F.concat(F.lit("owner/nation_"), "repo")
+    prs = t.scoped_requests(spark, d).select(F.col("pr_key").alias("number"), repo.alias("repo_key"), key.alias("author_key"), "state", F.col("created").alias("created_at"), F.date_add("created", 1).alias("updated_at"), F.when(F.col("state") == "MERGED", F.date_add("created", 1)).alias("merged_at")).join(counts, "number", "left")
+    prs = prs.select(identity.pr_key(F.col("repo_key"), F.col("number")).alias("pr_key"), "repo_key", "number", F.concat(F.lit("pr "), "number").alias("title"), "author_key", "state", "created_at", "updated_at", "merged_at", F.coalesce(F.col("q").cast("long"), F.lit(0)).alias("additions"), F.lit(0).cast("int").alias("deletions"), F.coalesce("n", F.lit(0)).alias("review_count"))
+    c = t.read(spark, d, "customer").filter("c_custkey % 7 <> 0")
+    known = c.select(F.concat(F.when(F.col("c_custkey") % 2 == 0, "bot").otherwise("user"), F.lit(":cust-"), "c_custkey").alias("entity_key"), F.col("c_name").alias("login"), F.when(F.col("c_mktsegment") == "MACHINERY", "bot").otherwise("user").alias("entity_type"))
+    return dates_as_text(listing.with_authors(prs, known))
+
+
 @query(f"WITH {t.PR}, {t.RV} SELECT count(DISTINCT pr.pr_key) AS n FROM pr JOIN rv USING (pr_key) WHERE reviewer IN (3, 4, 5) AND state = 'MERGED'")
 def count_matching(spark, d):
     met = listing.where_in(t.reviews(spark, d), "reviewer", [3, 4, 5])
     return listing.count_rows(listing.where_related(listing.where_in(t.requests(spark, d), "state", ["MERGED"]), met, "pr_key"))
 
 
-@query(f"WITH {t.PR} SELECT round(coalesce(sum(lines), 0), 2) AS lines FROM pr WHERE state = 'MERGED' AND created {CUR}")
+@query(f"WITH {t.PR} SELECT round(coalesce(sum(added), 0), 2) AS added, round(coalesce(sum(removed), 0), 2) AS removed FROM pr WHERE state = 'MERGED' AND created {CUR}")
 def lines_changed(spark, d):
-    return listing.lines_changed(listing.during(listing.where_in(t.requests(spark, d), "state", ["MERGED"]), "created", Q2), "lines").select(F.round("lines", 2).alias("lines"))
+    return _rounded(listing.lines_changed(listing.during(listing.where_in(t.requests(spark, d), "state", ["MERGED"]), "created", Q2), "added", "removed"))
 
 
 @query(f"WITH {t.PR} SELECT c_name || CASE WHEN c_mktsegment = 'MACHINERY' THEN ' [bot]' ELSE '' END AS \"group\", count(*) AS n FROM pr GROUP BY ALL")
@@ -163,10 +196,10 @@ def group_sizes(spark, d):
     return metrics.group_sizes(groups.select("group"), members)
 
 
-def _card_sql(ctes: str, parts: list[tuple[str, str, str, str, str]], by: str) -> str:
-    """parts: measure, source with condition, key, date, value."""
+def _card_sql(ctes: str, parts: list[tuple[str, str, str, str, str]], by: str, now: str = "") -> str:
+    """parts: measure, source with condition, key, date, value. now: SQL of measures without a previous window."""
     one = " UNION ALL ".join(f"SELECT {key} AS {by}, '{m}' AS measure, CAST(coalesce(sum({v}) FILTER ({dcol} {CUR}), 0) AS DOUBLE) AS current, CAST(coalesce(sum({v}) FILTER ({dcol} {PREV}), 0) AS DOUBLE) AS previous FROM {src} GROUP BY 1" for m, src, key, dcol, v in parts)
-    return f"WITH {ctes}, u AS ({one}) SELECT {by}, measure, round(current, 2) AS current, round(previous, 2) AS previous, round(current - previous, 2) AS delta, CASE WHEN previous <> 0 THEN round((current - previous) / previous * 100, 2) END AS delta_percent FROM u WHERE current <> 0 OR previous <> 0"
+    return f"WITH {ctes}, u AS ({one}) SELECT {by}, measure, round(current, 2) AS current, round(previous, 2) AS previous, round(current - previous, 2) AS delta, CASE WHEN previous <> 0 THEN round((current - previous) / previous * 100, 2) END AS delta_percent FROM u WHERE current <> 0 OR previous <> 0{now}"
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -176,17 +209,17 @@ def _rounded(df: DataFrame) -> DataFrame:
 _MET = "met AS (SELECT reviewer, author, submitted, repo FROM rv JOIN pr USING (pr_key))"
 
 
-@query(_card_sql(f"{t.PR}, {t.RV}, {_MET}", [("opened", "pr", "author", "created", "1"), ("merged", "pr WHERE state = 'MERGED'", "author", "created", "1"), ("lines", "pr", "author", "created", "lines"), ("reviews_given", "met WHERE reviewer <> author", "reviewer", "submitted", "1"), ("reviews_received", "met WHERE reviewer <> author", "author", "submitted", "1"), ("comments_given", "met WHERE reviewer <> author", "reviewer", "submitted", "1")], "author"))
+@query(_card_sql(f"{t.PR}, {t.RV}, {_MET}", [("opened", "pr", "author", "created", "1"), ("merged", "pr WHERE state = 'MERGED'", "author", "created", "1"), ("added", "pr", "author", "created", "added"), ("removed", "pr", "author", "created", "removed"), ("reviews_given", "met WHERE reviewer <> author", "reviewer", "submitted", "1"), ("reviews_received", "met WHERE reviewer <> author", "author", "submitted", "1"), ("comments_given", "met WHERE reviewer <> author", "reviewer", "submitted", "1")], "author"))
 def scorecard_author(spark, d):
-    return _rounded(metrics.scorecard_authors(t.requests(spark, d), t.reviews(spark, d), t.comments(spark, d), FULL))
+    return _rounded(metrics.scorecard_authors(t.requests(spark, d), t.activity(spark, d), FULL))
 
 
-@query(_card_sql(f"{t.PR}, {t.RV}, {_MET}", [("opened", "pr", "repo", "created", "1"), ("merged", "pr WHERE state = 'MERGED'", "repo", "created", "1"), ("reviews", "met", "repo", "submitted", "1"), ("comments", "met", "repo", "submitted", "1")], "repo"))
+@query(_card_sql(f"{t.PR}, {t.RV}, {_MET}", [("opened", "pr", "repo", "created", "1"), ("merged", "pr WHERE state = 'MERGED'", "repo", "created", "1"), ("reviews", "met", "repo", "submitted", "1"), ("comments", "met", "repo", "submitted", "1")], "repo", f" UNION ALL SELECT repo, 'failure_rate', round(count(*) FILTER (l_returnflag = 'R') / count(*), 2), NULL, NULL, NULL FROM lineitem JOIN pr ON l_orderkey = pr_key WHERE created {CUR} GROUP BY repo"))
 def scorecard_repo(spark, d):
-    return _rounded(metrics.scorecard_scopes(t.scoped_requests(spark, d), t.reviews(spark, d), t.comments(spark, d), FULL))
+    return _rounded(metrics.scorecard_scopes(t.scoped_requests(spark, d), t.activity(spark, d), FULL, "repo", t.check_runs(spark, d)))
 
 
-@query(_card_sql(f"{t.PR}, {t.RV}, m AS (SELECT c_custkey AS member, c_mktsegment AS grp FROM customer), met AS (SELECT grp, author, submitted FROM rv JOIN pr USING (pr_key) JOIN m ON member = reviewer)", [("opened", "pr", "c_mktsegment", "created", "1"), ("merged", "pr WHERE state = 'MERGED'", "c_mktsegment", "created", "1"), ("given_outside", "met JOIN m AS a ON a.member = author WHERE a.grp <> met.grp", "met.grp", "submitted", "1")], '"group"'))
+@query(_card_sql(f"{t.PR}, {t.RV}, m AS (SELECT c_custkey AS member, c_mktsegment AS grp FROM customer), met AS (SELECT grp, author, submitted FROM rv JOIN pr USING (pr_key) JOIN m ON member = reviewer)", [("opened", "pr", "c_mktsegment", "created", "1"), ("merged", "pr WHERE state = 'MERGED'", "c_mktsegment", "created", "1"), ("given_outside", "met JOIN m AS a ON a.member = author WHERE a.grp <> met.grp", "met.grp", "submitted", "1")], '"group"', " UNION ALL SELECT grp, 'members', count(DISTINCT member), NULL, NULL, NULL FROM m GROUP BY grp"))
 def scorecard_author_group(spark, d):
     roster = t.read(spark, d, "customer").select(F.col("c_mktsegment").alias("group"), F.col("c_custkey").alias("member"))
     return _rounded(metrics.scorecard_members(t.requests(spark, d), t.reviews(spark, d), roster, FULL))
@@ -195,7 +228,7 @@ def scorecard_author_group(spark, d):
 @query(_card_sql(f"{t.PR}, {t.RV}, met AS (SELECT r_name AS owner, submitted FROM rv JOIN pr USING (pr_key) JOIN nation ON n_nationkey = repo JOIN region ON r_regionkey = n_regionkey), p AS (SELECT pr.*, r_name AS owner FROM pr JOIN nation ON n_nationkey = repo JOIN region ON r_regionkey = n_regionkey)", [("opened", "p", "owner", "created", "1"), ("merged", "p WHERE state = 'MERGED'", "owner", "created", "1"), ("reviews", "met", "owner", "submitted", "1"), ("comments", "met", "owner", "submitted", "1")], "owner"))
 def scorecard_repo_group(spark, d):
     owners = t.read(spark, d, "nation").join(t.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("repo"), F.col("r_name").alias("owner"))
-    return _rounded(metrics.scorecard_scopes(t.scoped_requests(spark, d).join(owners, "repo"), t.reviews(spark, d), t.comments(spark, d), FULL, "owner"))
+    return _rounded(metrics.scorecard_scopes(t.scoped_requests(spark, d).join(owners, "repo"), metrics.activity(t.reviews(spark, d), t.comments(spark, d)), FULL, "owner"))
 
 
 # --- boards
@@ -251,6 +284,43 @@ def board_per_repo(spark, d):
     return _shown(boards.scoped_boards(boards.board_counts(t.scoped_requests(spark, d), "author", "created", FULL, ["repo"]), ["repo"], 5))
 
 
+def _scoped_board(counted: DataFrame, entity: str, date: str, scope: str, top: int) -> DataFrame:
+    return _shown(boards.scoped_boards(boards.board_counts(counted, entity, date, FULL, [scope]), [scope], top))
+
+
+@query(_board_sql("pr", "repo", "created", 3, t.PR, "author"))
+def board_repos_of_author(spark, d):
+    return _scoped_board(t.scoped_requests(spark, d), "repo", "created", "author", 3)
+
+
+@query(_board_sql("met WHERE reviewer <> author", "reviewer", "submitted", 5, f"{t.PR}, {t.RV}, {_MET}", "author"))
+def board_reviewers_of_author(spark, d):
+    return _scoped_board(_met(spark, d).filter("reviewer <> author"), "reviewer", "submitted", "author", 5)
+
+
+@query(_board_sql("met WHERE reviewer <> author", "author", "submitted", 5, f"{t.PR}, {t.RV}, {_MET}", "reviewer"))
+def board_authors_of_reviewer(spark, d):
+    return _scoped_board(_met(spark, d).filter("reviewer <> author"), "author", "submitted", "reviewer", 5)
+
+
+@query(_board_sql("pr WHERE state = 'MERGED'", "author", "created", 5, t.PR, "repo"))
+def board_mergers_of_repo(spark, d):
+    return _scoped_board(listing.where_in(t.scoped_requests(spark, d), "state", ["MERGED"]), "author", "created", "repo", 5)
+
+
+@query(_board_sql("met", "reviewer", "submitted", 5, f"{t.PR}, {t.RV}, {_MET}", "repo"))
+def board_reviewers_of_repo(spark, d):
+    return _scoped_board(_met(spark, d), "reviewer", "submitted", "repo", 5)
+
+
+@query(f"WITH b AS ({_board_sql('met', 'reviewer', 'submitted', 20, f'{t.PR}, {t.RV}, {_MET}')}) SELECT entity, coalesce(s_name, n_name, CAST(entity AS VARCHAR)) AS entity_name, current, rank_current FROM b LEFT JOIN supplier ON s_suppkey = entity AND s_suppkey % 3 <> 0 LEFT JOIN nation ON n_nationkey = entity AND n_nationkey % 2 = 0")
+def board_with_names(spark, d):
+    board = boards.top_board(boards.board_counts(_met(spark, d), "reviewer", "submitted", FULL), 20)
+    people = t.read(spark, d, "supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("entity"), F.col("s_name").alias("name"))
+    places = t.read(spark, d, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("entity"), F.col("n_name").alias("name"))
+    return boards.with_names(board, people, places).select("entity", "entity_name", "current", "rank_current")
+
+
 @query(f"WITH b AS ({_board_sql('pr', 'author', 'created', 20, t.PR)}) SELECT entity, '#' || rank_current || ' ' || c_name || ' — ' || current || ' (' || CASE WHEN delta >= 0 THEN '+' ELSE '' END || delta || ')' || CASE WHEN rank_previous IS NULL THEN ' [new]' WHEN rank_previous <> CAST(rank_current AS VARCHAR) THEN ' [was #' || rank_previous || ']' ELSE '' END AS line FROM b JOIN customer ON c_custkey = entity")
 def rank_movement(spark, d):
     board = boards.top_board(boards.board_counts(t.requests(spark, d), "author", "created", FULL), 20)
@@ -387,6 +457,40 @@ def coverage_extent(spark, d):
     return dates_as_text(coverage.extent(t.loaded_ranges(spark, d)))
 
 
+@query(f"WITH {_MERGED} SELECT entity, CAST(s AS VARCHAR) AS start, CAST(least(e, DATE '2024-01-12') AS VARCHAR) AS \"end\", items FROM mg WHERE s <= DATE '2024-01-12'")
+def coverage_read(spark, d):
+    return dates_as_text(coverage.recorded_until(t.loaded_ranges(spark, d), F.lit(D(2024, 1, 12))))
+
+
+@query(f"WITH {t.RANGES}, c AS (SELECT entity, s, items FROM rg WHERE entity % 3 <> 0 OR s <= DATE '2024-01-09'), n AS (SELECT entity, s, items FROM rg WHERE entity % 3 = 0 AND s > DATE '2024-01-05' AND s <= DATE '2024-01-20'), u AS (SELECT * FROM c UNION ALL SELECT * FROM n), f AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY entity ORDER BY s) + 1 THEN 0 ELSE 1 END AS fresh FROM u), i AS (SELECT *, sum(fresh) OVER (PARTITION BY entity ORDER BY s, fresh DESC ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT entity, CAST(min(s) AS VARCHAR) AS start, CAST(max(s) AS VARCHAR) AS \"end\", CAST(sum(items) AS BIGINT) AS items FROM i GROUP BY entity, island")
+def coverage_recorded_again(spark, d):
+    """New ranges over older ones that they overlap; items of days loaded twice count twice."""
+    days = t.loaded_ranges(spark, d)
+    old = days.filter("entity % 3 <> 0 OR start <= date'2024-01-09'")
+    new = days.filter("entity % 3 = 0 AND start > date'2024-01-05'")
+    return dates_as_text(coverage.record_ranges(old, new, F.lit(D(2024, 1, 20))))
+
+
+@query("SELECT user_id AS entity, CAST(min(CAST(ts AS DATE)) AS VARCHAR) AS start, CAST(least(max(CAST(ts AS DATE)), DATE '2024-01-10') AS VARCHAR) AS \"end\" FROM events GROUP BY 1 HAVING min(CAST(ts AS DATE)) <= DATE '2024-01-10'")
+def coverage_extent_clamped(spark, d):
+    return dates_as_text(coverage.extent(t.loaded_ranges(spark, d), F.lit(D(2024, 1, 10))))
+
+
+@query(f"SELECT event_type, CAST(max(CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}' AS DATE)) - 1 AS VARCHAR) AS day FROM events GROUP BY 1")
+def last_complete_days(spark, d):
+    now = t.read(spark, d, "events").groupBy("event_type").agg(F.max("ts").alias("now"))
+    return dates_as_text(now.select("event_type", timekeys.last_complete_day(F.col("now"), ZONE).alias("day")))
+
+
+@query("WITH o AS (SELECT event_type, user_id % 4 AS source, max(ts) AS was FROM events WHERE ts < TIMESTAMP '2024-01-15' AND user_id % 4 <> 1 GROUP BY ALL), n AS (SELECT event_type, user_id % 4 AS source, max(ts) AS newest FROM events WHERE event_id % 2 = 0 AND user_id % 4 <> 2 GROUP BY ALL) SELECT event_type, CAST(coalesce(o.source, n.source) AS BIGINT) AS source, strftime(greatest(was, newest), '%Y-%m-%d %H:%M:%S') AS cursor FROM o FULL JOIN n USING (event_type, source)".replace("coalesce(o.source, n.source)", "source"))
+def high_water_marks_by_stream(spark, d):
+    """A cursor for each kind of stream and source."""
+    e = t.read(spark, d, "events").withColumn("source", F.col("user_id") % 4)
+    old = e.filter("ts < timestamp_ntz '2024-01-15 00:00:00' AND source <> 1").groupBy("event_type", "source").agg(F.max("ts").alias("cursor"))
+    new = coverage.advance_cursors(old, e.filter("event_id % 2 = 0 AND source <> 2"), e.limit(0), ["event_type", "source"], "ts")
+    return new.select("event_type", "source", F.date_format("cursor", "yyyy-MM-dd HH:mm:ss").alias("cursor"))
+
+
 def _cursors(spark, d) -> DataFrame:
     return t.read(spark, d, "events").filter("ts < timestamp_ntz '2024-01-15 00:00:00'").groupBy("event_type").agg(F.max("ts").alias("cursor"))
 
@@ -410,6 +514,14 @@ def load_window(spark, d):
     return dates_as_text(coverage.load_window(sources, F.lit(D(2024, 2, 10)), F.lit(None).cast("int")).select("entity", "load_start", "load_end"))
 
 
+@query("WITH c AS (SELECT c_custkey AS entity, e FROM customer LEFT JOIN (SELECT user_id, max(CAST(ts AS DATE)) AS e FROM events GROUP BY 1) ON user_id = c_custkey) SELECT entity, CAST(CASE WHEN e IS NULL THEN DATE '2024-02-10' - (entity % 30) ELSE least(DATE '2024-02-10' - (entity % 30), e + 1) END AS VARCHAR) AS load_start, '2024-02-10' AS load_end FROM (SELECT CAST(entity AS INTEGER) AS entity, e FROM c)")
+def load_window_days_back(spark, d):
+    seen = coverage.extent(t.loaded_ranges(spark, d)).select("entity", F.col("start").alias("covered_start"), F.col("end").alias("covered_end"))
+    sources = t.read(spark, d, "customer").select(F.col("c_custkey").alias("entity")).join(seen, "entity", "left")
+    back = (F.col("entity") % 30 + 1).cast("int")
+    return dates_as_text(coverage.load_window(sources, F.lit(D(2024, 2, 10)), back).select(F.col("entity").cast("int").alias("entity"), "load_start", "load_end"))
+
+
 @query("""WITH RECURSIVE n AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS items FROM orders GROUP BY 1),
 w AS (SELECT greatest(m, DATE '1996-01-10') AS s, least(last_day(m), DATE '1996-12-20') AS e, 0 AS depth FROM (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1996-12-20', INTERVAL 1 MONTH)) AS DATE) AS m)
 UNION ALL SELECT CASE k WHEN 0 THEN s ELSE s + CAST((e - s) // 2 AS INTEGER) + 1 END, CASE k WHEN 0 THEN s + CAST((e - s) // 2 AS INTEGER) ELSE e END, depth + 1 FROM w, (VALUES (0), (1)) AS h(k) WHERE depth < 8 AND s < e AND (SELECT sum(items) FROM n WHERE day BETWEEN s AND e) > (SELECT count(*) // 400 FROM orders)),
@@ -497,6 +609,15 @@ def roster_load(spark, d):
     return merge.insert_or_ignore(c.filter("member % 2 = 0"), new, ["member", "group"])
 
 
+@query("SELECT DISTINCT c_mktsegment AS \"group\", lower(c_name) AS member FROM customer UNION SELECT DISTINCT 'repos', lower(n_name) FROM nation")
+def roster_normalised(spark, d):
+    """Users come as logins in any case, with or without a type, with blanks and twice; repositories in any case."""
+    c = t.read(spark, d, "customer")
+    users = c.select(F.col("c_mktsegment").alias("group"), F.concat(F.lit(" User:"), F.upper("c_name")).alias("member")).unionByName(c.select(F.col("c_mktsegment").alias("group"), F.concat("c_name", F.lit(" ")).alias("member")))
+    repos = t.read(spark, d, "nation").select(F.lit("repos").alias("group"), F.explode(F.array(F.upper("n_name"), F.lower("n_name"), F.lit(" "))).alias("member"))
+    return merge.normal_members(users, "user").unionByName(merge.normal_members(repos, "repo"))
+
+
 def _summaries(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     o = t.read(spark, d, "orders")
     key = F.concat(F.lit("cust/"), F.col("o_custkey"), F.lit("#"), F.col("o_orderkey"))
@@ -532,11 +653,14 @@ def summary_stale(spark, d):
 _TERM = "ationing"
 
 
-def _search_sql(table: str, key: str, text: str, q: str, kind: str) -> str:
-    """Counts occurrences by removing them: right for a literal that cannot overlap itself."""
-    return f"""h AS (SELECT '{kind}' AS kind, CAST({key} AS VARCHAR) AS key, (length(lower({text})) - length(replace(lower({text}), '{q}', ''))) / {len(q)} AS tf, greatest(length({text}) - 2, 0) AS len FROM {table}),
-s AS (SELECT kind, key, tf, len, count(*) OVER () AS n, avg(len) OVER () AS al, count(*) FILTER (tf > 0) OVER () AS df FROM h),
-k AS (SELECT kind, key, round(-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)), 6) AS rank FROM s WHERE tf > 0)"""
+def _search_sql(table: str, key: str, text: str | tuple[str, ...], q: str, kind: str, more: str = "") -> str:
+    """Counts occurrences by removing them: right for a literal that cannot overlap itself. more: columns to keep."""
+    fields = (text,) if isinstance(text, str) else text
+    tf = " + ".join(f"(length(lower(coalesce({f}, ''))) - length(replace(lower(coalesce({f}, '')), '{q}', ''))) / {len(q)}" for f in fields)
+    size = " + ".join(f"greatest(length(coalesce({f}, '')) - 2, 0)" for f in fields)
+    return f"""h AS (SELECT '{kind}' AS kind, CAST({key} AS VARCHAR) AS key, {tf} AS tf, {size} AS len{more} FROM {table}),
+s AS (SELECT *, count(*) OVER () AS n, avg(len) OVER () AS al, count(*) FILTER (tf > 0) OVER () AS df FROM h),
+k AS (SELECT * EXCLUDE (tf, len, n, al, df), round(-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)), 6) AS rank FROM s WHERE tf > 0)"""
 
 
 def _hits(df: DataFrame) -> DataFrame:
@@ -563,11 +687,11 @@ def search_conversations(spark, d):
     return _hits(search.search_corpus(turns, ["text"], "tion ", "turn", None))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS key, substr(text, greatest(p - 32, 1), p - greatest(p - 32, 1)) AS lead, CASE WHEN p > 33 THEN '…' ELSE '' END AS cut, '[' || substr(text, p, 8) || ']' AS hit FROM (SELECT doc_id, text, strpos(lower(text), 'ationing') AS p FROM documents) WHERE p > 0")
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, substr(text, greatest(p - 32, 1), p - greatest(p - 32, 1)) AS lead, CASE WHEN p > 33 THEN '…' ELSE '' END AS cut, '[' || substr(text, p, 8) || ']' AS hit, substr(text, p + 8, 32) || CASE WHEN p + 40 <= length(text) THEN '…' ELSE '' END AS tail FROM (SELECT doc_id, text, strpos(lower(text), 'ationing') AS p FROM documents) WHERE p > 0")
 def search_snippets(spark, d):
     hits = search.search_corpus(_corpus(spark, d, "documents", "doc_id", "text"), ["text"], _TERM, "document", None)
     parts = lambda k: F.regexp_extract("snippet", r"(?s)^(…?)(.*?)(\[[^\[\]]{8}\])(.*)$", k)
-    return hits.select("key", parts(2).alias("lead"), parts(1).alias("cut"), parts(3).alias("hit"))
+    return hits.select("key", parts(2).alias("lead"), parts(1).alias("cut"), parts(3).alias("hit"), parts(4).alias("tail"))
 
 
 _ALL = [("documents", "doc_id", "text", "document"), ("pages", "page_id", "html", "page"), ("benchmark", "item_id", "text", "benchmark")]
@@ -583,7 +707,101 @@ def search_all(spark, d):
 def search_postings(spark, d):
     corpus = _corpus(spark, d, "documents", "doc_id", "text")
     keys = search.candidates(search.postings(corpus, "key", ["text"]), "key", _TERM)
-    return _hits(search.search_corpus(corpus, ["text"], _TERM, "document", None, keys, search.corpus_sizes(corpus, ["text"])))
+    return _hits(search.search_corpus(corpus, ["text"], _TERM, "document", None, keys))
+
+
+@query(f"WITH {_search_sql('documents', 'doc_id', 'text', _TERM, 'document')} SELECT * FROM k")
+def search_refreshed_postings(spark, d):
+    """Postings of an older state of the texts, brought up to date: texts added, changed and removed since."""
+    now = _corpus(spark, d, "documents", "doc_id", "text")
+    k = F.col("key").cast("long")
+    old = now.filter(k % 5 != 0).withColumn("text", F.when(k % 3 == 0, F.concat(F.lit("Was stationing "), "text")).otherwise(F.col("text")))
+    gone = now.select(F.concat(F.lit("-"), "key").alias("key"), F.lit("mentioned rationing").alias("text"))
+    index = search.postings(old.unionByName(gone), "key", ["text"])
+    index = search.refresh_postings(index, now.filter((k % 5 == 0) | (k % 3 == 0)), "key", ["text"], gone)
+    return _hits(search.search_corpus(now, ["text"], _TERM, "document", None, search.candidates(index, "key", _TERM)))
+
+
+# Texts in the roles of the searched facts: documents as requests, pages as issues, turns as comments.
+
+_FACTS = """e AS (SELECT c_custkey, c_name, c_mktsegment FROM customer), dr AS (SELECT doc_id, 'lake/' || lang AS repo, 'lake/' || lang || '#' || doc_id AS pr_key, source, text, doc_id % 160 AS who FROM documents),
+iss AS (SELECT page_id, 'I-' || page_id AS id, 'web/' || (page_id % 3) AS repo, url, html, page_id % 160 AS who FROM pages),
+tn AS (SELECT *, conv_id % 160 AS who FROM conversations)"""
+_AUTHOR = "CASE WHEN c_name IS NULL THEN CAST(who AS VARCHAR) ELSE c_name END AS author, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'bot' ELSE 'user' END AS author_type"
+
+
+def _people(spark, d) -> DataFrame:
+    return t.entities(spark, d).withColumn("entity_key", F.concat(F.lit("user:"), "entity_key"))
+
+
+def _requests_text(spark, d) -> tuple[DataFrame, DataFrame]:
+    x = t.read(spark, d, "documents").withColumn("repo", F.concat(F.lit("lake/"), "lang")).withColumn("pr_key", identity.pr_key(F.col("repo"), F.col("doc_id")))
+    facts = x.select(F.col("pr_key").alias("fact_key"), F.col("pr_key").alias("key"), "repo", F.col("source").alias("title"))
+    return x.select(F.col("pr_key").alias("fact_key"), F.concat(F.lit("user:"), F.col("doc_id") % 160).alias("author_key"), F.col("source").alias("title"), F.col("text").alias("body")), facts
+
+
+def _issues_text(spark, d) -> tuple[DataFrame, DataFrame]:
+    x = t.read(spark, d, "pages").withColumn("repo", F.concat(F.lit("web/"), F.col("page_id") % 3))
+    facts = x.select(F.concat(F.lit("I-"), "page_id").alias("fact_key"), F.concat("repo", F.lit("#"), "page_id").alias("key"), "repo", F.col("url").alias("title"))
+    return x.select(F.concat(F.lit("I-"), "page_id").alias("fact_key"), F.concat(F.lit("user:"), F.col("page_id") % 160).alias("author_key"), F.col("url").alias("title"), F.col("html").alias("body")), facts
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return df.select("kind", "key", "repo", "title", "author", "author_type", F.round("rank", 6).alias("rank"))
+
+
+_REQUEST_HITS = _search_sql("dr", "pr_key", ("source", "text"), "tionhe", "pull_request", ", repo, source AS title, who")
+
+
+@query(f"WITH {_FACTS}, {_REQUEST_HITS} SELECT kind, key, repo, title, {_AUTHOR}, rank FROM k LEFT JOIN e ON c_custkey = who")
+def search_requests(spark, d):
+    corpus, facts = _requests_text(spark, d)
+    return _found(search.search_facts(corpus, ["title", "body"], "TIONHE", "pull_request", facts, _people(spark, d), None, None))
+
+
+@query(f"WITH {_FACTS}, {_search_sql('iss', chr(39) + chr(39) + ' || repo || chr(35) || page_id', ('url', 'html'), 'tionhe', 'issue', ', repo, url AS title, who')} SELECT kind, key, repo, title, {_AUTHOR}, rank FROM k LEFT JOIN e ON c_custkey = who WHERE repo = 'web/1'")
+def search_issues(spark, d):
+    corpus, facts = _issues_text(spark, d)
+    return _found(search.search_facts(corpus, ["title", "body"], "tionhe", "issue", facts, _people(spark, d), "Web/1", None))
+
+
+def _turns(spark, d, role: str, fact_key) -> DataFrame:
+    turn = t.read(spark, d, "conversations").filter(F.col("role") == role)
+    return turn.select(fact_key.alias("fact_key"), F.concat(F.lit("user:"), F.col("conv_id") % 160).alias("author_key"), F.col("text").alias("body"))
+
+
+@query(f"WITH {_FACTS}, {_search_sql(chr(40) + 'SELECT * FROM tn WHERE role = ' + chr(39) + 'assistant' + chr(39) + chr(41), 'conv_id', 'text', 'tion ', 'review_comment', ', conv_id, who')} SELECT kind, pr_key AS key, repo, source AS title, {_AUTHOR}, rank FROM k JOIN dr ON doc_id = conv_id LEFT JOIN e ON c_custkey = k.who".replace("CAST(who", "CAST(k.who"))
+def search_review_comments(spark, d):
+    """A hit carries the request's key and title; comments without their request are no hits."""
+    _, facts = _requests_text(spark, d)
+    corpus = _turns(spark, d, "assistant", F.col("conv_id"))
+    by_id = facts.withColumn("fact_key", identity.key_number(F.col("key")))
+    return _found(search.search_facts(corpus, ["body"], "tion ", "review_comment", by_id, _people(spark, d), None, None))
+
+
+_PARENTS = "pa AS (SELECT 'pull_request:' || pr_key AS fk, pr_key AS key2, repo, source AS title FROM dr UNION ALL SELECT 'issue:' || id, id, repo, url FROM iss)"
+_USER_TURNS = "ut AS (SELECT text, who, CASE WHEN conv_id % 2 = 0 THEN 'pull_request:' || (SELECT any_value(pr_key) FROM dr WHERE doc_id = conv_id) ELSE 'issue:I-' || conv_id END AS fk FROM tn WHERE role = 'user')"
+
+
+@query(f"WITH {_FACTS}, {_PARENTS}, {_USER_TURNS}, {_search_sql('ut', 'fk', 'text', 'tion ', 'issue_comment', ', fk, who')} SELECT kind, key2 AS key, repo, title, {_AUTHOR}, rank FROM k JOIN pa USING (fk) LEFT JOIN e ON c_custkey = who WHERE repo = 'web/1' OR repo = 'lake/en'")
+def search_comments_by_parent(spark, d):
+    """Comments on requests of one repository and on issues of another, by what they stand under."""
+    _, prs = _requests_text(spark, d)
+    issues = _issues_text(spark, d)[1].withColumn("parent_key", F.col("fact_key"))
+    pr_of = prs.select(F.col("key").alias("pr_key"), identity.key_number(F.col("key")).alias("conv_id"))
+    turn = t.read(spark, d, "conversations").filter("role = 'user'").join(pr_of, "conv_id", "left")
+    parent = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("pull_request:"), "pr_key")).otherwise(F.concat(F.lit("issue:I-"), "conv_id"))
+    corpus = turn.select(parent.alias("fact_key"), F.concat(F.lit("user:"), F.col("conv_id") % 160).alias("author_key"), F.col("text").alias("body"))
+    prs = prs.withColumn("parent_key", F.col("key"))
+    one = lambda repo: search.search_facts(corpus, ["body"], "tion ", "issue_comment", search.parent_facts(prs, issues, repo), _people(spark, d), None, None)
+    return _found(one("web/1").unionByName(one("lake/en")))
+
+
+@query(f"WITH {_FACTS}, x0 AS (WITH {_REQUEST_HITS} SELECT * FROM k WHERE repo = 'lake/en' ORDER BY rank, key LIMIT 20), x1 AS (WITH {_search_sql('iss', chr(39) + chr(39) + ' || repo || chr(35) || page_id', ('url', 'html'), 'tionhe', 'issue', ', repo, url AS title, who')} SELECT * FROM k WHERE repo = 'lake/en' ORDER BY rank, key LIMIT 20) SELECT kind, key, repo, title, {_AUTHOR}, rank FROM (SELECT * FROM (SELECT *, 0 AS corpus FROM x0 UNION ALL SELECT *, 1 FROM x1) ORDER BY rank, corpus, key LIMIT 20) LEFT JOIN e ON c_custkey = who")
+def search_in_repo(spark, d):
+    """Several corpora within one repository, merged by rank."""
+    found = [search.search_facts(corpus, ["title", "body"], "tionhe", kind, facts, _people(spark, d), "Lake/EN", 20) for kind, (corpus, facts) in (("pull_request", _requests_text(spark, d)), ("issue", _issues_text(spark, d)))]
+    return _found(search.merge_hits([h.withColumn("rank", F.round("rank", 6)) for h in found]))
 
 
 # --- quality and SQL
@@ -618,5 +836,14 @@ def dq_nulls(spark, d):
 
 @query("SELECT '{\"o_orderstatus\":\"' || o_orderstatus || '\",\"n\":' || count(*) || '}' AS row FROM orders GROUP BY o_orderstatus")
 def readonly_sql(spark, d):
+    """Rows of a plain query as JSON."""
     sqlsurface.register({"orders": t.read(spark, d, "orders")})
     return sqlsurface.as_json(sqlsurface.read_only(spark, "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"))
+
+
+@query("SELECT count(*) > 7 AS truncated, least(count(*), 7) AS n FROM (SELECT DISTINCT o_custkey FROM orders)")
+def readonly_sql_capped(spark, d):
+    """The first rows of a query and whether there are more."""
+    sqlsurface.register({"orders": t.read(spark, d, "orders")})
+    head, more = listing.capped(sqlsurface.read_only(spark, "WITH c AS (SELECT DISTINCT o_custkey FROM orders) SELECT * FROM c"), 7)
+    return head.agg(F.lit(more).alias("truncated"), F.count("*").alias("n"))

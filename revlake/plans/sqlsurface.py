@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,31 +18,37 @@ def register(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def _commands(spark: SparkSession, sql: str) -> list[str]:
-    """Names of the statement's nodes that change something. Parsing runs nothing; several statements do not parse."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    found, stack = [], [plan]
-    while stack:
-        node = stack.pop()
-        kinds, of = [], node.getClass()
-        while of is not None:
-            kinds += [of.getSimpleName(), *[i.getSimpleName() for i in of.getInterfaces()]]
-            of = of.getSuperclass()
-        if {"Command", "ParsedStatement", "UnaryCommand", "LeafCommand"} & set(kinds):
-            found.append(node.getClass().getSimpleName())
-        for seq in (node.children(), node.innerChildren()):
-            it = seq.iterator()
-            while it.hasNext():
-                child = it.next()
-                if hasattr(child, "innerChildren"):
-                    stack.append(child)
-    return found
+#: Nodes that a query's plan may have before anything is resolved; a name that is not listed is refused.
+QUERY_NODES = frozenset(
+    """Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Tail Distinct Deduplicate Union Intersect Except SubqueryAlias CTE
+    UnresolvedWith WithCTE UnresolvedHaving UnresolvedRelation UnresolvedInlineTable UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction
+    OneRowRelation LocalRelation Generate Window WithWindowDefinition LateralJoin Expand Pivot Unpivot Sample UnresolvedHint View Range""".split()
+)
+#: Functions that run code by name.
+CALLS = re.compile(r"\b(java_method|reflect|try_reflect)\s*\(", re.I)
+#: A relation whose first part is a source of files is a path, not a table.
+FILES = re.compile(r"UnresolvedRelation \[(text|csv|json|parquet|orc|avro|xml|binaryfile|delta|libsvm|jdbc|noop)\s*,", re.I)
+
+
+def _refused(spark: SparkSession, sql: str) -> list[str]:
+    """What a statement does besides reading registered tables. Explaining runs nothing; several statements do not parse."""
+    try:
+        text = spark.sql(f"EXPLAIN EXTENDED {sql}").first()[0]
+    except (PySparkException, Py4JJavaError):
+        return ["a statement that cannot be explained"]
+    parsed = text.partition("== Parsed Logical Plan ==")[2].partition("== Analyzed Logical Plan ==")[0]
+    nodes = [m.group(1) for line in parsed.splitlines() if line.strip() and (m := re.match(r"[\s:+\-']*'?([A-Za-z]\w*)", line))]
+    found = [n for n in nodes if n not in QUERY_NODES] if nodes and "Error occurred" not in parsed else ["a statement that cannot be explained"]
+    return found + CALLS.findall(sql) + CALLS.findall(parsed) + FILES.findall(parsed)
 
 
 def read_only(spark: SparkSession, sql: str) -> DataFrame:
-    """The query's rows; ValueError for anything that is not a plain query, also behind WITH."""
-    if not sql.strip() or (bad := _commands(spark, sql)):
-        raise ValueError(f"not a read-only query: {', '.join(bad) if sql.strip() else 'empty'}")
+    """The query's rows; ValueError for anything that is not a plain query, also behind WITH, for files named in place of
+    tables and for functions that call code by name."""
+    if not sql.strip():
+        raise ValueError("not a read-only query: empty")
+    if bad := _refused(spark, sql):
+        raise ValueError(f"not a read-only query: {', '.join(bad)}")
     return spark.sql(sql)
 
 

@@ -11,9 +11,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    """pr_key, author, created, state, lines."""
+    """pr_key, author, created, state, lines, and lines added and removed."""
     state = F.when(F.col("o_orderstatus") == "F", "MERGED").when(F.col("o_orderstatus") == "O", "OPEN").otherwise("CLOSED")
-    return read(spark, d, "orders").select(F.col("o_orderkey").alias("pr_key"), F.col("o_custkey").alias("author"), F.to_date("o_orderdate").alias("created"), state.alias("state"), F.col("o_totalprice").alias("lines"))
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("pr_key"), F.col("o_custkey").alias("author"), F.to_date("o_orderdate").alias("created"), state.alias("state"), F.col("o_totalprice").alias("lines"), F.col("o_totalprice").alias("added"), (F.col("o_totalprice") / 4).alias("removed"))
 
 
 def scoped_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,12 @@ def comments(spark: SparkSession, d: str) -> DataFrame:
     return own("O").unionByName(own("F"))
 
 
+def activity(spark: SparkSession, d: str) -> DataFrame:
+    """pr_key, actor, day, kind: every line item is a review and, whatever its status, a comment; one scan."""
+    line = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("pr_key"), F.col("l_suppkey").alias("actor"), F.to_date("l_shipdate").alias("day"))
+    return line.select("*", F.explode(F.array(F.lit("review"), F.lit("comment"))).alias("kind"))
+
+
 def check_runs(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("pr_key"), F.when(F.col("l_returnflag") == "R", "FAILURE").when(F.col("l_returnflag") == "A", "SUCCESS").alias("conclusion"))
 
@@ -48,6 +54,6 @@ def loaded_ranges(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("entity", "start").agg(F.count("*").alias("items")).select("entity", "start", F.col("start").alias("end"), "items")
 
 
-PR = "pr AS (SELECT o_orderkey AS pr_key, o_custkey AS author, CAST(o_orderdate AS DATE) AS created, CASE o_orderstatus WHEN 'F' THEN 'MERGED' WHEN 'O' THEN 'OPEN' ELSE 'CLOSED' END AS state, o_totalprice AS lines, c_nationkey AS repo, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey)"
+PR = "pr AS (SELECT o_orderkey AS pr_key, o_custkey AS author, CAST(o_orderdate AS DATE) AS created, CASE o_orderstatus WHEN 'F' THEN 'MERGED' WHEN 'O' THEN 'OPEN' ELSE 'CLOSED' END AS state, o_totalprice AS lines, o_totalprice AS added, o_totalprice / 4 AS removed, c_nationkey AS repo, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey)"
 RV = "rv AS (SELECT l_orderkey AS pr_key, l_suppkey AS reviewer, CAST(l_shipdate AS DATE) AS submitted FROM lineitem)"
 RANGES = "rg AS (SELECT user_id AS entity, CAST(ts AS DATE) AS s, count(*) AS items FROM events GROUP BY ALL)"

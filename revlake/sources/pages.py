@@ -52,13 +52,37 @@ def read_patches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.PATCHES).json(path).filter("filename IS NOT NULL")
 
 
-def split_rejects(items: DataFrame, updated: str = "node.updatedAt") -> tuple[DataFrame, DataFrame]:
-    """Items whose times parse, and the others as pr_key, updated_at, error: a whole item is set aside."""
-    bad_time = lambda c: F.col(c).isNotNull() & _ts(c).isNull()
-    broken = _ts("node.createdAt").isNull() | bad_time("node.updatedAt") | bad_time("node.closedAt") | (bad_time("node.mergedAt") if "mergedAt" in items.select("node.*").columns else F.lit(False))
-    key = F.concat(F.lower("header.nameWithOwner"), F.lit("#"), F.col("node.number").cast("string")) if "header" in items.columns else F.col("node.id")
-    bad = items.filter(broken).select(key.alias("item_key"), _ts(updated).alias("updated_at"), F.concat(F.lit("unreadable time: "), F.to_json(F.struct("node.createdAt", "node.updatedAt"))).alias("error"))
-    return items.filter(~broken), bad
+#: Times of an item: its own, and those within its arrays.
+_PR_TIMES = ["updatedAt", "mergedAt", "closedAt"]
+_ISSUE_TIMES = ["updatedAt", "closedAt"]
+
+
+def _bad(c: Column) -> Column:
+    return c.isNotNull() & _ts(c).isNull()
+
+
+def _any(nodes: Column, bad) -> Column:
+    return F.coalesce(F.exists(nodes, bad), F.lit(False))
+
+
+def split_rejects(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items all whose times parse, also those of their reviews, comments and check runs, and the others as item_key,
+    updated_at, error: a whole item is set aside. items: node, and header (requests) or repo_key (issues)."""
+    n = F.col("node")
+    comment = lambda x: _bad(x["createdAt"])
+    parts = [_any(n["comments"]["nodes"], comment)]
+    if "header" in items.columns:
+        key, own = F.concat(F.lower("header.nameWithOwner"), F.lit("#"), n["number"].cast("string")), _PR_TIMES
+        runs = lambda x: _any(x["checkRuns"]["nodes"], lambda r: _bad(r["startedAt"]) | _bad(r["completedAt"]))
+        last = F.try_element_at(n["commits"]["nodes"], F.lit(-1))["commit"]["checkSuites"]["nodes"]
+        parts += [_any(n["reviews"]["nodes"], lambda x: _bad(x["submittedAt"])), _any(n["reviewThreads"]["nodes"], lambda x: _any(x["comments"]["nodes"], comment)), _any(last, runs)]
+    else:
+        key, own = n["id"], _ISSUE_TIMES
+        parts.append(_bad(n["milestone"]["dueOn"]))
+    broken = reduce(Column.__or__, [_ts(n["createdAt"]).isNull(), *[_bad(n[c]) for c in own], *parts])
+    flagged = items.withColumn("_broken", F.coalesce(broken, F.lit(True)))
+    bad = flagged.filter("_broken").select(key.alias("item_key"), _ts(n["updatedAt"]).alias("updated_at"), F.concat(F.lit("unreadable time: "), F.to_json(F.struct(n["createdAt"].alias("createdAt"), *[n[c].alias(c) for c in own]))).alias("error"))
+    return flagged.filter("NOT _broken").drop("_broken"), bad
 
 
 def repositories(items: DataFrame) -> DataFrame:
@@ -114,7 +138,7 @@ def file_diffs(items: DataFrame) -> DataFrame:
 
 
 def check_runs(items: DataFrame) -> DataFrame:
-    commit = F.element_at("node.commits.nodes", -1)["commit"]
+    commit = F.try_element_at("node.commits.nodes", F.lit(-1))["commit"]
     own = _keyed(items).filter(F.coalesce(F.array_size("node.commits.nodes"), F.lit(0)) > 0).select("pr_key", commit.alias("c")).filter("c.oid IS NOT NULL")
     rows = own.select("pr_key", F.col("c.oid").alias("head_sha"), F.explode(F.flatten(F.transform("c.checkSuites.nodes", lambda s: F.coalesce(s["checkRuns"]["nodes"], F.array())))).alias("x")).filter("x.id IS NOT NULL")
     return rows.select(F.col("x.id").alias("check_run_key"), "pr_key", "head_sha", F.coalesce("x.name", F.lit("")).alias("name"), F.coalesce("x.status", F.lit("COMPLETED")).alias("status"), F.col("x.conclusion").alias("conclusion"), _ts("x.startedAt").alias("started_at"), _ts("x.completedAt").alias("completed_at"))
@@ -161,6 +185,11 @@ def entities(prs: DataFrame, issue_items: DataFrame | None = None) -> DataFrame:
     return actors.groupBy("entity_key").agg(F.min("name").alias("name")).select("entity_key", kind.alias("entity_type"), bare_login(F.col("entity_key")).alias("login"), (kind == "user").alias("is_human"), (kind == "bot").alias("is_bot"), "name")
 
 
+def issue_tables(items: DataFrame, zone: str) -> dict[str, DataFrame]:
+    """All tables that issue pages fill."""
+    return {"issues": issues(items, zone), "milestones": milestones(items), "labels": labels(items), "issue_labels": issue_labels(items), "issue_assignees": issue_assignees(items), "fact_issue_comments": issue_comments(items, zone)}
+
+
 def request_tables(items: DataFrame, zone: str) -> dict[str, DataFrame]:
     """All tables that request pages fill."""
     return {"dim_repositories": repositories(items), "dim_entities": entities(items), "fact_pull_requests": pull_requests(items, zone), "fact_reviews": reviews(items, zone), "fact_review_comments": review_comments(items, zone), "fact_issue_comments": pr_comments(items, zone), "fact_check_runs": check_runs(items), "fact_file_diffs": file_diffs(items)}

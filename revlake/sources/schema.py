@@ -22,7 +22,7 @@ _ISSUE = f"""id: string, number: bigint, title: string, body: string, state: str
 milestone: struct<id: string, number: bigint, title: string, description: string, state: string, dueOn: string, createdAt: string>,
 labels: struct<nodes: array<struct<id: string, name: string, color: string, description: string>>>, assignees: struct<nodes: array<{_ACTOR}>>, comments: struct<nodes: array<{_COMMENT}>>"""
 ISSUE_PAGE = f"data struct<repository: struct<{_REPO}, issues: struct<{_PAGE}, nodes: array<struct<{_ISSUE}>>>>>"
-PATCHES = "filename string, previous_filename string, patch string"
+PATCHES = "pr_key string, filename string, previous_filename string, patch string"
 
 TABLES: dict[str, str] = {
     "dim_entities": "entity_key string, entity_type string, login string, is_human boolean, is_bot boolean, name string",
@@ -38,6 +38,8 @@ TABLES: dict[str, str] = {
     "milestones": "id string, repo_key string, number bigint, title string, description string, state string, due_on timestamp, created_at timestamp",
     "issue_labels": "issue_id string, label_id string",
     "issue_assignees": "issue_id string, entity_key string",
+    "rejects": "item_key string, updated_at timestamp, error string",
+    "cursors": "source_type string, source_id string, cursor timestamp",
 }
 
 

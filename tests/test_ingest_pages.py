@@ -1,10 +1,14 @@
 """Landed pages of skewed tables."""
 
+import json
+
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from revlake.plans import ingest_queries
+from revlake.sources import pages
+from revlake.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,6 +29,46 @@ def test_a_hot_customer_spreads_over_bounded_pages(spark, tmp_path):
         got = [tuple(r[c] for c in sorted(r.asDict())) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
         want = con.execute(entry.oracle_sql()[name]).df()
         assert sorted(got) == sorted(want[sorted(want.columns)].itertuples(index=False, name=None))
-    requests = ingest_queries.ingest_requests(spark, str(tmp_path))
-    want = con.execute(entry.oracle_sql()["ingest_requests"]).fetchall()
-    assert sorted(map(tuple, requests.collect())) == sorted(want)
+    requests = ingest_queries.ingest_requests(spark, str(tmp_path)).toPandas()
+    want = con.execute(entry.oracle_sql()["ingest_requests"]).df()
+    text = lambda df: sorted(tuple(map(str, r)) for r in df[sorted(df.columns)].astype(object).where(df.notna(), None)[sorted(df.columns)].itertuples(index=False, name=None))
+    assert text(requests) == text(want)
+
+
+NODE = {"number": 1, "createdAt": "2022-05-06T07:08:09Z", "updatedAt": "2022-05-07T00:00:00Z", "author": {"login": "Mira"}}
+
+
+def page(*nodes):
+    return {"data": {"repository": {"nameWithOwner": "Lake/Rev", "pullRequests": {"nodes": nodes}}}}
+
+
+def test_a_bad_time_within_an_item_sets_it_aside(spark, tmp_path):
+    parts = {
+        2: {"reviews": {"nodes": [{"id": "r", "submittedAt": "soon"}]}}, 3: {"comments": {"nodes": [{"id": "c", "createdAt": "32/13"}]}}, 4: {"mergedAt": "never"},
+        5: {"reviewThreads": {"nodes": [{"comments": {"nodes": [{"id": "t", "createdAt": "x"}]}}]}}, 6: {"commits": {"nodes": [{"commit": {"oid": "a", "checkSuites": {"nodes": [{"checkRuns": {"nodes": [{"id": "k", "startedAt": "y"}]}}]}}}]}},
+        7: {"reviews": {"nodes": [{"id": "ok", "submittedAt": None}]}},
+    }
+    (tmp_path / "p.json").write_text(json.dumps(page(NODE, *[NODE | {"number": k} | v for k, v in parts.items()])))
+    good, bad = pages.split_rejects(pages.read_pr_pages(spark, str(tmp_path)))
+    assert {r["node"]["number"] for r in good.collect()} == {1, 7}
+    assert {r["item_key"] for r in bad.collect()} == {f"lake/rev#{k}" for k in (2, 3, 4, 5, 6)}
+
+
+def test_a_later_batch_changes_rows_and_clears_no_reject(spark, tmp_path):
+    land, root = tmp_path / "land", str(tmp_path / "tables")
+    land.mkdir()
+    (land / "1.json").write_text(json.dumps(page(NODE, NODE | {"number": 2, "createdAt": "?"}, NODE | {"number": 3, "createdAt": "2022-06-01T00:00:00Z"})))
+    for k in range(2):  # the second run takes the same pages again
+        ingest.ingest(spark, str(land), root, f"{tmp_path}/c{k}").awaitTermination()
+    (land / "2.json").write_text(json.dumps(page(NODE | {"title": "renamed", "updatedAt": "2022-05-08T00:00:00Z"})))
+    ingest.ingest(spark, str(land), root, f"{tmp_path}/c1").awaitTermination()
+    got = {r["number"]: r["title"] for r in ingest.current(spark, root, "fact_pull_requests").collect()}
+    assert got == {1: "renamed", 3: ""}
+    assert [r["item_key"] for r in ingest.current(spark, root, "rejects").collect()] == ["lake/rev#2"]
+    assert [str(r["cursor"]) for r in ingest.current(spark, root, "cursors").collect()] == ["2022-05-08 00:00:00"]
+    months = {p.name for p in (tmp_path / "tables" / "fact_pull_requests").iterdir() if p.is_dir()}
+    assert months == {"month=2022-05", "month=2022-06"}
+    assert len(list((tmp_path / "tables" / "fact_pull_requests" / "month=2022-06").iterdir())) == 2  # untouched by the third batch
+    ingest.drop_old_versions(spark, root, 1)
+    assert len(list((tmp_path / "tables" / "fact_pull_requests" / "month=2022-05").iterdir())) == 1
+    assert {r["number"] for r in ingest.current(spark, root, "fact_pull_requests").collect()} == {1, 3}
