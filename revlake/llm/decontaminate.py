@@ -92,14 +92,14 @@ def _starts(shared: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per document and item that it holds: doc (null ids as the least long), th (hash of the text), item, start
+    """One row per document and item that it holds: doc and item (null ids as the least long), th (hash of the text), start
     (word where the best window begins), similarity.
 
     Weights are multiplicities: similarity = sum of the shingles' smaller counts / sum of their larger counts, and
     percent / 100 of it or more is a leak. Null or empty texts hold and are nothing; items with fewer words than width
     are one shingle, and so are the windows of their size; repeated rows count once; other columns are not read; empty tables give no rows.
     """
-    b = benchmark.select(F.col(item_col).cast("long").alias("item"), _word_hashes(text_of(item_text_col)).alias("w")).distinct().filter("size(w) > 0")
+    b = benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.lit(_NULL_ID)).alias("item"), _word_hashes(text_of(item_text_col)).alias("w")).distinct().filter("size(w) > 0")
     placed = stage(b.select("item", F.size("w").alias("size"), F.explode(_shingles(F.col("w"), width)).alias("h")), "items")
     n_shingles = placed.count()
     item_counts = _counted(placed, ["item", "size"])
@@ -138,11 +138,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def leak_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """find_leaks with the documents' ids: id, item_id, start, similarity. Clean documents have no row."""
     found = find_leaks(docs, benchmark, id_col, **options)
-    return found.select(F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias(id_col), F.col("item").alias("item_id"), F.col("start").cast("long").alias("start"), "similarity").distinct()
+    return found.select(F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias(id_col), F.when(F.col("item") != _NULL_ID, F.col("item")).alias("item_id"), F.col("start").cast("long").alias("start"), "similarity").distinct()
 
 
 def drop_leaky(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input's rows, all columns, without the documents that hold an item."""
+    """The input's rows, all columns, without the documents that hold an item, as find_leaks finds them: documents with null
+    or empty texts stay, so do all without a benchmark; rows without id go by their text; repeated rows go or stay alike."""
     bad = find_leaks(docs, benchmark, id_col, text_col, **options).select("doc", "th").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.xxhash64(text_of(text_col)).alias("th"))
     return rows.join(small(bad, bad.count(), BROADCAST_DOCS), ["doc", "th"], "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -56,7 +56,8 @@ class UrlTrie:
             at = end + 1
 
     def longest(self, host: str, path: str) -> tuple[str, str] | None:
-        """(rule, verdict) of the rule with the longest host, then the longest path, that fits; block wins a tie."""
+        """(rule, verdict) of the longest rule that fits, host and path taken together; of two as long, the one with the
+        shorter host, and block before allow for one host and path."""
         best, node = None, self.root
         for label in reversed(host.split(".")):
             node = node.get(label)
@@ -69,7 +70,6 @@ class UrlTrie:
 
 def host_and_path(url: str) -> tuple[Column, Column]:
     """Host: after the first :// up to / ? # or the end, A-Z lower-cased; path: from there up to ? # or the end."""
-    rest = F.substring_index(F.col(url), "://", 1)
     rest = F.when(F.instr(F.col(url), "://") > 0, F.expr(f"substring(`{url}`, char_length(substring_index(`{url}`, '://', 1)) + 4)")).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
     head = F.regexp_extract(rest, "^[^?#]*", 0)
