@@ -11,29 +11,31 @@ from revlake.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under the threshold."""
+    """Documents whose toxicity score stays under the threshold; null and empty texts are scored too, repeated rows alike."""
     scored = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.filter("predicted = 0").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; repeated lines stay in the first one only, and n_chars follows the text."""
+    """All documents; repeated lines stay in the first one only (rows without id come first), and n_chars follows the text. A
+    null text stays null, rows with one id are one document."""
     kept = line_dedup.dedup_lines(docs)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more. Texts without words and rows
+    without id stay; repeated rows stay or go alike."""
     return minhash.drop_near_copies(docs)
 
 
 def drop_leaky(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none."""
     return decontaminate.drop_leaky(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of 2048 tokens."""
+    """Pieces of the remaining documents in sequences of 2048 tokens; a null or empty text is the end id alone."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -43,7 +45,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, in order."""
+    """The stages applied to documents, in order. Further columns pass through all stages but the last; empty tables give no
+    rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), name)
