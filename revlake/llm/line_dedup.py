@@ -37,7 +37,9 @@ class LineRuns:
         """keys in sorted buckets, as files of the shared folder."""
         name = f"revlake_{uuid.uuid4().hex}"
         keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", new_path(self.spark, tag)).saveAsTable(name)
-        return self.spark.table(name)
+        run = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay, and the bucketing is known to run
+        return run
 
     def add(self, lines: DataFrame) -> DataFrame:
         """lines (doc, h1, h2, ...) of a batch -> the repeated keys in it: h1, h2, first (the batch's document that keeps
