@@ -471,7 +471,7 @@ def coverage_recorded_again(spark, d):
     return dates_as_text(coverage.record_ranges(old, new, F.lit(D(2024, 1, 20))))
 
 
-@query("SELECT user_id AS entity, CAST(min(CAST(ts AS DATE)) AS VARCHAR) AS start, CAST(least(max(CAST(ts AS DATE)), DATE '2024-01-10') AS VARCHAR) AS \"end\" FROM events GROUP BY 1 HAVING min(CAST(ts AS DATE)) <= DATE '2024-01-10'")
+@query("SELECT user_id AS entity, CAST(min(CAST(ts AS DATE)) AS VARCHAR) AS start, CAST(max(CAST(ts AS DATE)) AS VARCHAR) AS \"end\" FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-10' GROUP BY 1")
 def coverage_extent_clamped(spark, d):
     return dates_as_text(coverage.extent(t.loaded_ranges(spark, d), F.lit(D(2024, 1, 10))))
 
