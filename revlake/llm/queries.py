@@ -84,6 +84,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_counts import token_counts
+
+    return token_counts(_read(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
