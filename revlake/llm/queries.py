@@ -97,6 +97,26 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults put in by the crc32 of `conv_id:turn`; nulls are one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    text = F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.translate(space("text"), ".!?", "")).otherwise(space("text"))
+    role = F.when(F.col("code") == 4, "user").otherwise(space("role"))
+    times = F.explode(F.sequence(F.lit(1), F.when(F.col("code") == 3, 2).otherwise(1)))
+    return turns.withColumn("code", code).filter("code <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("copy"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import repair_report
+
+    turns = _read(spark, sf_dir, "conversations")
+    made = repair_report(damaged(turns)).withColumnRenamed("conv_id", "_conv")
+    every = turns.select("conv_id").distinct()
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(made, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
