@@ -54,12 +54,16 @@ def since_cursor(items: DataFrame, cursors: DataFrame, by: list[str], updated: s
     return items.join(cursors.select(*by, "cursor"), by, "left").filter(F.col("cursor").isNull() | u.isNull() | (u >= F.col("cursor"))).drop("cursor")
 
 
-def advance_cursors(old: DataFrame, accepted: DataFrame, rejected: DataFrame, by: list[str], updated: str = "updated_at") -> DataFrame:
-    """by, cursor: never backwards; the newest accepted item, but not beyond the oldest rejected one."""
-    new = accepted.groupBy(*by).agg(F.max(updated).alias("newest"))
-    bad = rejected.groupBy(*by).agg(F.min(updated).alias("oldest_bad"))
-    both = old.select(*by, F.col("cursor").alias("was")).join(new, by, "full").join(bad, by, "left")
-    return both.select(*by, F.greatest("was", F.coalesce("oldest_bad", "newest")).alias("cursor"))
+def advance_cursors(old: DataFrame, accepted: DataFrame, open_rejects: DataFrame, by: list[str], updated: str = "updated_at") -> DataFrame:
+    """by, newest, cursor: newest is the newest accepted item ever, the cursor that time or the oldest item that is still
+    rejected, whichever is less, and never goes backwards. Where nothing was accepted a cursor stays; rejects alone make none.
+    old: by, cursor and, where it is kept, newest; open_rejects: also those of earlier loads."""
+    new = accepted.groupBy(*by).agg(F.max(updated).alias("_new"))
+    bad = open_rejects.groupBy(*by).agg(F.min(updated).alias("_bad"))
+    newest = F.col("newest") if "newest" in old.columns else F.col("cursor")
+    was = old.select(*by, F.col("cursor").alias("_was"), newest.alias("_newest"))
+    both = was.join(new, by, "full").join(bad, by, "left").withColumn("newest", F.greatest("_newest", "_new"))
+    return both.select(*by, "newest", F.greatest("_was", F.when(F.col("newest").isNotNull(), F.least("newest", "_bad"))).alias("cursor"))
 
 
 def load_window(sources: DataFrame, last_day: Column, days_back: Column) -> DataFrame:

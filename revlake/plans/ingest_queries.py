@@ -126,7 +126,7 @@ def issue_pages(spark: SparkSession, d: str) -> DataFrame:
     stone = F.struct(F.concat(F.lit("M-"), "lang", F.lit("-"), "source").alias("id"), F.lit(1).cast("long").alias("number"), F.col("source").alias("title"), F.lit("OPEN").alias("state"), day(F.lit(400)).alias("dueOn"), day(F.lit(1)).alias("createdAt"))
     label = lambda *name: F.struct(F.concat_ws("-", F.lit("L"), "lang", *name).alias("id"), F.concat_ws("-", *name).alias("name"), F.when(k % 2 == 0, "ff0000").alias("color"))
     node = {
-        "id": F.concat(F.lit("I-"), k), "number": k, "title": F.col("source"), "body": F.substring("text", 1, 200), "state": F.when(closed, "CLOSED").otherwise("OPEN"), "stateReason": F.when(closed, "COMPLETED"), "createdAt": created, "updatedAt": F.when(k % 5 != 0, day(k % 300 + 7)),
+        "id": F.concat(F.lit("I-"), k), "number": k, "title": F.col("source"), "body": F.col("text"), "state": F.when(closed, "CLOSED").otherwise("OPEN"), "stateReason": F.when(closed, "COMPLETED"), "createdAt": created, "updatedAt": F.when(k % 5 != 0, day(k % 300 + 7)),
         "closedAt": F.when(closed, day(k % 300 + 7)), "author": _actor(F.when(k % 13 != 0, F.concat(F.lit("Dev"), k % 40))), "milestone": F.when(k % 4 == 0, stone), "labels": _nodes(F.array(label(F.lit("bug")), label(F.lit("from"), F.lit("docs")))),
         "assignees": _nodes(F.array(_actor(F.concat(F.lit("Dev"), k % 7)), _actor(F.concat(F.lit("DEV"), k % 7)))), "comments": _nodes(F.col("c")),
     }
@@ -256,9 +256,9 @@ def ingest_pages(spark: SparkSession, d: str) -> DataFrame:
 _BAD = "o_orderkey % 97 = 0 OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 103 = 0 AND l_linenumber = 1)"
 
 
-@query(f"WITH a AS (SELECT 'owner/repo' || o_custkey AS repo_key, max(o_orderdate) FILTER (NOT bad) AS newest, min(o_orderdate) FILTER (bad) AS first_bad, count(*) FILTER (bad) AS rejected FROM (SELECT *, {_BAD} AS bad FROM orders) GROUP BY 1) SELECT repo_key, strftime(coalesce(first_bad, newest), '%Y-%m-%d') AS cursor, rejected FROM a WHERE newest IS NOT NULL")
+@query(f"WITH a AS (SELECT 'owner/repo' || o_custkey AS repo_key, max(o_orderdate) FILTER (NOT bad) AS newest, min(o_orderdate) FILTER (bad) AS first_bad, count(*) FILTER (bad) AS rejected FROM (SELECT *, {_BAD} AS bad FROM orders) GROUP BY 1) SELECT repo_key, strftime(least(first_bad, newest), '%Y-%m-%d') AS cursor, rejected FROM a WHERE newest IS NOT NULL")
 def ingest_rejects(spark: SparkSession, d: str) -> DataFrame:
-    """Per repository: rejected items and the cursor, which stays at the oldest of them."""
+    """Per repository: rejected items and the cursor, the newest accepted time or the oldest rejected one, whichever is less."""
     good, bad = _requests(spark, d)
     accepted = good.select(F.lower("header.nameWithOwner").alias("repo_key"), F.try_to_timestamp("node.updatedAt").alias("updated_at"))
     rejected = bad.select(F.split_part("item_key", F.lit("#"), F.lit(1)).alias("repo_key"), "updated_at")
@@ -296,7 +296,7 @@ _STAMP = "strftime(DATE '2024-01-01' + CAST({} AS INTEGER), '%Y-%m-%d %H:%M:%S')
 _CREATED = "DATE '2024-01-01' + CAST(n AS INTEGER)"
 
 
-@query(f"WITH {_DOC}, c AS (SELECT conv_id, count(*) AS n_comments FROM conversations GROUP BY 1) SELECT 'I-' || doc_id AS id, 'docs/' || lang AS repo_key, doc_id AS number, source AS title, substr(text, 1, 200) AS body, CASE WHEN doc_id % 3 = 0 THEN 'closed' ELSE 'open' END AS state, CASE WHEN doc_id % 3 = 0 THEN 'completed' END AS state_reason, CASE WHEN doc_id % 13 = 0 THEN 'user:ghost' ELSE 'user:dev' || (doc_id % 40) END AS author_key, CASE WHEN doc_id % 4 = 0 THEN 'M-' || lang || '-' || source END AS milestone_id, coalesce(n_comments, 0) AS comment_count, {_STAMP.format('n')} AS created_at, CASE WHEN doc_id % 5 = 0 THEN {_STAMP.format('n')} ELSE {_STAMP.format('n + 7')} END AS updated_at, CASE WHEN doc_id % 3 = 0 THEN {_STAMP.format('n + 7')} END AS closed_at, {_day('CAST(' + _CREATED + ' AS TIMESTAMP)')} AS created_date_key FROM d LEFT JOIN c ON conv_id = doc_id")
+@query(f"WITH {_DOC}, c AS (SELECT conv_id, count(*) AS n_comments FROM conversations GROUP BY 1) SELECT 'I-' || doc_id AS id, 'docs/' || lang AS repo_key, doc_id AS number, source AS title, text AS body, CASE WHEN doc_id % 3 = 0 THEN 'closed' ELSE 'open' END AS state, CASE WHEN doc_id % 3 = 0 THEN 'completed' END AS state_reason, CASE WHEN doc_id % 13 = 0 THEN 'user:ghost' ELSE 'user:dev' || (doc_id % 40) END AS author_key, CASE WHEN doc_id % 4 = 0 THEN 'M-' || lang || '-' || source END AS milestone_id, coalesce(n_comments, 0) AS comment_count, {_STAMP.format('n')} AS created_at, CASE WHEN doc_id % 5 = 0 THEN {_STAMP.format('n')} ELSE {_STAMP.format('n + 7')} END AS updated_at, CASE WHEN doc_id % 3 = 0 THEN {_STAMP.format('n + 7')} END AS closed_at, {_day('CAST(' + _CREATED + ' AS TIMESTAMP)')} AS created_date_key FROM d LEFT JOIN c ON conv_id = doc_id")
 def ingest_issues(spark: SparkSession, d: str) -> DataFrame:
     """Issue rows; an update time that is missing is the creation's."""
     return shown(pages.issues(_issues(spark, d)[0], ZONE))
@@ -352,7 +352,7 @@ def stream_replay(spark: SparkSession, d: str) -> DataFrame:
     return shown(ingest.current(spark, _replayed(spark, d), "fact_pull_requests"))
 
 
-@query(f"WITH b AS (SELECT *, {_BAD} AS bad FROM orders) SELECT 'reject' AS kind, 'owner/repo' || o_custkey || '#' || o_orderkey AS key, strftime(o_orderdate, '%Y-%m-%d') AS day FROM b WHERE bad UNION ALL SELECT 'cursor', 'repo:owner/repo' || o_custkey, strftime(coalesce(min(o_orderdate) FILTER (bad), max(o_orderdate) FILTER (NOT bad)), '%Y-%m-%d') FROM b GROUP BY o_custkey HAVING count(*) FILTER (NOT bad) > 0")
+@query(f"WITH b AS (SELECT *, {_BAD} AS bad FROM orders) SELECT 'reject' AS kind, 'owner/repo' || o_custkey || '#' || o_orderkey AS key, strftime(o_orderdate, '%Y-%m-%d') AS day FROM b WHERE bad UNION ALL SELECT 'cursor', 'repo:owner/repo' || o_custkey, strftime(least(min(o_orderdate) FILTER (bad), max(o_orderdate) FILTER (NOT bad)), '%Y-%m-%d') FROM b GROUP BY o_custkey HAVING count(*) FILTER (NOT bad) > 0")
 def stream_rejects(spark: SparkSession, d: str) -> DataFrame:
     """Rejects and cursors after a stream and its replay: each item once."""
     root = _replayed(spark, d)

@@ -495,7 +495,7 @@ def _cursors(spark, d) -> DataFrame:
     return t.read(spark, d, "events").filter("ts < timestamp_ntz '2024-01-15 00:00:00'").groupBy("event_type").agg(F.max("ts").alias("cursor"))
 
 
-@query("WITH o AS (SELECT event_type, max(ts) AS was FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), n AS (SELECT event_type, max(ts) AS newest FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type, min(ts) AS bad FROM events WHERE event_id % 101 = 1 AND ts > TIMESTAMP '2024-01-10' AND event_type <> 'click' GROUP BY 1) SELECT event_type, strftime(greatest(was, coalesce(bad, newest)), '%Y-%m-%d %H:%M:%S') AS cursor FROM o JOIN n USING (event_type) LEFT JOIN b USING (event_type)")
+@query("WITH o AS (SELECT event_type, max(ts) AS was FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), n AS (SELECT event_type, max(ts) AS newest FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type, min(ts) AS bad FROM events WHERE event_id % 101 = 1 AND ts > TIMESTAMP '2024-01-10' AND event_type <> 'click' GROUP BY 1) SELECT event_type, strftime(greatest(was, CASE WHEN newest IS NOT NULL THEN least(bad, newest) END), '%Y-%m-%d %H:%M:%S') AS cursor FROM o JOIN n USING (event_type) LEFT JOIN b USING (event_type)")
 def high_water_mark(spark, d):
     e = t.read(spark, d, "events")
     bad = e.filter("event_id % 101 = 1 AND ts > timestamp_ntz '2024-01-10 00:00:00' AND event_type <> 'click'")

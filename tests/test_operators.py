@@ -29,7 +29,16 @@ def test_cursors_stay_below_rejects(spark):
     t = lambda d: dt.datetime(2022, 5, d)
     old = spark.createDataFrame([("p", t(17)), ("q", t(3))], "src string, cursor timestamp")
     good, bad = spark.createDataFrame([("p", t(6)), ("q", t(28)), ("r", t(9))], s), spark.createDataFrame([("q", t(14)), ("s", t(2))], s)
-    assert rows(coverage.advance_cursors(old, good, bad, ["src"])) == [("p", t(17)), ("q", t(14)), ("r", t(9))]
+    got = coverage.advance_cursors(old, good, bad, ["src"])
+    assert rows(got) == [("p", t(17), t(17)), ("q", t(28), t(14)), ("r", t(9), t(9))]
+    # the bad item is the newest: the cursor stays at what is kept; once it has landed the cursor takes all that came before
+    late = spark.createDataFrame([("p", t(30)), ("r", t(20))], s)
+    held = coverage.advance_cursors(got, good, late, ["src"])
+    assert rows(held) == [("p", t(17), t(17)), ("q", t(28), t(28)), ("r", t(9), t(9))]
+    # an open reject of an earlier load holds the cursor while newer items land; nothing accepted leaves it
+    more = coverage.advance_cursors(got, spark.createDataFrame([("r", t(25))], s), spark.createDataFrame([("r", t(12)), ("q", t(14))], s), ["src"])
+    assert rows(more) == [("p", t(17), t(17)), ("q", t(28), t(14)), ("r", t(25), t(12))]
+    assert rows(coverage.advance_cursors(more, good.limit(0), bad.limit(0), ["src"])) == [("p", t(17), t(17)), ("q", t(28), t(28)), ("r", t(25), t(25))]
 
 
 def test_capped_windows(spark):
@@ -90,7 +99,7 @@ def test_quality(spark):
 
 
 def test_read_only_sql(spark, tmp_path):
-    spark.range(5).createOrReplaceTempView("numbers")
+    sqlsurface.register({"numbers": spark.range(5)})
     spark.range(5).write.parquet(f"{tmp_path}/t")
     got = sqlsurface.query_rows(spark, "SELECT id FROM numbers", 3)
     assert len(got.rows) == 3 and got.truncated
