@@ -24,8 +24,6 @@ POLICIES: dict[str, tuple[list[str], list[str], list[str]]] = {
     "labels": (["id"], ["name", "color", "description"], []),
     "milestones": (["id"], ["title", "description", "state", "due_on"], []),
     "user_group": (["name"], [], ["description"]),
-    "rejects": (["item_key"], ["updated_at", "error"], []),
-    "cursors": (["source_type", "source_id"], ["cursor"], []),
 }
 
 

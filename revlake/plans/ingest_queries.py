@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import listing, merge
-from ..operators.coverage import advance_cursors
+from ..operators.coverage import advance_cursors, gaps
 from ..sources import pages, sinks
 from ..streaming import ingest
 from . import tables as t
@@ -361,6 +362,88 @@ def stream_rejects(spark: SparkSession, d: str) -> DataFrame:
     return bad.unionByName(ingest.current(spark, root, "cursors").select(F.lit("cursor").alias("kind"), F.concat_ws(":", "source_type", "source_id").alias("key"), day("cursor")))
 
 
+def _moved(pages_: DataFrame, kind: str) -> DataFrame:
+    """Pages whose items were created 40 days later, and updated then: as a forge may serve them after a transfer."""
+    later = lambda c: F.coalesce(_iso(F.try_to_timestamp(c) + F.expr("interval 40 days")), c)
+    new = lambda n: n.withField("createdAt", later(n["createdAt"])).withField("updatedAt", later(n["updatedAt"])).withField("title", F.concat(n["title"], F.lit(" moved")))
+    nodes = F.transform(f"data.repository.{kind}.nodes", new)
+    return pages_.withColumn("data", F.col("data").withField(f"repository.{kind}.nodes", nodes))
+
+
+@query(_REQUESTS.replace("o_orderpriority AS title", "o_orderpriority || ' moved' AS title").replace("strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS updated_at", "strftime(o_orderdate + INTERVAL 40 DAY, '%Y-%m-%d %H:%M:%S') AS updated_at").replace(f"{_day('o_orderdate')} AS updated_date_key, {_hour('o_orderdate')} AS updated_time_key", f"{_day('(o_orderdate + INTERVAL 40 DAY)')} AS updated_date_key, {_hour('(o_orderdate + INTERVAL 40 DAY)')} AS updated_time_key"))
+def stream_moved(spark: SparkSession, d: str) -> DataFrame:
+    """Requests that come again with another creation time: one row each, with the first time and the new title."""
+    made = request_pages(spark, d)
+    landing, root = _landed(made, "pages"), _place(spark, "warehouse")
+    ingest.ingest(spark, landing, root, f"{root}/checkpoint0", ZONE).awaitTermination()
+    _moved(made, "pullRequests").write.mode("append").json(landing)
+    ingest.ingest(spark, landing, root, f"{root}/checkpoint0", ZONE, cut=False).awaitTermination()
+    return shown(ingest.current(spark, root, "fact_pull_requests"))
+
+
+@query(f"WITH q AS ({_REQUESTS}) SELECT * FROM q")
+def stream_two_paths(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of repository pages with some of the requests and one of person searches with all: each lands once."""
+    found = search_pages(spark, d).withColumn("source_id", F.concat(F.lit("author:"), F.lower(F.coalesce(F.col("data.search.nodes")[0]["author"]["login"], F.lit("none")))))
+    found.withColumn("source_id", F.concat(F.lit("author:"), F.pmod(F.xxhash64("source_id"), F.lit(8)))).write.partitionBy("source_id").json(searches := _place(spark, "search"))
+    some = F.filter("data.repository.pullRequests.nodes", lambda n: n["number"] % 3 != 0)
+    root = _place(spark, "warehouse")
+    pages_ = _landed(request_pages(spark, d).withColumn("data", F.col("data").withField("repository.pullRequests.nodes", some)), "pages")
+    streams = [ingest.ingest(spark, at, root, f"{root}/checkpoint-{kind}", ZONE, kind) for kind, at in (("requests", pages_), ("searches", searches))]  # both at once
+    for s in streams:
+        s.awaitTermination()
+    return shown(ingest.current(spark, root, "fact_pull_requests"))
+
+
+_ISSUE_MOVED = "o AS (SELECT *, doc_id % 3 = 0 AS gone FROM documents WHERE doc_id % 61 <> 0)"
+
+
+@query(f"""WITH {_ISSUE_MOVED} SELECT 'issue' AS kind, 'I-' || doc_id AS key, source || ' moved' AS value, strftime(DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER), '%Y-%m-%d') AS day FROM o
+UNION ALL SELECT 'label', 'I-' || doc_id, 'L-' || lang || '-' || w, NULL FROM o, (SELECT unnest(['bug', 'from-docs']) AS w) WHERE NOT gone
+UNION ALL SELECT 'reject', 'I-' || doc_id, NULL, CASE WHEN doc_id % 5 <> 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 300 + 47 AS INTEGER), '%Y-%m-%d') END FROM documents WHERE doc_id % 61 = 0""")
+def stream_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Issues that come twice, the second time with another creation time and every third without labels: one row each with
+    its first time, links as they are now, and items whose times do not parse as open rejects."""
+    made = issue_pages(spark, d)
+    landing, root = _landed(made, "issues"), _place(spark, "warehouse")
+    ingest.ingest(spark, landing, root, f"{root}/checkpoint", ZONE, "issues").awaitTermination()
+    bare = F.transform("data.repository.issues.nodes", lambda n: n.withField("labels", F.when(n["number"] % 3 != 0, n["labels"])))
+    again = _moved(made, "issues").withColumn("data", F.col("data").withField("repository.issues.nodes", bare))
+    again.write.mode("append").json(landing)
+    for _ in range(2):  # the third time nothing is new
+        ingest.ingest(spark, landing, root, f"{root}/checkpoint", ZONE, "issues", cut=False).awaitTermination()
+    day, none = lambda c: F.date_format(c, "yyyy-MM-dd").alias("day"), F.lit(None).cast("string")
+    row = lambda name, kind, key, value, at: ingest.current(spark, root, name).select(F.lit(kind).alias("kind"), F.col(key).alias("key"), value.alias("value"), at)
+    out = row("issues", "issue", "id", F.col("title"), day("created_at")).unionByName(row("issue_labels", "label", "issue_id", F.col("label_id"), none.alias("day")))
+    return out.unionByName(row("rejects", "reject", "item_key", none, day("updated_at")))
+
+
+@query(f"WITH {_O}, f AS (SELECT DISTINCT pr_key, l_partkey, CAST(l_quantity AS BIGINT) AS q FROM l) SELECT pr_key || ':src/' || l_partkey AS file_diff_key, min(q) AS least, count(DISTINCT q) AS n, CASE WHEN l_partkey % 2 = 0 THEN '@@ ' || l_partkey END AS patch FROM f GROUP BY pr_key, l_partkey")
+def stream_patches(spark: SparkSession, d: str) -> DataFrame:
+    """Patches that stream in after their requests reach the diffs that exist. A path that a request has twice is one diff."""
+    root = _place(spark, "warehouse")
+    ingest.ingest(spark, _landed(request_pages(spark, d), "pages"), root, f"{root}/checkpoint0", ZONE).awaitTermination()
+    line = t.read(spark, d, "lineitem").join(t.read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).filter("l_partkey % 2 = 0")
+    pr_key = F.concat(F.lit("owner/repo"), "o_custkey", F.lit("#"), "o_orderkey")
+    scan = line.select(pr_key.alias("pr_key"), F.concat(F.lit("src/"), "l_partkey").alias("filename"), F.concat(F.lit("@@ "), "l_partkey").alias("patch"))
+    lost = scan.withColumn("filename", F.concat(F.lit("gone/"), "filename"))
+    ingest.ingest(spark, _landed(scan.unionByName(lost), "patches"), root, f"{root}/checkpoint1", ZONE, "patches").awaitTermination()
+    diffs = ingest.current(spark, root, "fact_file_diffs")
+    line_q = t.read(spark, d, "lineitem").join(t.read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sizes = line_q.select(F.concat(pr_key, F.lit(":src/"), "l_partkey").alias("file_diff_key"), F.col("l_quantity").cast("long").alias("q")).groupBy("file_diff_key").agg(F.min("q").alias("least"), F.countDistinct("q").alias("n"))
+    return diffs.join(sizes, "file_diff_key").select("file_diff_key", "least", "n", "patch")
+
+
+@query(f"""WITH b AS (SELECT o_custkey, o_orderdate, {_BAD} AS bad FROM orders), s AS (SELECT o_custkey, count(*) AS items FROM b GROUP BY 1)
+SELECT 'repo:owner/repo' || o_custkey AS entity, '1998-06-01' AS first_day, '1998-08-01' AS covered, items, '1998-08-02' AS gap_start, '1998-08-31' AS gap_end FROM s""")
+def stream_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What a load of June and July covers, cut to its last complete day, and what is missing up to the end of August."""
+    root, day = _place(spark, "warehouse"), lambda *x: date(1998, *x)
+    ingest.ingest(spark, _landed(request_pages(spark, d), "pages"), root, f"{root}/checkpoint", ZONE, window=(day(6, 1), day(8, 31), day(8, 1))).awaitTermination()
+    ranges = ingest.current(spark, root, "coverage")
+    return shown(ranges.select("entity", F.col("start").alias("first_day"), F.col("end").alias("covered"), "items").join(gaps(ranges, F.lit(day(8, 31))), "entity"))
+
+
 #: What a changed row may do to each column: R takes the new value, K keeps the first, C takes the new one unless it is null.
 _RULES = """dim_entities entity_type:R is_human:R is_bot:R login:K name:K | dim_repositories primary_language:R is_fork:R is_private:R default_branch:R owner:K name:K created_at:C
 | fact_pull_requests state:R is_draft:R title:R body:R base_ref:R head_ref:R updated_at:R merged_at:R closed_at:R merged_by_key:R updated_date_key:R updated_time_key:R merged_date_key:R comment_count:R review_count:R changed_files:R additions:R deletions:R number:K repo_key:K author_key:K created_at:K created_date_key:K created_time_key:K

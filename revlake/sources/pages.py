@@ -24,28 +24,50 @@ def _actor(c: str) -> Column:
     return entity_key(F.col(f"{c}.login"), F.col(f"{c}.__typename"))
 
 
-def read_pr_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row per request: node, header (its repository)."""
-    pages = spark.read.schema(S.PR_PAGE).json(path)
-    return pr_nodes(pages)
+_HEADER = ("nameWithOwner", "primaryLanguage", "isFork", "isPrivate", "defaultBranchRef", "createdAt")
+
+
+def _last(page: Column) -> Column:
+    """Whether a page ends its source's list."""
+    return (~F.coalesce(page["pageInfo"]["hasNextPage"], F.lit(False))).alias("last")
+
+
+def pr_items(pages: DataFrame) -> DataFrame:
+    """source_id (the repository), last (page of its source), header, node: a row for each request, and one without node for
+    a page without any."""
+    r = F.col("data.repository")
+    header = F.struct(*[r[c].alias(c) for c in _HEADER]).alias("header")
+    rows = pages.select(F.lower(r["nameWithOwner"]).alias("source_id"), _last(r["pullRequests"]), header, F.explode_outer(r["pullRequests"]["nodes"]).alias("node"))
+    return rows.withColumn("node", F.when(F.col("node.number").isNotNull(), F.col("node")))
+
 
+def search_items(pages: DataFrame) -> DataFrame:
+    """The same from person searches, whose source_id (stream and person) is a column of the pages; nodes without a number
+    are none."""
+    found = pages.select(F.coalesce("source_id", F.lit("")).alias("source_id"), _last(F.col("data.search")), F.explode_outer("data.search.nodes").alias("n"))
+    return found.select("source_id", "last", F.col("n.repository").alias("header"), F.when(F.col("n.number").isNotNull(), F.col("n").dropFields("repository")).alias("node"))
 
-def pr_nodes(pages: DataFrame) -> DataFrame:
+
+def issue_items(pages: DataFrame) -> DataFrame:
+    """The same for issues, with repo_key in place of the header."""
     r = F.col("data.repository")
-    header = F.struct(*[r[c].alias(c) for c in ("nameWithOwner", "primaryLanguage", "isFork", "isPrivate", "defaultBranchRef", "createdAt")])
-    return pages.select(header.alias("header"), F.explode("data.repository.pullRequests.nodes").alias("node")).filter("node.number IS NOT NULL")
+    repo = F.lower(r["nameWithOwner"])
+    rows = pages.select(repo.alias("source_id"), _last(r["issues"]), repo.alias("repo_key"), F.explode_outer(r["issues"]["nodes"]).alias("node"))
+    return rows.withColumn("node", F.when(F.col("node.id").isNotNull(), F.col("node")))
+
+
+def read_pr_pages(spark: SparkSession, path: str) -> DataFrame:
+    """One row per request: header (its repository), node."""
+    return pr_items(spark.read.schema(S.PR_PAGE).json(path)).filter("node IS NOT NULL").select("header", "node")
 
 
 def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
-    """The same from person searches; nodes without a number are dropped."""
-    found = spark.read.schema(S.SEARCH_PAGE).json(path).select(F.explode("data.search.nodes").alias("n")).filter("n.number IS NOT NULL")
-    return found.select(F.col("n.repository").alias("header"), F.col("n").dropFields("repository").alias("node"))
+    found = spark.read.schema(S.SEARCH_PAGE).json(path).withColumn("source_id", F.lit(""))
+    return search_items(found).filter("node IS NOT NULL").select("header", "node")
 
 
 def read_issue_pages(spark: SparkSession, path: str) -> DataFrame:
-    r = F.col("data.repository")
-    pages = spark.read.schema(S.ISSUE_PAGE).json(path)
-    return pages.select(F.lower(r["nameWithOwner"]).alias("repo_key"), F.explode("data.repository.issues.nodes").alias("node")).filter("node.id IS NOT NULL")
+    return issue_items(spark.read.schema(S.ISSUE_PAGE).json(path)).filter("node IS NOT NULL").select("repo_key", "node")
 
 
 def read_patches(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +89,8 @@ def _any(nodes: Column, bad) -> Column:
 
 def split_rejects(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items all whose times parse, also those of their reviews, comments and check runs, and the others as item_key,
-    updated_at, error: a whole item is set aside. items: node, and header (requests) or repo_key (issues)."""
+    updated_at, error: a whole item is set aside. items: node, and header (requests) or repo_key (issues); a source_id comes
+    along."""
     n = F.col("node")
     comment = lambda x: _bad(x["createdAt"])
     parts = [_any(n["comments"]["nodes"], comment)]
@@ -81,7 +104,7 @@ def split_rejects(items: DataFrame) -> tuple[DataFrame, DataFrame]:
         parts.append(_bad(n["milestone"]["dueOn"]))
     broken = reduce(Column.__or__, [_ts(n["createdAt"]).isNull(), *[_bad(n[c]) for c in own], *parts])
     flagged = items.withColumn("_broken", F.coalesce(broken, F.lit(True)))
-    bad = flagged.filter("_broken").select(key.alias("item_key"), _ts(n["updatedAt"]).alias("updated_at"), F.concat(F.lit("unreadable time: "), F.to_json(F.struct(n["createdAt"].alias("createdAt"), *[n[c].alias(c) for c in own]))).alias("error"))
+    bad = flagged.filter("_broken").select(*[c for c in ("source_id",) if c in items.columns], key.alias("item_key"), _ts(n["updatedAt"]).alias("updated_at"), F.concat(F.lit("unreadable time: "), F.to_json(F.struct(n["createdAt"].alias("createdAt"), *[n[c].alias(c) for c in own]))).alias("error"))
     return flagged.filter("NOT _broken").drop("_broken"), bad
 
 
@@ -171,16 +194,24 @@ def issue_comments(items: DataFrame, zone: str) -> DataFrame:
     return _conversation(items.select(F.col("node.id").alias("parent_key"), F.explode("node.comments.nodes").alias("x")), "issue", zone)
 
 
-def entities(prs: DataFrame, issue_items: DataFrame | None = None) -> DataFrame:
+def _actors(items: DataFrame, one: list[str], many: list[Column]) -> DataFrame:
+    """The actors in all places of an item, by one pass over it."""
+    kind = F.array().cast("array<struct<login: string, __typename: string>>")
+    places = [F.array(*[F.col(c) for c in one]), *[F.coalesce(c, kind) for c in many]]
+    return items.select(F.explode(F.concat(*places)).alias("a")).filter("a.login IS NOT NULL AND a.login <> ''").select(_actor("a").alias("entity_key"), F.col("a.login").alias("name"))
+
+
+def entities(prs: DataFrame | None, issue_items: DataFrame | None = None) -> DataFrame:
     """Every actor in any place, and the ghost; one row per key with the first casing in binary order as its name."""
-    one = lambda df, c: df.select(F.col(c).alias("a"))
-    many = lambda df, arr: df.select(F.explode(arr).alias("x")).select(F.col("x.author").alias("a"))
-    threads = F.flatten(F.transform("node.reviewThreads.nodes", lambda t: F.coalesce(t["comments"]["nodes"], F.array())))
-    parts = [one(prs, "node.author"), one(prs, "node.mergedBy"), many(prs, F.col("node.reviews.nodes")), many(prs, threads), many(prs, F.col("node.comments.nodes"))]
+    author = lambda nodes: F.transform(nodes, lambda x: x["author"])
+    threads = F.flatten(F.transform("node.reviewThreads.nodes", lambda t: F.coalesce(author(t["comments"]["nodes"]), F.array())))
+    parts = []
+    if prs is not None:
+        parts.append(_actors(prs, ["node.author", "node.mergedBy"], [author("node.reviews.nodes"), threads, author("node.comments.nodes")]))
     if issue_items is not None:
-        parts += [one(issue_items, "node.author"), many(issue_items, F.col("node.comments.nodes")), issue_items.select(F.explode("node.assignees.nodes").alias("a"))]
-    actors = reduce(DataFrame.unionByName, parts).filter("a.login IS NOT NULL AND a.login <> ''").select(_actor("a").alias("entity_key"), F.col("a.login").alias("name"))
-    actors = actors.union(prs.sparkSession.range(1).select(F.lit(GHOST), F.lit("ghost")))
+        parts.append(_actors(issue_items, ["node.author"], [author("node.comments.nodes"), F.col("node.assignees.nodes")]))
+    spark = parts[0].sparkSession
+    actors = reduce(DataFrame.unionByName, [*parts, spark.range(1).select(F.lit(GHOST).alias("entity_key"), F.lit("ghost").alias("name"))])
     kind = F.substring_index("entity_key", ":", 1)
     return actors.groupBy("entity_key").agg(F.min("name").alias("name")).select("entity_key", kind.alias("entity_type"), bare_login(F.col("entity_key")).alias("login"), (kind == "user").alias("is_human"), (kind == "bot").alias("is_bot"), "name")
 

@@ -38,8 +38,9 @@ TABLES: dict[str, str] = {
     "milestones": "id string, repo_key string, number bigint, title string, description string, state string, due_on timestamp, created_at timestamp",
     "issue_labels": "issue_id string, label_id string",
     "issue_assignees": "issue_id string, entity_key string",
-    "rejects": "item_key string, updated_at timestamp, error string",
-    "cursors": "source_type string, source_id string, cursor timestamp",
+    "rejects": "item_key string, source_type string, source_id string, updated_at timestamp, error string, tries bigint",
+    "cursors": "source_type string, source_id string, newest timestamp, cursor timestamp",
+    "coverage": "entity string, start date, end date, items bigint",
 }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from revlake.plans import ingest_queries
 from revlake.sources import pages
-from revlake.streaming import ingest
+from revlake.streaming import ingest, warehouse
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,15 +60,17 @@ def test_a_later_batch_changes_rows_and_clears_no_reject(spark, tmp_path):
     (land / "1.json").write_text(json.dumps(page(NODE, NODE | {"number": 2, "createdAt": "?"}, NODE | {"number": 3, "createdAt": "2022-06-01T00:00:00Z"})))
     for k in range(2):  # the second run takes the same pages again
         ingest.ingest(spark, str(land), root, f"{tmp_path}/c{k}").awaitTermination()
+    first = warehouse.state(spark, root)
     (land / "2.json").write_text(json.dumps(page(NODE | {"title": "renamed", "updatedAt": "2022-05-08T00:00:00Z"})))
     ingest.ingest(spark, str(land), root, f"{tmp_path}/c1").awaitTermination()
     got = {r["number"]: r["title"] for r in ingest.current(spark, root, "fact_pull_requests").collect()}
     assert got == {1: "renamed", 3: ""}
     assert [r["item_key"] for r in ingest.current(spark, root, "rejects").collect()] == ["lake/rev#2"]
     assert [str(r["cursor"]) for r in ingest.current(spark, root, "cursors").collect()] == ["2022-05-08 00:00:00"]
-    months = {p.name for p in (tmp_path / "tables" / "fact_pull_requests").iterdir() if p.is_dir()}
-    assert months == {"month=2022-05", "month=2022-06"}
-    assert len(list((tmp_path / "tables" / "fact_pull_requests" / "month=2022-06").iterdir())) == 2  # untouched by the third batch
+    at = warehouse.state(spark, root)
+    assert at.parts("fact_pull_requests") == ["2022-05", "2022-06"]
+    june, may = (at.folders["fact_pull_requests", m] for m in ("2022-06", "2022-05"))
+    assert june == first.folders["fact_pull_requests", "2022-06"] and may != first.folders["fact_pull_requests", "2022-05"]  # the third batch left June alone
     ingest.drop_old_versions(spark, root, 1)
-    assert len(list((tmp_path / "tables" / "fact_pull_requests" / "month=2022-05").iterdir())) == 1
+    assert not (tmp_path / "tables" / first.folders["fact_pull_requests", "2022-05"][0]).exists()
     assert {r["number"] for r in ingest.current(spark, root, "fact_pull_requests").collect()} == {1, 3}
