@@ -33,7 +33,7 @@ class WordTokenizer:
     memory is bounded by MOST_WORDS entries.
     """
 
-    MOST_WORDS = 200_000
+    MOST_WORDS = 150_000
     BULK = 4_000
     #: White space but the blank and the line feed. Cut texts must hold neither these nor these runs.
     SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
@@ -168,7 +168,8 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
     Format: a Parquet folder; one row is a shard: part and seq (its place), n_docs, n_ids, ids (one run of little-endian
     uint32, each document closed by end_id), and two Elias-Fano codes: ends, where the documents end in ids, and doc_ids,
     their ids less first_id; the first n_null documents have no id. A null text is empty and has the end id alone; null
-    ids come first; rows with equal ids follow each other by text. An empty table gives no shards.
+    ids come first; rows with equal ids follow each other by a hash of the text. An empty table gives no shards. A text's ids must fit a
+    shard's binary: 2 GB, about 500 million tokens. Ids that are no longs are cast.
     """
 
     def coded(values: list[int]) -> dict:
@@ -197,7 +198,8 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
         if names:
             yield close(part, seq, names, runs, ends)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")  # rows of one id are dealt too
     rows.mapInArrow(encode, _SHARD).write.parquet(out)
 
 
