@@ -18,31 +18,41 @@ def board_counts(df: DataFrame, entity: str, date_col: str, windows: Windows, sc
 
 
 def top_board(counts: DataFrame, top: int = 10) -> DataFrame:
-    """entity, current, previous, delta, rank_current, rank_previous of the first top entities by (current desc, entity).
-
-    No global window: the top rows are few, and each one's previous rank is the number of entities that stand before it,
-    counted in one pass over all counts with partial sums. rank_previous is null without activity in that window.
-    """
+    """entity, current, previous, delta, rank_current, rank_previous of the first top entities by (current desc, entity);
+    rank_previous is null without activity in that window. No window over all entities: the top rows are few."""
     if top > MOST_TOP:
         raise ValueError(f"a board has {MOST_TOP} rows at most")
     best = counts.filter("current > 0").orderBy(F.desc("current"), "entity").limit(top)
-    listed = best.select(F.col("entity").alias("e"), F.col("current").alias("c"), F.col("previous").alias("p"))
-    ahead_now = (F.col("current") > F.col("c")) | ((F.col("current") == F.col("c")) & (F.col("entity") <= F.col("e")))
-    ahead_before = (F.col("previous") > F.col("p")) | ((F.col("previous") == F.col("p")) & (F.col("entity") <= F.col("e")))
-    # at most MOST_TOP rows are broadcast
-    ranks = counts.join(F.broadcast(listed), ahead_now | ahead_before).groupBy("e", "c", "p").agg(F.sum(ahead_now.cast("int")).alias("now"), F.sum(ahead_before.cast("int")).alias("before"))
-    return ranks.select(F.col("e").alias("entity"), F.col("c").alias("current"), F.col("p").alias("previous"), (F.col("c") - F.col("p")).alias("delta"), F.col("now").cast("int").alias("rank_current"), F.when(F.col("p") > 0, F.col("before")).cast("int").alias("rank_previous"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("current"), "entity"))  # over the listed rows
+    one = F.lit(0).alias("_scope")
+    return _with_previous_rank(best.withColumn("rank_current", place).select(one, "*"), counts.select(one, "*"), ["_scope"]).drop("_scope")
 
 
 def scoped_boards(counts: DataFrame, scope: list[str], top: int = 10) -> DataFrame:
-    """The same for each scope. The filter on the row number lets tasks keep their first rows of a scope only; previous
-    ranks are counted against those with partial sums, so no task sorts a whole scope."""
+    """The same for each scope. The filter on the row number lets tasks keep their first rows of a scope only."""
     now = F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc("current"), "entity"))
     best = counts.filter("current > 0").withColumn("rank_current", now).filter(F.col("rank_current") <= top)
-    listed = best.select(*scope, F.col("entity").alias("e"), F.col("previous").alias("p"))
-    ahead = (F.col("previous") > F.col("p")) | ((F.col("previous") == F.col("p")) & (F.col("entity") <= F.col("e")))
-    before = counts.filter("previous > 0").join(listed.filter("p > 0"), scope).filter(ahead).groupBy(*scope, F.col("e").alias("entity")).agg(F.count("*").cast("int").alias("rank_previous"))
-    return best.join(before, [*scope, "entity"], "left").select(*scope, "entity", "current", "previous", (F.col("current") - F.col("previous")).alias("delta"), "rank_current", "rank_previous")
+    return _with_previous_rank(best, counts, scope)
+
+
+def _with_previous_rank(best: DataFrame, counts: DataFrame, scope: list[str]) -> DataFrame:
+    """The listed rows with their rank by (previous desc, entity) among all of their scope.
+
+    A scope's histogram of previous counts has the entities before each count; those of the same count are put in the slots
+    between the listed entities of that count, which are few, and counted by slot. Both are partial sums over narrow rows;
+    no entity is compared with more than the listed ones of its own count, and no scope is sorted.
+    """
+    active = counts.filter("previous > 0 AND current >= 0")  # both columns, so that the branches share one exchange
+    by = [*scope, "previous"]
+    higher = Window.partitionBy(*scope).orderBy(F.desc("previous")).rowsBetween(Window.unboundedPreceding, -1)
+    before = active.groupBy(*by).agg(F.count("*").alias("n")).withColumn("above", F.coalesce(F.sum("n").over(higher), F.lit(0))).drop("n")
+    listed = best.filter("previous > 0").groupBy(*by).agg(F.sort_array(F.collect_list("entity")).alias("es"))
+    slot = F.size(F.filter("es", lambda x: x < F.col("entity"))).alias("slot")
+    slots = active.join(listed, by).groupBy(*by, slot).agg(F.count("*").alias("n")).groupBy(*by).agg(F.collect_list(F.struct("slot", "n")).alias("slots"))
+    ranks = listed.join(before, by).join(slots, by).select(*by, "above", "slots", F.posexplode("es").alias("pos", "entity"))
+    same = F.aggregate("slots", F.lit(0).cast("long"), lambda a, x: a + F.when(x["slot"] <= F.col("pos"), x["n"]).otherwise(0))
+    ranks = ranks.select(*scope, "entity", (F.col("above") + same).cast("int").alias("rank_previous"))
+    return best.join(ranks, [*scope, "entity"], "left").select(*scope, "entity", "current", "previous", (F.col("current") - F.col("previous")).alias("delta"), "rank_current", "rank_previous")
 
 
 def with_names(board: DataFrame, *names: DataFrame) -> DataFrame:

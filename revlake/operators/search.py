@@ -3,7 +3,7 @@
 A query is one literal of three characters or more, compared without case within one field. The rank is the negated
 BM25 of the literal (lower is better), with each corpus's own counts. A corpus is read twice: for its counts, which are
 one row, and for the matches. By postings, only candidates that hold all trigrams of the query are read for matches.
-Snippets are cut from the rows that a limit leaves.
+Snippets are cut from the rows that a limit leaves. text_index searches a stored index instead.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from .listing import when_given, with_authors
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
-AROUND = 32
+#: Trigrams of a snippet.
+TOKENS = 12
 DEFAULT_LIMIT = 20
 
 
@@ -34,17 +35,38 @@ def trigram_count(field: Column) -> Column:
     return F.greatest(F.char_length(F.coalesce(field, F.lit(""))) - 2, F.lit(0))
 
 
-def snippet(fields: list[Column], query: str, around: int = AROUND) -> Column:
-    """[hit] with up to so many characters on both sides, and … where text is left out; from the first field that matches."""
+def _folded_span(field: Column, query: str) -> Column:
+    """begin and end, in characters of the field, of the first place where the literal stands in the lower-cased field. Where
+    a letter's lower case is longer, the characters that the folded place covers are counted off one by one."""
+    q, folded = query.lower(), F.lower(field)
+    first = F.locate(q, folded)
+    last = first + len(q) - 1
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("a"), F.lit(0).alias("b"))
 
-    def of(field: Column) -> Column:
-        at, n = F.locate(query.lower(), F.lower(field)), F.char_length(field)
-        begin, end = F.greatest(at - around, F.lit(1)), at + len(query)
-        left = F.concat(F.when(begin > 1, "…").otherwise(""), field.substr(begin, at - begin))
-        right = F.concat(field.substr(end, F.lit(around)), F.when(end + around <= n, "…").otherwise(""))
-        return F.when(at > 0, F.concat(left, F.lit("["), field.substr(at, F.lit(len(query))), F.lit("]"), right))
+    def step(s: Column, width: Column) -> Column:
+        n = s["n"] + width
+        return F.struct(n.alias("n"), (s["a"] + (n < first).cast("int")).alias("a"), (s["b"] + (n < last).cast("int")).alias("b"))
 
-    return F.coalesce(*[of(f) for f in fields])
+    walked = F.aggregate(F.transform(F.split(field, ""), lambda c: F.char_length(F.lower(c))), start, step, lambda s: F.struct((s["a"] + 1).alias("begin"), (s["b"] + 1).alias("end")))
+    plain = F.struct(first.alias("begin"), last.alias("end"))
+    return F.when(first == 0, None).when(F.char_length(folded) == F.char_length(field), plain).otherwise(walked)
+
+
+def snippet(fields: list[Column], query: str, tokens: int = TOKENS) -> Column:
+    """So many trigrams of the field with the most hits (the first of such) around its first hit, hits in brackets, and …
+    where text is left out. A hit that is longer stays whole."""
+    hits = F.array(*[occurrences(f, query) for f in fields])
+    best = F.get(F.array(*[F.coalesce(f, F.lit("")) for f in fields]), (F.array_position(hits, F.array_max(hits)) - 1).cast("int"))
+
+    def cut(x: Column) -> Column:
+        field, begin, end, n = x["f"], x["s"]["begin"], x["s"]["end"], F.char_length(x["f"])
+        wide = tokens + 2
+        first = F.greatest(F.least(begin - F.greatest(F.floor((wide - (end - begin + 1)) / 2), F.lit(0)), n - wide + 1), F.lit(1)).cast("int")
+        last = F.least(F.greatest(first + wide - 1, end), n).cast("int")
+        more = F.regexp_replace(field.substr(end + 1, last - end), F.lit("(?iu)\\Q" + query.replace("\\E", "\\E\\\\E\\Q") + "\\E"), F.lit("[$0]"))
+        return F.when(x["s"].isNotNull(), F.concat(F.when(first > 1, "…").otherwise(""), field.substr(first, begin - first), F.lit("["), field.substr(begin, end - begin + 1), F.lit("]"), more, F.when(last < n, "…").otherwise("")))
+
+    return F.element_at(F.transform(F.array(F.struct(best.alias("f"), _folded_span(best, query).alias("s"))), cut), 1)
 
 
 def _length(fields: list[str]) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,17 +18,8 @@ PAGE = 50
 ZONE = "America/Los_Angeles"
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="revlake-")
-    return f"{root.rstrip('/')}/revlake/{name}-{uuid.uuid4().hex}"
-
-
 def _landed(df: DataFrame, name: str) -> str:
-    df.write.json(path := _place(df.sparkSession, name))
+    df.write.json(path := t.shared_place(df.sparkSession, name))
     return path
 
 
@@ -340,7 +329,7 @@ def ingest_issue_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 def _replayed(spark: SparkSession, d: str) -> str:
     """The tables after a streamed ingest of the landed pages and a second one of the same pages."""
-    landing, root = _landed(request_pages(spark, d), "pages"), _place(spark, "warehouse")
+    landing, root = _landed(request_pages(spark, d), "pages"), t.shared_place(spark, "warehouse")
     for k in range(2):
         ingest.ingest(spark, landing, root, f"{root}/checkpoint{k}", ZONE).awaitTermination()
     ingest.drop_old_versions(spark, root, 1)
@@ -374,7 +363,7 @@ def _moved(pages_: DataFrame, kind: str) -> DataFrame:
 def stream_moved(spark: SparkSession, d: str) -> DataFrame:
     """Requests that come again with another creation time: one row each, with the first time and the new title."""
     made = request_pages(spark, d)
-    landing, root = _landed(made, "pages"), _place(spark, "warehouse")
+    landing, root = _landed(made, "pages"), t.shared_place(spark, "warehouse")
     ingest.ingest(spark, landing, root, f"{root}/checkpoint0", ZONE).awaitTermination()
     _moved(made, "pullRequests").write.mode("append").json(landing)
     ingest.ingest(spark, landing, root, f"{root}/checkpoint0", ZONE, cut=False).awaitTermination()
@@ -385,9 +374,9 @@ def stream_moved(spark: SparkSession, d: str) -> DataFrame:
 def stream_two_paths(spark: SparkSession, d: str) -> DataFrame:
     """A stream of repository pages with some of the requests and one of person searches with all: each lands once."""
     found = search_pages(spark, d).withColumn("source_id", F.concat(F.lit("author:"), F.lower(F.coalesce(F.col("data.search.nodes")[0]["author"]["login"], F.lit("none")))))
-    found.withColumn("source_id", F.concat(F.lit("author:"), F.pmod(F.xxhash64("source_id"), F.lit(8)))).write.partitionBy("source_id").json(searches := _place(spark, "search"))
+    found.withColumn("source_id", F.concat(F.lit("author:"), F.pmod(F.xxhash64("source_id"), F.lit(8)))).write.partitionBy("source_id").json(searches := t.shared_place(spark, "search"))
     some = F.filter("data.repository.pullRequests.nodes", lambda n: n["number"] % 3 != 0)
-    root = _place(spark, "warehouse")
+    root = t.shared_place(spark, "warehouse")
     pages_ = _landed(request_pages(spark, d).withColumn("data", F.col("data").withField("repository.pullRequests.nodes", some)), "pages")
     streams = [ingest.ingest(spark, at, root, f"{root}/checkpoint-{kind}", ZONE, kind) for kind, at in (("requests", pages_), ("searches", searches))]  # both at once
     for s in streams:
@@ -405,7 +394,7 @@ def stream_issues(spark: SparkSession, d: str) -> DataFrame:
     """Issues that come twice, the second time with another creation time and every third without labels: one row each with
     its first time, links as they are now, and items whose times do not parse as open rejects."""
     made = issue_pages(spark, d)
-    landing, root = _landed(made, "issues"), _place(spark, "warehouse")
+    landing, root = _landed(made, "issues"), t.shared_place(spark, "warehouse")
     ingest.ingest(spark, landing, root, f"{root}/checkpoint", ZONE, "issues").awaitTermination()
     bare = F.transform("data.repository.issues.nodes", lambda n: n.withField("labels", F.when(n["number"] % 3 != 0, n["labels"])))
     again = _moved(made, "issues").withColumn("data", F.col("data").withField("repository.issues.nodes", bare))
@@ -421,7 +410,7 @@ def stream_issues(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_O}, f AS (SELECT DISTINCT pr_key, l_partkey, CAST(l_quantity AS BIGINT) AS q FROM l) SELECT pr_key || ':src/' || l_partkey AS file_diff_key, min(q) AS least, count(DISTINCT q) AS n, CASE WHEN l_partkey % 2 = 0 THEN '@@ ' || l_partkey END AS patch FROM f GROUP BY pr_key, l_partkey")
 def stream_patches(spark: SparkSession, d: str) -> DataFrame:
     """Patches that stream in after their requests reach the diffs that exist. A path that a request has twice is one diff."""
-    root = _place(spark, "warehouse")
+    root = t.shared_place(spark, "warehouse")
     ingest.ingest(spark, _landed(request_pages(spark, d), "pages"), root, f"{root}/checkpoint0", ZONE).awaitTermination()
     line = t.read(spark, d, "lineitem").join(t.read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).filter("l_partkey % 2 = 0")
     pr_key = F.concat(F.lit("owner/repo"), "o_custkey", F.lit("#"), "o_orderkey")
@@ -438,7 +427,7 @@ def stream_patches(spark: SparkSession, d: str) -> DataFrame:
 SELECT 'repo:owner/repo' || o_custkey AS entity, '1998-06-01' AS first_day, '1998-08-01' AS covered, items, '1998-08-02' AS gap_start, '1998-08-31' AS gap_end FROM s""")
 def stream_coverage(spark: SparkSession, d: str) -> DataFrame:
     """What a load of June and July covers, cut to its last complete day, and what is missing up to the end of August."""
-    root, day = _place(spark, "warehouse"), lambda *x: date(1998, *x)
+    root, day = t.shared_place(spark, "warehouse"), lambda *x: date(1998, *x)
     ingest.ingest(spark, _landed(request_pages(spark, d), "pages"), root, f"{root}/checkpoint", ZONE, window=(day(6, 1), day(8, 31), day(8, 1))).awaitTermination()
     ranges = ingest.current(spark, root, "coverage")
     return shown(ranges.select("entity", F.col("start").alias("first_day"), F.col("end").alias("covered"), "items").join(gaps(ranges, F.lit(day(8, 31))), "entity"))
@@ -485,7 +474,7 @@ _OUTPUT = f"""WITH q AS ({_REQUESTS}) SELECT pr_key, number, repo_key AS repo, s
 def sink_csv(spark: SparkSession, d: str) -> DataFrame:
     """A listing written as CSV and read back; quotes, commas and line feeds within a field survive."""
     out = _output(spark, d)
-    sinks.write_csv(out, path := _place(spark, "csv"))
+    sinks.write_csv(out, path := t.shared_place(spark, "csv"))
     return spark.read.schema(out.schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
@@ -493,7 +482,7 @@ def sink_csv(spark: SparkSession, d: str) -> DataFrame:
 def sink_json(spark: SparkSession, d: str) -> DataFrame:
     """A listing written as JSON lines and read back."""
     out = _output(spark, d)
-    sinks.write_json(out, path := _place(spark, "json"))
+    sinks.write_json(out, path := t.shared_place(spark, "json"))
     return spark.read.schema(out.schema).json(path)
 
 
@@ -501,7 +490,7 @@ def sink_json(spark: SparkSession, d: str) -> DataFrame:
 def sink_months(spark: SparkSession, d: str) -> DataFrame:
     """A fact in folders by month; a merge that touches one month writes that folder alone."""
     prs = pages.pull_requests(_requests(spark, d)[0], "UTC").withColumn("batch", F.lit(1))
-    sinks.write_table(prs, path := _place(spark, "facts"), "created_at")
+    sinks.write_table(prs, path := t.shared_place(spark, "facts"), "created_at")
     touched = prs.filter("created_at >= timestamp'1997-02-01' AND created_at < timestamp'1997-03-01'").withColumn("batch", F.lit(2))
     sinks.write_table(touched, path, "created_at")
     again = F.count_if(F.col("batch") == 2)

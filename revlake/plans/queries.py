@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import deltas, identity, periods, timekeys
-from ..operators import boards, coverage, listing, merge, metrics, quality, search
+from ..operators import boards, coverage, listing, merge, metrics, quality, search, text_index
 from . import sqlsurface
 from . import tables as t
 
@@ -687,7 +687,8 @@ def search_conversations(spark, d):
     return _hits(search.search_corpus(turns, ["text"], "tion ", "turn", None))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS key, substr(text, greatest(p - 32, 1), p - greatest(p - 32, 1)) AS lead, CASE WHEN p > 33 THEN '…' ELSE '' END AS cut, '[' || substr(text, p, 8) || ']' AS hit, substr(text, p + 8, 32) || CASE WHEN p + 40 <= length(text) THEN '…' ELSE '' END AS tail FROM (SELECT doc_id, text, strpos(lower(text), 'ationing') AS p FROM documents) WHERE p > 0")
+@query("""WITH h AS (SELECT doc_id, text, strpos(lower(text), 'ationing') AS p, length(text) AS n FROM documents), w AS (SELECT *, greatest(least(p - 3, n - 13), 1) AS f FROM h WHERE p > 0), z AS (SELECT *, least(greatest(f + 13, p + 7), n) AS l FROM w)
+SELECT CAST(doc_id AS VARCHAR) AS key, substr(text, f, p - f) AS lead, CASE WHEN f > 1 THEN '…' ELSE '' END AS cut, '[' || substr(text, p, 8) || ']' AS hit, substr(text, p + 8, l - p - 7) || CASE WHEN l < n THEN '…' ELSE '' END AS tail FROM z""")
 def search_snippets(spark, d):
     hits = search.search_corpus(_corpus(spark, d, "documents", "doc_id", "text"), ["text"], _TERM, "document", None)
     parts = lambda k: F.regexp_extract("snippet", r"(?s)^(…?)(.*?)(\[[^\[\]]{8}\])(.*)$", k)
@@ -722,6 +723,33 @@ def search_refreshed_postings(spark, d):
     return _hits(search.search_corpus(now, ["text"], _TERM, "document", None, search.candidates(index, "key", _TERM)))
 
 
+def _refreshed_index(spark, d) -> str:
+    """A stored index of documents after three refreshes: an older state with other texts and more of them, what has changed
+    and gone since, and what is new."""
+    now, root = _corpus(spark, d, "documents", "doc_id", "text"), t.shared_place(spark, "index")
+    k = F.col("key").cast("long")
+    old = now.filter(k % 5 != 0).withColumn("text", F.when(k % 3 == 0, F.concat(F.lit("Was stationing "), "text")).otherwise(F.col("text")))
+    gone = now.select(F.concat(F.lit("-"), "key").alias("key"), F.lit("mentioned rationing").alias("text"))
+    text_index.refresh(old.unionByName(gone), root, "key", ["text"])
+    text_index.refresh(now.filter((k % 3 == 0) & (k % 5 != 0)), root, "key", ["text"], gone)
+    text_index.refresh(now.filter(k % 5 == 0), root, "key", ["text"])
+    return root
+
+
+@query(f"WITH {_search_sql('documents', 'doc_id', 'text', _TERM, 'document')} SELECT * FROM k")
+def search_segments(spark, d):
+    """Search by a stored index after three refreshes: matches and ranks come from the lists of the term's trigrams."""
+    return _hits(text_index.search_index(spark, _refreshed_index(spark, d), _TERM).withColumn("kind", F.lit("document")))
+
+
+@query(f"WITH {_search_sql('documents', 'doc_id', 'text', 'tion', 'document')} SELECT * FROM (SELECT * FROM k ORDER BY rank, key LIMIT 20)")
+def search_top_segments(spark, d):
+    """The first twenty by rank, after the segments have been made one."""
+    text_index.compact(spark, root := _refreshed_index(spark, d))
+    hits = text_index.search_index(spark, root, "TION").withColumn("kind", F.lit("document"))
+    return _hits(hits).orderBy("rank", "key").limit(20)
+
+
 # Texts in the roles of the searched facts: documents as requests, pages as issues, turns as comments.
 
 _FACTS = """e AS (SELECT c_custkey, c_name, c_mktsegment FROM customer), dr AS (SELECT doc_id, 'lake/' || lang AS repo, 'lake/' || lang || '#' || doc_id AS pr_key, source, text, doc_id % 160 AS who FROM documents),
