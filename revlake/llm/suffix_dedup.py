@@ -175,22 +175,46 @@ def _runs(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[np.append(0, cuts + 1)].tolist(), places[np.append(cuts, len(places) - 1)].tolist(), strict=True)) if len(places) else []
 
 
-_ANCHOR = "doc long, th long, h long, p long, lo long, hi long, d1 long, d2 long"
+_ANCHOR = "doc long, th long, h long, p long, lo long, hi long, d1 long, d2 long, m long"
 
 
 def _scan(rows: DataFrame, need: int, gram: int) -> DataFrame:
+    """The anchors of each text, equal contexts of a text once with their number m; rows with m = 0 are byte ranges (lo, hi)
+    that such contexts cover: a long run of one character, or of few in turn, is one anchor and one range."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = np.frombuffer(text.as_py(), np.uint8)
                 if len(data) >= need:
-                    found = anchors(data, need, gram)
+                    found = _fold(anchors(data, need, gram), need)
                     n = len(found["h"])
                     yield pa.record_batch({"doc": pa.array(np.full(n, doc, np.int64)), "th": pa.array(np.full(n, th, np.int64)), **{k: pa.array(v) for k, v in found.items()}})
 
     return rows.select("doc", "th", "data").filter(F.octet_length("data") >= need).mapInArrow(run, _ANCHOR)
 
 
+def _fold(found: dict[str, np.ndarray], need: int) -> dict[str, np.ndarray]:
+    kind = (found["d1"], found["d2"], found["h"], found["p"] - found["lo"], found["hi"] - found["lo"])
+    order = np.lexsort(kind)  # stable: the first of equal contexts comes first
+    first = np.ones(len(order), bool)
+    for x in kind:
+        first[1:] &= x[order[1:]] == x[order[:-1]]
+    first[1:] = ~first[1:]
+    group = np.cumsum(first) - 1
+    many = np.bincount(group)
+    twice = np.zeros(len(order), bool)
+    twice[order] = many[group] > 1
+    begin, end = found["lo"][twice], found["hi"][twice] + need  # in the order of the text
+    reach = np.maximum.accumulate(end) if len(end) else end
+    cuts = np.flatnonzero(begin[1:] > reach[:-1])
+    begin, end = (begin[np.append(0, cuts + 1)], reach[np.append(cuts, len(reach) - 1)]) if len(begin) else (begin, end)
+    none = np.zeros(len(begin), np.int64)
+    whole = {k: v[order[first]] for k, v in found.items()} | {"m": many.astype(np.int64)}
+    ranges = {"lo": begin, "hi": end}
+    return {k: np.concatenate((v, ranges.get(k, none))) for k, v in whole.items()}
+
+
 def _bodies(rows: DataFrame, reps: DataFrame, need: int) -> DataFrame:
     """h, cid, off (of the anchor), body of each representative context."""
 
@@ -273,12 +297,13 @@ def _by_digest(bodies: DataFrame, need: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", need: int = NEED, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc, th (hash of the text), begin, end: byte ranges to remove; they may overlap."""
     rows = _rows(docs, id_col, text_col)
-    scanned = stage(_scan(rows, need, gram), "anchors")
+    all_scanned = stage(_scan(rows, need, gram), "anchors")
+    scanned, within = all_scanned.filter("m > 0"), all_scanned.filter("m = 0").select("doc", "th", F.col("lo").alias("begin"), F.col("hi").alias("end"))
     shared = stage(scanned.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "shared")
     met_all = stage(scanned.join(shared.hint("merge"), "h"), "anchors")
     kind = ["h", "off", "len", "d1", "d2"]
-    met = met_all.select("doc", "th", "h", "p", "lo", "hi", (F.col("p") - F.col("lo")).alias("off"), (F.col("hi") - F.col("lo")).alias("len"), "d1", "d2")
-    classes = met.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "p", "lo", "hi")).alias("rep"))
+    met = met_all.select("doc", "th", "h", "p", "lo", "hi", (F.col("p") - F.col("lo")).alias("off"), (F.col("hi") - F.col("lo")).alias("len"), "d1", "d2", "m")
+    classes = met.groupBy(*kind).agg(F.sum("m").alias("n"), F.min(F.struct("doc", "th", "p", "lo", "hi")).alias("rep"))
     classes = stage(classes.select(F.monotonically_increasing_id().alias("cid"), *kind, "n", "rep.*"), "contexts")
     whole = met.join(classes.filter("n > 1").select(*kind).hint("merge"), kind).select("doc", "th", F.col("lo").alias("begin"), (F.col("hi") + need).alias("end"))
     crowd = stage(classes.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1"), "crowds")
@@ -289,8 +314,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = found.unionByName(_by_digest(stage(bodies.join(common.hint("merge"), "h", "left_semi"), "bodies"), need))
     # classes of two or more are covered already
     part = found.join(reps.filter("n = 1").select("cid", "doc", "th", "lo"), "cid").select("doc", "th", (F.col("lo") + F.col("first")).alias("begin"), (F.col("lo") + F.col("last") + need).alias("end"))
-    out = stage(whole.unionByName(part), "ranges")
-    drop_staged(shared, scanned, crowd, met_all, classes, reps, bodies)
+    out = stage(whole.unionByName(part).unionByName(within), "ranges")
+    drop_staged(shared, all_scanned, crowd, met_all, classes, reps, bodies)
     return out
 
 
@@ -303,7 +328,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (remaining bytes).
 
     Strings are judged on the input, within a document too; overlaps count. A null text counts as empty; texts shorter
-    than need stay whole. Repeated rows are repeats of each other. Other columns are not read.
+    than need stay whole. Repeated rows are repeats of each other. Other columns are not read. An empty table gives no rows.
+    A text of any length that fits a row is taken whole; the ranges of one text meet in one row.
     """
     ranges = repeated_ranges(docs, id_col, text_col, need, gram, hot)
     by_doc = ranges.groupBy("doc", "th").agg(F.collect_set(F.struct("begin", "end")).alias("xs"))

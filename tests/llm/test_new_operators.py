@@ -196,3 +196,25 @@ def test_damage(spark):
     for c, t, role, text in rows:
         code = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
         assert got.get((c, t), []) == {0: [], 1: [(role, "")], 2: [(role, "ab")], 3: [(role, text)] * 2, 4: [("user", text)]}.get(code, [(role, text)])
+
+
+def test_long_runs_of_few_characters_are_one_anchor(spark):
+    """A run of one character, or of a few in turn, gives a handful of anchors and one range, whatever its length."""
+    from revlake.llm import suffix_dedup
+
+    n = 5_000_000
+    texts = {1: "x" * n, 2: " " * n, 3: "- " * 50_000, 4: "y" * 400, 5: "y" * 401, 6: "ab " * 200 + "z" * 300, 7: "q" * 399, 8: "x" * 400}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    scanned = suffix_dedup._scan(suffix_dedup._rows(docs, "doc_id", "text"), 400, 200)
+    assert scanned.count() < 2_000
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs).collect()}
+
+    def plain(text):
+        starts = {}
+        for k in range(len(text) - 399):
+            starts.setdefault(text[k : k + 400], []).append(k)
+        gone = {j for at in starts.values() if len(at) > 1 for k in at for j in range(k, k + 400)}
+        return len(gone), sum(j - 1 not in gone for j in gone)
+
+    want = {k: plain(t) for k, t in texts.items() if len(t) < 1000} | {1: (n, 1), 2: (n, 1), 3: (100_000, 1), 4: (400, 1), 8: (400, 1)}
+    assert got == want
