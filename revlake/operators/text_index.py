@@ -9,14 +9,15 @@ trigrams stand one after the other, so matches, their counts and their ranks com
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import warehouse as W
-from .search import LEAST_IDF, B, K1
+from .search import LEAST_IDF, B, K1, trigram_count
 
 BUCKETS, MOST_SEGMENTS = 32, 8
 _POSTINGS = "gram bigint, key string, field int, at array<int>, len bigint, seq bigint, bucket int"
@@ -51,9 +52,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for key, seq, fields in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for key, seq, fields, length in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             points = [np.frombuffer((f or "").encode("utf-32-le"), "<u4").astype(np.int64) for f in fields]
-            length = sum(max(len(p) - 2, 0) for p in points)
             for number, p in enumerate(points):
                 if len(p) >= 3:
                     gram = p[:-2] << 2 * _BITS | p[1:-1] << _BITS | p[2:]
@@ -69,17 +69,17 @@ def refresh(changed: DataFrame, root: str, key: str, fields: list[str], gone: Da
     """Bring the index under root up to date with texts that are new or changed, and without those that are gone (key). A
     key that comes twice must not differ; a null key is none. (writer, number) names a refresh that may come again."""
     spark = changed.sparkSession
-    rows = changed.filter(F.col(key).isNotNull()).dropDuplicates([key]).select(F.col(key).cast("string").alias("key"), F.array(*[F.lower(F.col(f).cast("string")) for f in fields]).alias("fields"))
+    rows = changed.filter(F.col(key).isNotNull()).dropDuplicates([key]).select(F.col(key).cast("string").alias("key"), F.array(*[F.lower(F.col(f).cast("string")) for f in fields]).alias("fields"), reduce(Column.__add__, [trigram_count(F.col(f).cast("string")) for f in fields]).cast("long").alias("_len"))
     touched = rows.select("key") if gone is None else rows.select("key").union(gone.select(F.col(key).cast("string"))).distinct()
     number = W.state(spark, root).version if number is None else number
     in_bucket = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
 
     def job(at: W.State) -> W.Change:
         seq = at.version + 1
-        made = rows.select("key", F.lit(seq).cast("long").alias("seq"), "fields").mapInArrow(_rows, _POSTINGS)
+        made = rows.select("key", F.lit(seq).cast("long").alias("seq"), "fields", "_len").mapInArrow(_rows, _POSTINGS)
         postings = W.write(made, root, "postings", "bucket", ["gram", "key"])
         known = W.read(spark, root, at, "docs", _DOCS).groupBy("key").agg(F.max_by("len", "seq").alias("len"))
-        lengths = rows.select("key", F.aggregate("fields", F.lit(0).cast("long"), lambda a, f: a + F.greatest(F.char_length(F.coalesce(f, F.lit(""))) - 2, F.lit(0))).alias("_len"))
+        lengths = rows.select("key", "_len")
         change = touched.join(known, "key", "left").join(lengths, "key", "left")
         docs = W.write(in_bucket(change.select("key", F.col("_len").alias("len"), F.lit(seq).cast("long").alias("seq"))), root, "docs", "bucket")
         dead = W.write(change.filter("len IS NOT NULL").select("key", F.lit(seq).cast("long").alias("before"), F.lit("all").alias("part")), root, "dead", "part")
@@ -119,7 +119,7 @@ def matches(spark: SparkSession, root: str, query: str) -> DataFrame:
     """key, tf, len of the texts that hold the literal within a field, of three characters or more; overlaps count."""
     grams = grams_of(query.lower())
     at = W.state(spark, root)
-    if not grams:
+    if len(query) < 3:
         return spark.createDataFrame([], "key string, tf bigint, len bigint")
     places = {g: [k for k, x in enumerate(grams) if x == g] for g in grams}
     lists = W.read(spark, root, at, "postings", _POSTINGS, sorted({str(_bucket_of(g)) for g in places})).filter(F.col("gram").isin(list(places)))
