@@ -236,8 +236,10 @@ UNION ALL SELECT 'fact_review_comments', count(*) + count(*) FILTER (l_returnfla
 UNION ALL SELECT 'fact_issue_comments', count(*) FROM l WHERE l_linestatus <> 'O' UNION ALL SELECT 'fact_check_runs', count(*) FROM l WHERE o_orderkey % 11 <> 0""")
 def ingest_pages(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each table that the landed pages fill."""
+    items = pages.read_pr_pages(spark, _landed(request_pages(spark, d), "pages"))
+    items.write.parquet(at := t.shared_place(spark, "items"))  # pages are parsed once, and each table reads its own columns
     out = None
-    for name, df in sorted(pages.request_tables(_requests(spark, d)[0], "UTC").items()):
+    for name, df in sorted(pages.request_tables(pages.split_rejects(spark.read.schema(items.schema).parquet(at))[0], "UTC").items()):
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
         out = one if out is None else out.unionByName(one)
     return out

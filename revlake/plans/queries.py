@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import deltas, identity, periods, timekeys
-from ..operators import boards, coverage, listing, merge, metrics, quality, search, text_index
+from ..operators import boards, coverage, daily, listing, merge, metrics, quality, search, text_index
+from ..sources import sinks
 from . import sqlsurface
 from . import tables as t
 
@@ -231,6 +233,55 @@ def scorecard_repo_group(spark, d):
     return _rounded(metrics.scorecard_scopes(t.scoped_requests(spark, d).join(owners, "repo"), metrics.activity(t.reviews(spark, d), t.comments(spark, d)), FULL, "owner"))
 
 
+# --- scorecards from stored forms of the facts
+
+
+def _bucketed(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Requests and activity as tables in buckets of the request."""
+    name = lambda kind: f"{kind}_{uuid.uuid4().hex}"
+    put = lambda kind, df: sinks.write_bucketed(df, name(kind), t.shared_place(spark, kind), "pr_key", 16)
+    return put("requests", t.requests(spark, d)), put("activity", t.activity(spark, d))
+
+
+@query(SQL["scorecard_author"])
+def scorecard_author_bucketed(spark, d):
+    """From facts in buckets of their request: the join of activity with requests needs no exchange."""
+    return _rounded(metrics.scorecard_authors(*_bucketed(spark, d), FULL))
+
+
+def _daily(spark, d, days, name: str) -> str:
+    """Daily sums after two loads: a part of the requests with what stands in them, then the rest, which changes months that
+    are there already."""
+    root = t.shared_place(spark, "daily")
+    prs, acts = t.scoped_requests(spark, d), t.activity(spark, d)
+    first = F.col("pr_key") % 3 != 0
+    some = days(prs.filter(first), acts.filter(first))
+    daily.refresh(some, daily.months_of(some), root, name, "load", 0)
+    changed = daily.months_of(days(prs.filter(~first), acts.filter(~first)))
+    for _ in range(2):  # the load that comes again changes nothing
+        daily.refresh(days(prs, acts), changed, root, name, "load", 1)
+    return root
+
+
+@query(SQL["scorecard_author"])
+def daily_scorecard_author(spark, d):
+    sums = daily.read(spark, _daily(spark, d, daily.author_days, "authors"), "authors", FULL)
+    return _rounded(daily.scorecard(sums, FULL, "author").withColumn("author", F.col("author").cast("long")))
+
+
+@query(_card_sql(f"{t.PR}, {t.RV}, {_MET}", [("opened", "pr", "repo", "created", "1"), ("merged", "pr WHERE state = 'MERGED'", "repo", "created", "1"), ("reviews", "met", "repo", "submitted", "1"), ("comments", "met", "repo", "submitted", "1")], "repo"))
+def daily_scorecard_repo(spark, d):
+    sums = daily.read(spark, _daily(spark, d, daily.scope_days, "repos"), "repos", FULL)
+    return _rounded(daily.scorecard(sums, FULL, "repo").withColumn("repo", F.col("repo").cast("long")))
+
+
+@query(f"WITH {t.PR}, c AS (SELECT author AS entity, count(*) FILTER (created {CUR}) AS current, count(*) FILTER (created {PREV}) AS previous FROM pr WHERE created {EITHER} GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY current DESC, CAST(entity AS VARCHAR)) AS rc, row_number() OVER (ORDER BY previous DESC, CAST(entity AS VARCHAR)) AS rp FROM c) SELECT CAST(entity AS VARCHAR) AS entity, current, previous, current - previous AS delta, CAST(rc AS INTEGER) AS rank_current, CASE WHEN previous > 0 THEN CAST(rp AS VARCHAR) END AS rank_previous FROM r WHERE current > 0 ORDER BY rc LIMIT 10")
+def daily_board(spark, d):
+    """A board from daily sums; ties by the entity's name."""
+    sums = daily.read(spark, _daily(spark, d, daily.author_days, "authors"), "authors", FULL)
+    return _shown(boards.top_board(daily.board_counts(sums, "opened", FULL), 10))
+
+
 # --- boards
 
 

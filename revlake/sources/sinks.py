@@ -20,3 +20,11 @@ def write_table(df: DataFrame, path: str, created: str | None = None) -> None:
         df.write.mode("overwrite").parquet(path)
     else:
         df.withColumn("created_month", F.date_format(created, "yyyy-MM")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("created_month").parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int = 64) -> DataFrame:
+    """Parquet in buckets of a key, sorted by it, under a table's name: tables with one key and number of buckets are joined
+    without an exchange. The files lie under path; the name is dropped by DROP TABLE, the files are not."""
+    dealt = df.repartition(buckets, key)  # a task for each bucket writes its one file
+    dealt.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
