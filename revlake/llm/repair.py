@@ -4,7 +4,7 @@ doubled path prefixes. Conversations lie in pieces, so that one of any size is s
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -60,9 +60,9 @@ def _across(codes: bytes) -> list[int]:
     return d.ravel().tolist()
 
 
-def _least_paths(pieces: list[tuple[bytes, list[int]]]) -> list[tuple[list[int], list[str]]]:
-    """Of pieces (codes, least costs after the piece by state) and each state at their beginning, the state at their end and
-    the audit of the ASCII-least of the cheapest ways.
+def _least_paths(pieces: list[tuple[bytes, list[int]]], states: list[Iterable[int]]) -> list[tuple[list[int], list[str]]]:
+    """Of pieces (codes, least costs after the piece by state) and each of some states at their beginning, the state at their
+    end and the audit of the ASCII-least of the cheapest ways.
 
     Nodes are (place, state). Arcs of the cheapest ways carry the initials D, I, K, R in ASCII order. rank orders nodes by
     the least audits of 1, 2, 4, ... initials that lead on from them, and jump[k] leads 2 ** k arcs on: a node's rank at
@@ -109,20 +109,33 @@ def _least_paths(pieces: list[tuple[bytes, list[int]]]) -> list[tuple[list[int],
         jumps.append(jumps[-1][jumps[-1]])
         length *= 2
     letters, out = np.array(["", "D", "I", "K", "R"]), []
-    for b, end in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-        exits, audits = [], []
-        for q in range(4):
+    for b, end, own in zip(begins[:-1].tolist(), begins[1:].tolist(), states, strict=True):
+        exits, audits = [0] * 4, [""] * 4
+        for q in own:
             path = np.array([b + q])
             for j in jumps:
                 if initial[path[-1]] == 0:
                     break
                 path = np.concatenate((path, j[path]))
-            audits.append("".join(letters[initial[path]]))
-            exits.append(int(path[-1]) - (end - 4) if path[-1] >= end - 4 else q)
+            audits[q] = "".join(letters[initial[path]])
+            exits[q] = int(path[-1]) - (end - 4) if path[-1] >= end - 4 else q
         out.append((exits, audits))
     return out
 
 
+def _emit(rows: Iterable[dict], schema: pa.Schema, most: int = 256) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of so many, or of about PIECE_CHARS characters."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(map(len, r.get("texts", ())))
+        if len(held) >= most or size >= PIECE_CHARS:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows one at a time: a batch may hold long texts."""
     return (r for b in batches for k in range(0, b.num_rows, 64) for r in b.slice(k, 64).to_pylist())
@@ -148,7 +161,7 @@ def _pieces(turns: DataFrame) -> DataFrame:
         illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(heads, heads[1:], strict=False))
         return {"conv": conv, "piece": piece, "codes": bytes(codes), "turns": turns, "roles": [r["role"] for r in rows], "texts": [r["text"] for r in rows], **n, "illegal": illegal, "first": heads[0], "last": heads[-1], "low": min(known, default=None), "high": max(known, default=None), "from": turns[0], "to": turns[-1], "n_turns": len(set(known)), "across": _across(bytes(codes))}
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         piece = TaskContext.get().partitionId() << 32
         for conv, rows in groupby(_batches(batches), key=lambda r: r["conv"]):
             got, size, first = [], 0, None
@@ -159,12 +172,15 @@ def _pieces(turns: DataFrame) -> DataFrame:
                 got.append(r | {"is_first": r["id"] == first})
                 size += len(r["text"])
                 if len(got) >= PIECE_TURNS or size >= PIECE_CHARS:
-                    yield pa.RecordBatch.from_pylist([close(conv, piece, got)], arrow[0])
+                    yield close(conv, piece, got)
                     piece, got, size = piece + 1, [], 0
             if got:
-                yield pa.RecordBatch.from_pylist([close(conv, piece, got)], arrow[0])
+                yield close(conv, piece, got)
                 piece += 1
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _emit(pieces(batches), arrow[0])
+
     arrow.append(_arrow(turns, schema))
     order = ["conv", "turn", "role", "h", "id"]
     least = F.min(F.struct(F.col("turn").isNotNull().alias("has"), "turn", "id")).alias("least")
@@ -183,18 +199,21 @@ def _arrow(like: DataFrame, schema: str) -> pa.Schema:
 
 
 def _costs(pieces: DataFrame) -> DataFrame:
-    """From the last piece of a conversation to the first: after, the least costs behind each piece by state; and a row
+    """From the last piece of a conversation to the first: after, the least costs behind each piece by state (head: it is
+    the first, which begins in one state only); and a row
     without piece with the conversation's numbers. A piece's row is small and of fixed size."""
     conv = pieces.schema["conv"].dataType.simpleString()
     numbers = ("blank", "duplicate", "truncated", "illegal")
-    schema = f"conv {conv}, piece long, after array<long>, gaps long, blank long, duplicate long, truncated long, illegal long, cost long"
+    schema = f"conv {conv}, piece long, after array<long>, head boolean, gaps long, blank long, duplicate long, truncated long, illegal long, cost long"
     arrow = _arrow(pieces, schema)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for conv, rows in groupby(_batches(batches), key=lambda r: r["conv"]):
-            after, n, later, out, lows, highs, turns = np.array(ENDING), dict.fromkeys(numbers, 0), None, [], None, None, 0
+            after, n, later, held, lows, highs, turns = np.array(ENDING), dict.fromkeys(numbers, 0), None, None, None, None, 0
             for r in rows:
-                out.append({"conv": conv, "piece": r["piece"], "after": after.tolist()})
+                if held:
+                    yield held
+                held = {"conv": conv, "piece": r["piece"], "after": after.tolist()}
                 after = np.minimum((np.array(r["across"]).reshape(4, 4) + after).min(1), FAR)
                 for k in numbers:
                     n[k] += r[k]
@@ -205,11 +224,11 @@ def _costs(pieces: DataFrame) -> DataFrame:
                 if r["low"] is not None:
                     lows, highs = r["low"] if lows is None else min(lows, r["low"]), r["high"] if highs is None else max(highs, r["high"])
                 later = r
-                if len(out) >= 1024:
-                    yield pa.RecordBatch.from_pylist(out, arrow)
-                    out = []
-            gaps = 0 if lows is None else highs - lows + 1 - turns
-            yield pa.RecordBatch.from_pylist([*out, {"conv": conv, "gaps": gaps, **n, "cost": int(after[START])}], arrow)
+            yield held | {"head": True}
+            yield {"conv": conv, "gaps": 0 if lows is None else highs - lows + 1 - turns, **n, "cost": int(after[START])}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _emit(each(batches), arrow, 1024)
 
     light = pieces.drop("codes", "turns", "roles", "texts")
     return light.repartition("conv").sortWithinPartitions("conv", F.desc("piece")).mapInArrow(fold, schema)
@@ -225,23 +244,23 @@ def _audits(pieces: DataFrame, costs: DataFrame) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 rows = b.slice(k, 256).to_pylist()
-                made = _least_paths([(r["codes"], r["after"]) for r in rows])
+                made = _least_paths([(r["codes"], r["after"]) for r in rows], [[START] if r["head"] else range(4) for r in rows])
                 yield pa.RecordBatch.from_pylist([{"conv": r["conv"], "piece": r["piece"], "exits": e, "audits": a} for r, (e, a) in zip(rows, made, strict=True)], ways_arrow)
 
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for _, rows in groupby(_batches(batches), key=lambda r: r["conv"]):
-            state, held, out = START, None, []
+            state, held = START, None
             for r in rows:
                 if held:
-                    out.append(held)
+                    yield held
                 held = {"conv": r["conv"], "piece": r["piece"], "state": state, "audit": r["audits"][state]}
                 state = r["exits"][state]
-                if len(out) >= 256:
-                    yield pa.RecordBatch.from_pylist(out, arrow)
-                    out = []
-            yield pa.RecordBatch.from_pylist([*out, held | {"audit": held["audit"] + ENDS[state]}], arrow)
+            yield held | {"audit": held["audit"] + ENDS[state]}
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _emit(states(batches), arrow)
 
-    met = pieces.select("conv", "piece", "codes").join(costs.filter("piece is not null").select("piece", "after"), "piece")
+    met = pieces.select("conv", "piece", "codes").join(costs.filter("piece is not null").select("piece", "after", "head"), "piece")
     return met.mapInArrow(rank, ways).repartition("conv").sortWithinPartitions("conv", "piece").mapInArrow(follow, schema)
 
 
@@ -310,7 +329,7 @@ def repair_report(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     schema = f"conv {conv}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
     arrow, numbers = _arrow(pieces, schema), ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for conv, rows in groupby(_batches(batches), key=lambda r: r["conv"]):
             row, audit, way, sha, first = {"conv": conv}, [], None, hashlib.sha256(), True
             for r in rows:
@@ -323,9 +342,12 @@ def repair_report(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
                     for _, _, role, text in _edited(way["audit"], way["state"], r["turns"], r["roles"], r["texts"]):
                         sha.update(f"{'' if first else chr(10)}{role}:{text}".encode())
                         first = False
-            yield pa.RecordBatch.from_pylist([row | {"audit": "".join(audit), "repaired_sha256": sha.hexdigest()}], arrow)
+            yield row | {"audit": "".join(audit), "repaired_sha256": sha.hexdigest()}
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _emit(digests(batches), arrow)
 
-    every = costs.filter("piece is null").drop("after").unionByName(audits, allowMissingColumns=True).unionByName(pieces.select("conv", "piece", "turns", "roles", "texts"), allowMissingColumns=True)
+    every = costs.filter("piece is null").drop("after", "head").unionByName(audits, allowMissingColumns=True).unionByName(pieces.select("conv", "piece", "turns", "roles", "texts"), allowMissingColumns=True)
     kind = F.when(F.col("cost").isNotNull(), 0).when(F.col("audit").isNotNull(), 1).otherwise(2)
     ordered = every.repartition("conv").sortWithinPartitions("conv", F.asc_nulls_first("piece"), kind)
     return ordered.mapInArrow(digest, schema).withColumnRenamed("conv", conv_col)
