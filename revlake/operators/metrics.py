@@ -41,6 +41,7 @@ def failure_ratio(runs: DataFrame, prs: DataFrame, by: list[str], windows: Windo
 
 #: What an activity row can be.
 REVIEW, COMMENT = "review", "comment"
+RUN, FAILED = "run", "failed run"
 
 
 def activity(reviews: DataFrame, comments: DataFrame) -> DataFrame:
@@ -77,14 +78,27 @@ def scorecard_authors(prs: DataFrame, acts: DataFrame, windows: Windows) -> Data
 
 def scorecard_scopes(prs: DataFrame, acts: DataFrame, windows: Windows, scope: str = "repo", runs: DataFrame | None = None) -> DataFrame:
     """scope, measure, ...: opened, merged, reviews, comments; own reviews included. With check runs also failure_rate, of
-    the current window alone."""
+    the current window alone: runs are two more kinds of activity, so that all meet the requests in one join."""
     own = split_sums(prs, [scope], "created", _own(), windows)
-    met = acts.filter(windows.either(F.col("day"))).join(prs.select("pr_key", scope), "pr_key")
-    met = split_sums(met, [scope], "day", _of_kind({"reviews": REVIEW, "comments": COMMENT}), windows)
-    card = long_form(own, [scope], ["opened", "merged"]).unionByName(long_form(met, [scope], ["reviews", "comments"]))
+    rows = acts.filter(windows.either(F.col("day"))).select("pr_key", "day", "kind")
     if runs is not None:
-        card = card.unionByName(_current_only(failure_ratio(runs, prs, [scope], windows), scope, "failure_rate", "ratio"))
-    return with_deltas(card)
+        kind = F.when(F.col("conclusion").isin("FAILURE", "TIMED_OUT"), FAILED).otherwise(RUN).alias("kind")
+        rows = rows.unionByName(runs.select("pr_key", F.lit(None).cast("date").alias("day"), kind))
+    met = rows.join(prs.select("pr_key", scope, "created"), "pr_key")
+    count = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
+    sums = [count((F.col("kind") == kind) & test(F.col("day"))).alias(f"{m}_{when}") for m, kind in (("reviews", REVIEW), ("comments", COMMENT)) for when, test in (("current", windows.current), ("previous", windows.previous))]
+    now = windows.current(F.col("created"))
+    ran = [count(F.col("kind").isin(*kinds) & now).alias(name) for name, kinds in (("_failed", [FAILED]), ("_ran", [RUN, FAILED]))]
+    wide = met.groupBy(scope).agg(*sums, *ran)
+    card = long_form(own, [scope], ["opened", "merged"])
+    if runs is None:
+        return with_deltas(card.unionByName(long_form(wide, [scope], ["reviews", "comments"])))
+    part = lambda m, now, was: F.struct(F.lit(m).alias("measure"), now.cast("double").alias("current"), was.cast("double").alias("previous"))
+    parts = [part(m, F.col(f"{m}_current"), F.col(f"{m}_previous")) for m in ("reviews", "comments")]
+    parts.append(part("failure_rate", F.col("_failed") / F.nullif(F.col("_ran"), F.lit(0)), F.lit(None)))
+    long = wide.select(scope, F.explode(F.array(*parts)).alias("m")).select(scope, "m.*")
+    kept = F.when(F.col("measure") == "failure_rate", F.col("current").isNotNull()).otherwise((F.col("current") != 0) | (F.col("previous") != 0))
+    return with_deltas(card.unionByName(long.filter(kept)))
 
 
 def _current_only(df: DataFrame, by: str, measure: str, value: str) -> DataFrame:
