@@ -97,7 +97,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Weights are multiplicities: similarity = sum of the shingles' smaller counts / sum of their larger counts, and
     percent / 100 of it or more is a leak. Null or empty texts hold and are nothing; items with fewer words than width
-    are one shingle, and so are the windows of their size; repeated rows count once; other columns are not read; empty tables give no rows.
+    are one shingle, and so are the windows of their size; repeated rows count once; other columns
+    are not read; empty tables give no rows. A text's words must fit a row; ids that are no longs are cast.
     """
     b = benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.lit(_NULL_ID)).alias("item"), _word_hashes(text_of(item_text_col)).alias("w")).distinct().filter("size(w) > 0")
     placed = stage(b.select("item", F.size("w").alias("size"), F.explode(_shingles(F.col("w"), width)).alias("h")), "items")

@@ -29,7 +29,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when they agree after deleting [\\x20\\x09-\\x0D]; a null text counts as empty, and empty texts are
     equal to each other. The row with the most code points stays, then the smallest id (null first), then any one of
-    rows that repeat wholly. Repeated rows count one by one. Other columns are ignored; an empty table gives no rows.
+    rows that repeat wholly. Repeated rows count one by one. Other columns are ignored; an empty table gives no
+    rows. Texts of any length are compared whole.
     """
     text = text_of(text_col)
     body = F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")

@@ -109,7 +109,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line's key is the line stripped of [\\x20\\x09-\\x0D] at both ends with A-Z lower-cased. Keys of min_chars code
     points or more that stand in two documents or more stay in the document with the smallest id only (null: smallest),
     with all their lines there. Rows with one id are one document. A null text stays null; an empty one stays empty.
-    Documents are taken in id order, in so many batches.
+    Documents are taken in id order, in so many batches. Other columns pass through under any name; an empty table gives no
+    rows. A text is taken whole and must fit a row, as must the lines of one document; ids that are no longs are cast.
     """
     kept = _kept(docs, id_col, text_col, min_chars, batches, fanout)
     text = F.when(F.col(f"row.{text_col}").isNotNull(), F.col("kept")).alias(text_col)
@@ -117,6 +118,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """One row per input row: id, n_lines (before), n_dropped, kept_sha256. A null or empty text has one empty line."""
+    """One row per input row: id, n_lines (before), n_dropped, kept_sha256. A null or empty text has one empty line. Other
+    columns are not read, whatever their names; ids, long texts and empty tables as in dedup_lines."""
     kept = _kept(docs, id_col, text_col, min_chars, batches, fanout)
     return kept.select(F.col(f"row.{id_col}"), F.col("n").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -287,7 +287,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its words as one if they are fewer. Rows link when 100 * intersection >= percent * union of their sets; a component
     is named by its smallest id. A null or empty text has no shingles, links with nothing and stays. kept: the id is the
     component's. Rows with null ids link others like any row, have null components and stay. Repeated rows are all kept
-    or all dropped with their id. Other columns are not read; an empty table gives no rows.
+    or all dropped with their id. Other columns are not read; an empty table gives no rows. Texts of any length are
+    shingled whole; ids that are no longs are cast.
     """
     signed = stage(sign(docs, id_col, text_col, width), "signed")
     classes = signed.filter("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("first"), F.min(F.struct("key", "th")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
@@ -315,7 +316,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The input's rows whose id names its component; of repeated rows with that id all stay. Nulls as in near_groups."""
+    """The input's rows whose id names its component; of repeated rows with that id all stay. Nulls and empty
+    tables as in near_groups; other columns pass through under any name."""
     gone = near_groups(docs, id_col, text_col, width, percent).filter("not kept").select(F.col(id_col).cast("long").alias("id")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
     return rows.join(gone, "id", "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])

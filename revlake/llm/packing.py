@@ -135,7 +135,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
 
     A document's ids end with end_id; a null or empty text is the end id alone. Longer documents than the capacity are
     cut into full pieces after a first, shorter one. Repeated rows are packed each; rows without id keep a null id.
-    Other columns are ignored; an empty table gives no rows. The plan's size is bounded by the capacity.
+    Other columns are ignored; an empty table gives no rows. Long texts are encoded
+    whole, one at a time where needed; ids that are no longs are cast. The plan's size is bounded by the capacity.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

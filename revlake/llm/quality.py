@@ -151,7 +151,8 @@ def grade_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", t
 
     Grades are integers from 0 to n_grades - 1; others and nulls are not learned from. Only rows whose fold (crc32 of
     the id's text, mod 4) is not 2 are, at most fit_rows, chosen by a hash of the id. A null text counts as empty.
-    Without ratings all texts get the same grade in the middle. Repeated rows repeat; other columns are not read.
+    Without ratings all texts get the same grade in the middle. Repeated rows repeat; other columns are not read. An empty table gives no rows. Texts of any
+    length are read whole, a few megabytes of them at a time; ids that are no longs are cast.
     """
     known = ratings.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").between(0, n_grades - 1)).filter(fold("id") != 2)
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)

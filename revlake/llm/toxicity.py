@@ -86,7 +86,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Labels are learned only from rows whose fold is not 2, at most fit_rows of them, chosen by a hash of the id. A null
     text counts as empty; empty texts get the score of zeros in all features. Without labels of both kinds every score
     is the labelled rows' mean (0 if there are none). Null labels or ids are not learned from; other columns of the
-    inputs are never read. Repeated labels of an id count by their largest. Repeated rows repeat.
+    inputs are never read. Repeated labels of an id count by their largest. Repeated rows repeat. An empty
+    table gives no rows; texts of any length are read whole; ids that are no longs are cast.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL").filter(fold("id") != 2)
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
