@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -21,6 +21,8 @@ from .common import text_of, text_slices
 END_ID = 0
 #: A shard closes at this many ids or documents; one longer document makes one longer shard.
 SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 16
+#: Bytes of a row group of shards.
+ROW_GROUP = 16 << 20
 
 
 class WordTokenizer:
@@ -33,8 +35,9 @@ class WordTokenizer:
     memory is bounded by MOST_WORDS entries.
     """
 
-    MOST_WORDS = 200_000
+    MOST_WORDS = 300_000
     BULK = 4_000
+    WHOLE = 1 << 19
     #: White space but the blank and the line feed. Cut texts must hold neither these nor these runs.
     SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
     RUNS = ("  ", " \n", "\n ", "\n\n\n")
@@ -50,8 +53,7 @@ class WordTokenizer:
         self.tok = Tokenizer.from_file(path)
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.odd = "|".join([*map(re.escape, (*self.RUNS, *special)), f"[{''.join(self.SPACES)}{self.FIRST}]", "^ ", " $", "\\n\\n$"])
-        self.stems: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.stems = self.tails = (pa.array([], pa.string()), pa.array([], pa.large_binary()))
         vocab = self.tok.get_vocab()
         self.starts = np.zeros(max(vocab.values(), default=0) + 1, bool)
         for token, k in vocab.items():
@@ -60,31 +62,35 @@ class WordTokenizer:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> Iterator[bytes]:
-        """Words are encoded in one run, cut again where a token begins with a blank or line feed."""
-        for k in range(0, len(new), self.BULK):
-            part = new[k : k + self.BULK]
-            own = [w[1:] if w[:1] == self.FIRST else w if w[:1] == "\n" else " " + w for w in part]
-            at = []
-            if all(w[:1] == " " for w in own) and "\n" not in part:
-                ids = np.array(self.tok.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, "<u4")
-                at = np.flatnonzero(self.starts[ids])
-            if len(at) == len(part):
-                raw, ends = ids.tobytes(), (np.append(at, len(ids)) * 4).tolist()
-                yield from [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-            else:
-                yield from self.whole(own)
-
-    def _of(self, words: pa.Array, known: dict[str, bytes], learn: Callable[[list[str]], Iterable[bytes]], most: int) -> tuple[pa.Array, dict[str, bytes]]:
-        """The ids of words, through what is known, and what is known then."""
+    def _bulk(self, words: pa.Array) -> pa.Array:
+        """Words are encoded in one run, each after a blank, cut again where a token begins with a blank or line feed."""
+        own = [" " + w for w in words.to_pylist()]
+        ids = np.array(self.tok.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.starts[ids])
+        if len(at) != len(own):
+            return pa.array(self.whole(own), pa.large_binary())
+        return pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(np.append(at, len(ids)) * 4), pa.py_buffer(ids)])
+
+    def _learn(self, new: pa.Array) -> pa.Array:
+        lead = pc.match_substring_regex(new, f"^[\n{self.FIRST}]").to_numpy(zero_copy_only=False)
+        plain, rest = new.filter(pa.array(~lead)), new.filter(pa.array(lead))
+        runs = [self._bulk(plain.slice(k, self.BULK)) for k in range(0, len(plain), self.BULK)]
+        runs.append(pa.array(self.whole([w.removeprefix(self.FIRST) for w in rest.to_pylist()]), pa.large_binary()))
+        return pa.concat_arrays(runs).take(pa.array(np.argsort(np.argsort(lead, kind="stable"))))
+
+    @staticmethod
+    def _of(words: pa.Array, known: tuple[pa.Array, pa.Array], learn: Callable[[pa.Array], pa.Array], most: int) -> tuple[pa.Array, tuple[pa.Array, pa.Array]]:
+        """The ids of words, through the words and ids that are known, and what is known then."""
         coded = pc.dictionary_encode(words)
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(known) > most:  # words met early are mostly the frequent ones
-            known = dict(islice(known.items(), most * 3 // 4))
-        if new := [w for w in names if w not in known]:
-            new.sort(key=lambda w: w[:1] in "\n\x00")
-            known.update(zip(new, learn(new), strict=True))
-        return pa.array(map(known.__getitem__, names), pa.large_binary()).take(coded.indices), known
+        if len(known[0]) > most:  # words met early are mostly the frequent ones
+            known = tuple(x.slice(0, most * 3 // 4) for x in known)
+        found = pc.index_in(coded.dictionary, value_set=known[0])
+        at, new = found.to_numpy(zero_copy_only=False), found.is_null().to_numpy(zero_copy_only=False)
+        if new.any():
+            at = np.where(new, len(known[0]) + np.cumsum(new) - 1, at)
+            names = coded.dictionary.filter(pa.array(new))
+            known = pa.concat_arrays([known[0], names]), pa.concat_arrays([known[1], learn(names)])
+        return known[1].take(pa.array(at[coded.indices.to_numpy()].astype(np.int64))), known
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         texts = pa.array(texts, pa.string())
@@ -92,9 +98,12 @@ class WordTokenizer:
         cut = pc.split_pattern(pc.binary_join_element_wise(self.FIRST, pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n"), ""), " ")
         coded = pc.dictionary_encode(cut.flatten())
         words = coded.dictionary
-        marked = pc.extract_regex(words, self.MARKED)
-        stems, self.stems = self._of(pc.coalesce(pc.struct_field(marked, "stem"), words), self.stems, self._learn, self.MOST_WORDS)
-        tails, self.tails = self._of(pc.coalesce(pc.struct_field(marked, "tail"), ""), self.tails, self.whole, self.MOST_WORDS // 4)
+        has = pc.match_substring_regex(words, self.MARKED)
+        marked = pc.extract_regex(words.filter(has), self.MARKED)
+        cut_off = pc.replace_with_mask(words, has, pc.struct_field(marked, "stem"))
+        stems, self.stems = self._of(cut_off, self.stems, self._learn, self.MOST_WORDS)
+        marks = lambda new: pa.array(self.whole(new.to_pylist()), pa.large_binary())
+        tails, self.tails = self._of(pc.replace_with_mask(pa.repeat("", len(words)), has, pc.struct_field(marked, "tail")), self.tails, marks, self.MOST_WORDS // 4)
         ids = pc.binary_join_element_wise(stems, tails, pa.scalar(b"", pa.large_binary())).take(coded.indices)
         # the ids of consecutive words lie next to each other
         run = iter(())
@@ -102,7 +111,8 @@ class WordTokenizer:
             ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset + cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
             raw = memoryview(ids.buffers()[2] or b"")
             run = iter([bytes(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False)])
-        rest = iter(self.whole(texts.filter(odd).to_pylist()))
+        # the library keeps over a hundred bytes for each token of a batch, so odd texts go in small batches
+        rest = (x for part in text_slices(texts.filter(odd), self.WHOLE) for x in self.whole(part.to_pylist()))
         return [next(rest if x else run) for x in odd.to_pylist()]
 
 
@@ -135,6 +145,18 @@ class EliasFano:
         bits[ones] = 1
         return cls(n, l, low, np.packbits(bits, bitorder="little").tobytes(), ones[:: cls.STEP].astype("<u4").tobytes())
 
+    def selects(self, begin: int, end: int) -> np.ndarray:
+        """v[begin:end], from the sample before begin on to the one behind end."""
+        k = begin // self.STEP
+        at, to = (np.frombuffer(self.sample, "<u4")[j : j + 1] for j in (k, -(-end // self.STEP)))
+        if begin >= end:
+            return np.zeros(0, np.int64)
+        first = int(at[0]) // 8
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8)[first : int(to[0]) // 8 + 1 if len(to) else None], bitorder="little")
+        bits[: int(at[0]) % 8] = 0
+        ones = np.flatnonzero(bits)[begin - k * self.STEP : end - k * self.STEP] + first * 8
+        return (ones - np.arange(begin, end) << self.l) + self._lows(begin, end)
+
     def _lows(self, begin: int, end: int) -> np.ndarray:
         at = begin * self.l
         raw = np.frombuffer(self.low, np.uint8)[at // 8 : (end * self.l + 7) // 8]
@@ -200,7 +222,8 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")  # rows of one id are dealt too
-    rows.mapInArrow(encode, _SHARD).write.parquet(out)
+    # row groups of a few shards, so that neither a writer nor a reader holds a file's ids at once
+    rows.mapInArrow(encode, _SHARD).write.option("parquet.block.size", ROW_GROUP).parquet(out)
 
 
 #: Ids of a shard lie no farther apart, so that their differences are longs.
@@ -228,11 +251,12 @@ def read_boundaries(spark: SparkSession, path: str, id_col: str = "doc_id") -> D
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            blobs = batch.column("ids")
+            for k, row in enumerate(batch.drop_columns("ids").to_pylist()):
                 ends, names = (EliasFano(**row[c]) for c in ("ends", "doc_ids"))
-                ids, n = memoryview(row["ids"]), row["n_docs"]
-                at = [0, *map(ends.select, range(n))]
-                own = [None] * row["n_null"] + [row["first_id"] + names.select(k) for k in range(names.n)]
+                ids, n = memoryview(blobs[k].as_buffer()), row["n_docs"]
+                at = [0, *ends.selects(0, n).tolist()]
+                own = [None] * row["n_null"] + [row["first_id"] + x for x in names.selects(0, names.n).tolist()]
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(at, at[1:], strict=False)]
                 yield pa.record_batch({"part": pa.array([row["part"]] * n, pa.int32()), "seq": pa.array([row["seq"]] * n, pa.int32()), "id": pa.array(own, pa.int64()), "at": pa.array(at[:-1], pa.int64()), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())})
 
