@@ -21,6 +21,8 @@ from .common import text_of, text_slices
 END_ID = 0
 #: A shard closes at this many ids or documents; one longer document makes one longer shard.
 SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 16
+#: Code points of a text that deal rows of one id over tasks; rows with one id and one head lie in one task.
+HEAD = 64
 #: Bytes of a row group of shards.
 ROW_GROUP = 16 << 20
 
@@ -190,7 +192,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
     Format: a Parquet folder; one row is a shard: part and seq (its place), n_docs, n_ids, ids (one run of little-endian
     uint32, each document closed by end_id), and two Elias-Fano codes: ends, where the documents end in ids, and doc_ids,
     their ids less first_id; the first n_null documents have no id. A null text is empty and has the end id alone; null
-    ids come first; rows with equal ids follow each other by a hash of the text. An empty table gives no shards. A text's ids must fit a
+    ids come first; rows with equal ids follow each other by text. An empty table gives no shards. A text's ids must fit a
     shard's binary: 2 GB, about 500 million tokens. Ids that are no longs are cast.
     """
 
@@ -220,8 +222,9 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
         if names:
             yield close(part, seq, names, runs, ends)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")  # rows of one id are dealt too
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    # rows of one id are dealt too; heads order as texts do, and only heads are sampled for the bounds of ranges
+    rows = rows.repartitionByRange("id", F.substring("text", 1, HEAD)).sortWithinPartitions("id", "text")
     # row groups of a few shards, so that neither a writer nor a reader holds a file's ids at once
     rows.mapInArrow(encode, _SHARD).write.option("parquet.block.size", ROW_GROUP).parquet(out)
 

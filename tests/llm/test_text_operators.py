@@ -59,6 +59,10 @@ def test_word_tokenizer_equals_whole_texts():
     parts = ["\n", "%", "!?", "b'", "中", "ß", " ", "  ", "\t", "a", "Bc", "'s", "1", "é", ".", "\x1c", "<|endoftext|>", " ", " x"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
     assert tok.encode(texts) == tok.whole(texts)
+    # words are forgotten and learned again, and odd texts go in small batches
+    tok.MOST_WORDS, tok.WHOLE, want = 50, 100, tok.whole(texts)
+    assert [x for k in range(0, len(texts), 300) for x in tok.encode(texts[k : k + 300])] == want
+    assert tok.encode([]) == []
 
 
 def test_elias_fano():
@@ -67,6 +71,9 @@ def test_elias_fano():
         v = np.sort(rng.integers(0, u, n))
         e = tokens.EliasFano.encode(v)
         assert (e.decode() == v).all() and [e.select(i) for i in range(n)] == v.tolist()
+        for begin, end in ((0, n), (0, 0), (n, n), (n // 3, n // 2), (max(0, n - 1), n), (min(n, 256), min(n, 512))):
+            assert (e.selects(begin, end) == v[begin:end]).all()
+    assert len(tokens.EliasFano.encode(np.array([], np.int64)).selects(0, 0)) == 0
 
 
 def test_token_shards_round_trip(spark):
