@@ -1,6 +1,7 @@
 """Landed pages of skewed tables."""
 
 import json
+from pathlib import Path
 
 import duckdb
 from pyspark.sql import functions as F
@@ -74,3 +75,24 @@ def test_a_later_batch_changes_rows_and_clears_no_reject(spark, tmp_path):
     ingest.drop_old_versions(spark, root, 1)
     assert not (tmp_path / "tables" / first.folders["fact_pull_requests", "2022-05"][0]).exists()
     assert {r["number"] for r in ingest.current(spark, root, "fact_pull_requests").collect()} == {1, 3}
+
+
+def test_landed_pages_take_a_few_times_the_room_of_their_tables(spark, tmp_path):
+    big = "/root/testdata/sf0.01"
+    landed = ingest_queries._landed(ingest_queries.request_pages(spark, big), "pages")
+    size = lambda *at: sum(f.stat().st_size for x in at for f in Path(x).rglob("*") if f.is_file()) + sum(Path(x).stat().st_size for x in at if Path(x).is_file())
+    assert size(landed) < 10 * size(f"{big}/orders.parquet", f"{big}/lineitem.parquet")
+    assert pages.read_pr_pages(spark, landed).count() == spark.read.parquet(f"{big}/orders.parquet").count()
+
+
+def test_the_texts_of_one_language_are_dealt_over_tasks(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.withColumn("lang", F.when(F.col("doc_id") % 20 > 0, "en")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/conversations.parquet").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = ingest_queries.issue_pages(spark, str(tmp_path)).select(F.spark_partition_id().alias("task"), F.size("data.repository.issues.nodes").alias("n"), "data.repository.nameWithOwner").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(r["n"] for r in made) == docs.count()
+    assert len({r["task"] for r in made if r["nameWithOwner"]}) > 1
