@@ -169,3 +169,27 @@ def test_a_commit_that_is_overtaken_runs_again_only_what_was_touched(spark, tmp_
     assert warehouse.state(spark, root).version == 2
     warehouse.drop_old_versions(spark, root, 1)
     assert len(list((tmp_path / "x").iterdir())) >= 1 and warehouse.read(spark, root, at, "x", "v long, part string").count() == 2
+
+
+def test_pages_of_a_source_in_several_batches_of_a_load_are_not_cut(land):
+    """A batch takes 100 files; the newest come first."""
+    land.put("requests", *[page(request(k, updated=f"2022-05-{28 - k // 10:02d}T00:00:{59 - k % 10:02d}Z")) for k in range(120)])
+    land.run("requests")
+    assert warehouse.state(land.spark, land.root).batches[str(land.at / "requests-c")] == 1  # two batches
+    assert sorted(land.rows("fact_pull_requests", "number")) == [(k,) for k in range(120)]
+    land.put("requests", page(request(500, updated="2022-05-01T00:00:00Z")))
+    land.run("requests")  # the next load is cut
+    assert len(land.rows("fact_pull_requests", "number")) == 120
+
+
+def test_a_load_that_is_taken_up_again_keeps_its_cut(land, monkeypatch):
+    """It fails in its second batch, and ends when it is begun again."""
+    land.put("requests", *[page(request(k, updated=f"2022-05-{28 - k // 10:02d}T00:00:{59 - k % 10:02d}Z")) for k in range(120)])
+    whole = ingest.merge_batch
+    monkeypatch.setattr(ingest, "merge_batch", lambda *a: 1 / 0 if a[5] == 1 else whole(*a))
+    with pytest.raises(Exception, match="division"):
+        land.run("requests")
+    monkeypatch.setattr(ingest, "merge_batch", whole)
+    assert len(land.rows("fact_pull_requests", "number")) == 100
+    land.run("requests")
+    assert len(land.rows("fact_pull_requests", "number")) == 120
