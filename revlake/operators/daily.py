@@ -15,6 +15,8 @@ from ..streaming import warehouse as W
 from .metrics import COMMENT, REVIEW, split_sums, with_deltas
 
 _DAILY = "day date, entity string, measure string, value double, month string"
+#: Tasks that a month's sparse sums are dealt to, at most.
+SLOTS = 8
 
 
 def _day(df: DataFrame, day: str, entity: str, measures: dict[str, Column]) -> DataFrame:
@@ -28,8 +30,10 @@ def author_days(prs: DataFrame, acts: DataFrame) -> DataFrame:
     one = F.lit(1)
     own = _day(prs, "created", "author", {"opened": one, "merged": F.when(F.col("state") == "MERGED", 1).otherwise(0), "added": F.col("added"), "removed": F.col("removed")})
     met = acts.join(prs.select("pr_key", "author"), "pr_key").filter("actor <> author")
-    given = _day(met, "day", "actor", {"reviews_given": (F.col("kind") == REVIEW).cast("int"), "comments_given": (F.col("kind") == COMMENT).cast("int")})
-    return own.unionByName(given).unionByName(_day(met.filter(F.col("kind") == REVIEW), "day", "author", {"reviews_received": one}))
+    side = lambda who, measure: F.struct(F.col(who).cast("string").alias("entity"), F.lit(measure).alias("measure"))
+    review = F.col("kind") == REVIEW
+    sides = F.when(review, F.array(side("actor", "reviews_given"), side("author", "reviews_received"))).when(F.col("kind") == COMMENT, F.array(side("actor", "comments_given")))
+    return own.unionByName(met.select("day", F.explode(sides).alias("x")).select("day", "x.*", F.lit(1.0).alias("value")))  # one join for both sides
 
 
 def scope_days(prs: DataFrame, acts: DataFrame, scope: str = "repo") -> DataFrame:
@@ -40,22 +44,29 @@ def scope_days(prs: DataFrame, acts: DataFrame, scope: str = "repo") -> DataFram
 
 
 def months_of(*days: DataFrame) -> list[str]:
-    """The months of tables of days (day); bounded by the calendar."""
+    """The months of tables of days (day); bounded by the calendar. More months than have sums do no harm, so the facts' own
+    days do, without their join."""
     out: set[str] = set()
     for df in days:
         out |= {r[0] for r in df.select(F.date_format("day", "yyyy-MM")).distinct().collect() if r[0]}
     return sorted(out)
 
 
-def refresh(days: DataFrame, months: list[str], root: str, name: str, writer: str = "", number: int | None = None) -> None:
+def refresh(days: DataFrame, months: list[str], root: str, name: str, writer: str = "", number: int | None = None, sparse: bool = False) -> None:
     """Make the sums of these months again from days (day, entity, measure, value of all facts); other months stay. A day
-    without date belongs to no month. (writer, number) names a refresh that may come again."""
+    without date belongs to no month. (writer, number) names a refresh that may come again. sparse: an entity has
+    few facts a day, so that sums are about as many as facts; these are dealt by month, summed and written by one shuffle. Else
+    tasks sum their own facts first."""
     spark = days.sparkSession
     inside = days.withColumn("month", F.date_format("day", "yyyy-MM")).filter(F.col("month").isin(months))
-    sums = inside.groupBy("day", "entity", "measure", "month").agg(F.sum("value").alias("value")).select("day", "entity", "measure", "value", "month")
+    by = ["day", "entity", "measure", "month"]
+    if sparse:
+        by.append("slot")
+        inside = inside.withColumn("slot", F.pmod(F.xxhash64("entity"), F.lit(SLOTS))).repartition("month", "slot")
+    sums = inside.groupBy(*by).agg(F.sum("value").alias("value")).select("day", "entity", "measure", "value", "month")
 
     def job(at: W.State) -> W.Change:
-        written = W.write(sums, root, name, "month") if months else {}
+        written = W.write(sums, root, name, "month", dealt=sparse) if months else {}
         return W.Change([(name, m) for m in months], {(name, m): (written[m],) if m in written else () for m in months})
 
     W.apply(spark, root, writer, W.state(spark, root).version if number is None else number, {name: job})

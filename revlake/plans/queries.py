@@ -252,14 +252,14 @@ def scorecard_author_bucketed(spark, d):
 def _daily(spark, d, days, name: str) -> str:
     """Daily sums after two loads: a part of the requests with what stands in them, then the rest, which changes months that
     are there already."""
-    root = t.shared_place(spark, "daily")
+    root, sparse = t.shared_place(spark, "daily"), name == "authors"
     prs, acts = t.scoped_requests(spark, d), t.activity(spark, d)
     first = F.col("pr_key") % 3 != 0
-    some = days(prs.filter(first), acts.filter(first))
-    daily.refresh(some, daily.months_of(some), root, name, "load", 0)
-    changed = daily.months_of(days(prs.filter(~first), acts.filter(~first)))
+    months = lambda test: daily.months_of(prs.filter(test).select(F.col("created").alias("day")), acts.filter(test).select("day"))
+    daily.refresh(days(prs.filter(first), acts.filter(first)), months(first), root, name, "load", 0, sparse)
+    changed = months(~first)
     for _ in range(2):  # the load that comes again changes nothing
-        daily.refresh(days(prs, acts), changed, root, name, "load", 1)
+        daily.refresh(days(prs, acts), changed, root, name, "load", 1, sparse)
     return root
 
 

@@ -54,3 +54,14 @@ def test_daily_sums_equal_the_facts_after_changes(spark, tmp_path):
     assert after["a", "2022-02"] == before["a", "2022-02"] and ("a", "2022-06") not in after and after["a", "2022-05"] != before["a", "2022-05"]
     daily.refresh(days.limit(0), [], root, "a")
     same(prs2, acts2)
+
+
+def test_days_of_authors_join_once_and_sparse_sums_are_the_same(spark, tmp_path):
+    prs, acts = t.scoped_requests(spark, SF), t.activity(spark, SF)
+    days = daily.author_days(t.requests(spark, SF), acts)
+    assert len(re.findall(r"\bJoin\b", days._jdf.queryExecution().optimizedPlan().toString())) == 1
+    months = daily.months_of(prs.select(F.col("created").alias("day")), acts.select("day"))
+    for k in (False, True):
+        daily.refresh(days, months, str(tmp_path), f"a{k}", sparse=k)
+    rows = lambda k: sorted(map(tuple, daily.read(spark, str(tmp_path), f"a{k}").select("day", "entity", "measure", F.round("value", 2)).collect()))
+    assert rows(True) == rows(False) != []
