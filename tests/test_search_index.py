@@ -1,6 +1,7 @@
 """The stored index against a scan, and snippets of texts whose letters change their width."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,28 @@ def test_a_search_reads_its_trigrams_buckets_only(spark, tmp_path):
     assert "In(gram" in found._jdf.queryExecution().toString()
 
 
+def test_small_chunks_and_keys_that_come_twice(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "CHUNK", 40)
+    monkeypatch.setattr(text_index, "MOST_TEXTS", 3)
+    rng, root = random.Random(7), str(tmp_path)
+    now = {f"k{k}": ("".join(rng.choice("aabbc ") for _ in range(rng.randint(0, 90))), rng.choice([None, "abc ab"])) for k in range(40)}
+    text_index.refresh(frame(spark, now).union(frame(spark, now)), root, "key", ["title", "body"])
+    changed = {f"k{k}": ("abc" * k, None) for k in range(0, 40, 3)}
+    text_index.refresh(frame(spark, changed), root, "key", ["title", "body"], spark.createDataFrame([("k1",), ("k4",)], "key string"))
+    now = {k: v for k, v in (now | changed).items() if k not in ("k1", "k4")}
+    for _ in range(2):
+        for term in ("abc", "aab", "c ab"):
+            assert {r["key"]: round(r["rank"], 9) for r in text_index.search_index(spark, root, term).collect()} == scan(spark, now, term), term
+        text_index.compact(spark, root)
+
+
+def test_the_postings_take_a_few_times_the_room_of_their_texts(spark, tmp_path):
+    at = "/root/testdata/sf0.01/documents.parquet"
+    text_index.refresh(spark.read.parquet(at), str(tmp_path), "doc_id", ["text"])
+    size = sum(f.stat().st_size for f in (tmp_path / "postings").rglob("*.parquet"))
+    assert size < 3.5 * Path(at).stat().st_size
+
+
 def test_an_empty_index(spark, tmp_path):
     assert text_index.search_index(spark, str(tmp_path), "abc").count() == 0
     text_index.refresh(frame(spark, {"a": ("x", None)}).limit(0), str(tmp_path), "key", ["title", "body"])
