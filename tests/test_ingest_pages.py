@@ -96,3 +96,20 @@ def test_the_texts_of_one_language_are_dealt_over_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(r["n"] for r in made) == docs.count()
     assert len({r["task"] for r in made if r["nameWithOwner"]}) > 1
+
+
+def test_pages_that_come_again_rewrite_no_month_and_new_items_add_to_theirs(spark, tmp_path):
+    land, root = tmp_path / "land", str(tmp_path / "tables")
+    land.mkdir()
+    body = json.dumps(page(NODE, NODE | {"number": 2, "mergedAt": "2022-05-08T00:00:00Z"}))
+    (land / "1.json").write_text(body)
+    ingest.ingest(spark, str(land), root, f"{tmp_path}/c", cut=False).awaitTermination()
+    may = ("fact_pull_requests", "2022-05")
+    first = warehouse.state(spark, root).folders[may]
+    (land / "2.json").write_text(body)
+    ingest.ingest(spark, str(land), root, f"{tmp_path}/c", cut=False).awaitTermination()
+    assert warehouse.state(spark, root).folders[may] == first
+    (land / "3.json").write_text(json.dumps(page(NODE | {"number": 2, "closedAt": "2022-05-08T00:00:00Z", "mergedAt": None}, NODE | {"number": 3})))
+    ingest.ingest(spark, str(land), root, f"{tmp_path}/c", cut=False).awaitTermination()
+    got = {r["number"]: (r["merged_at"] is None, r["closed_at"] is None) for r in ingest.current(spark, root, "fact_pull_requests").collect()}
+    assert got == {1: (True, True), 2: (True, False), 3: (True, True)}
