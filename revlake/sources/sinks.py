@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_csv(listing: DataFrame, path: str) -> None:
-    listing.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(listing: DataFrame, path: str, compression: str = "none") -> None:
+    listing.write.mode("overwrite").option("header", True).option("escape", '"').option("compression", compression).csv(path)
 
 
 def write_json(listing: DataFrame, path: str) -> None:
