@@ -10,8 +10,8 @@ def write_csv(listing: DataFrame, path: str, compression: str = "none") -> None:
     listing.write.mode("overwrite").option("header", True).option("escape", '"').option("compression", compression).csv(path)
 
 
-def write_json(listing: DataFrame, path: str) -> None:
-    listing.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def write_json(listing: DataFrame, path: str, compression: str = "none") -> None:
+    listing.write.mode("overwrite").option("ignoreNullFields", False).option("compression", compression).json(path)
 
 
 def write_table(df: DataFrame, path: str, created: str | None = None) -> None:
