@@ -148,3 +148,30 @@ def test_orders_come_in_loads_that_leave_neither_pages_nor_shuffle_files(spark,
     text = lambda rows, columns: sorted(tuple(str(r[c]) for c in sorted(columns)) for r in rows)
     rows = want.astype(object).where(want.notna(), None).to_dict("records")
     assert text((r.asDict() for r in made.collect()), made.columns) == text(rows, want.columns)
+
+
+def test_pages_are_texts_made_by_even_tasks_and_hold_odd_values(spark, tmp_path):
+    title = F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'a \"b\" \\\\ c\\n\\t\\u2028é' WHEN o_orderkey % 5 = 1 THEN '' WHEN o_orderkey % 5 > 2 THEN o_orderpriority END")
+    none = lambda c, k, n: F.when(F.col(k) % n != 0, F.col(c))
+    orders = spark.read.parquet(f"{SF}/orders.parquet").withColumn("o_orderpriority", title).withColumn("o_custkey", none("o_custkey", "o_orderkey", 19)).withColumn("o_orderdate", none("o_orderdate", "o_orderkey", 23))
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").filter("l_orderkey % 7 <> 0")  # some orders have none
+    for c, n in (("l_suppkey", 11), ("l_partkey", 13), ("l_shipdate", 17), ("l_returnflag", 5), ("l_linestatus", 29)):
+        lines = lines.withColumn(c, none(c, "l_orderkey", n))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    landed = ingest_queries._gzipped(ingest_queries.request_texts(spark, str(tmp_path)), f"{tmp_path}/pages")
+    assert len(list(Path(landed).glob("part-*"))) > spark.sparkContext.defaultParallelism
+    items = pages.read_pr_pages(spark, landed)
+    got = {r["number"]: r for r in items.select("node.*", "header.nameWithOwner").collect()}
+    want = orders.join(lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(*lines.columns)).alias("x")), F.col("o_orderkey") == F.col("l_orderkey"), "left").collect()
+    assert len(got) == len(want)
+    for r in want:
+        node, x = got[r["o_orderkey"]], r["x"] or []
+        assert node["title"] == r["o_orderpriority"] and node["nameWithOwner"] == (None if r["o_custkey"] is None else f"Owner/Repo{r['o_custkey']}")
+        assert (node["updatedAt"] is None) == (r["o_orderdate"] is None)
+        assert sorted(str((n["state"], n["author"] and n["author"]["login"])) for n in node["reviews"]["nodes"]) == sorted(str((None if i["l_returnflag"] == "N" else i["l_returnflag"], None if i["l_suppkey"] is None else f"Dev{i['l_suppkey']}")) for i in x)
+        assert len(node["reviewThreads"]["nodes"]) == sum(i["l_linestatus"] == "O" for i in x) and len(node["comments"]["nodes"]) == sum(i["l_linestatus"] not in ("O", None) for i in x)
+        assert {n["path"] for n in node["files"]["nodes"]} == {None if i["l_partkey"] is None else f"src/{i['l_partkey']}" for i in x}
+        first, last = (c["commit"] for c in node["commits"]["nodes"])
+        assert first["oid"] == "old" and [k["id"][:6] for k in first["checkSuites"]["nodes"][0]["checkRuns"]["nodes"]] == ["old-K-"][: len(x)]
+        assert len(last["checkSuites"]["nodes"][0]["checkRuns"]["nodes"]) == len(x)
