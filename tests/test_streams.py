@@ -193,3 +193,25 @@ def test_a_load_that_is_taken_up_again_keeps_its_cut(land, monkeypatch):
     assert len(land.rows("fact_pull_requests", "number")) == 100
     land.run("requests")
     assert len(land.rows("fact_pull_requests", "number")) == 120
+
+
+def test_rows_are_made_once_and_no_folder_is_left_that_no_commit_names(land, monkeypatch):
+    review = lambda i, state="APPROVED": {"id": i, "state": state, "submittedAt": "2022-05-08T00:00:00Z", "author": {"login": "Ann"}}
+    node = request(1, reviews={"nodes": [review("a"), review("b")]})
+    written, write = [], warehouse.write
+
+    def counted(rows, root, name, *more, **other):
+        written.append(name)
+        return write(rows, root, name, *more, **other)
+
+    monkeypatch.setattr(warehouse, "write", counted)
+    land.put("requests", page(node))
+    land.run("requests", cut=False)
+    assert written.count("items") == 1 and written.count("good") == 0 and written.count("fact_reviews") == 1
+    land.put("requests", page(node | {"title": "new", "reviews": {"nodes": [review("a", "DISMISSED"), review("c"), review("c")]}}))  # known, new, twice
+    land.run("requests", cut=False)
+    assert sorted(land.rows("fact_reviews", "review_key", "state")) == [("a", "DISMISSED"), ("b", "APPROVED"), ("c", "APPROVED")]
+    ingest.drop_old_versions(land.spark, land.root, 1)
+    held = {f for folders in warehouse.state(land.spark, land.root).folders.values() for f in folders}
+    found = {str(p.relative_to(land.root)) for p in (land.at / "tables").glob("fact_*/*/_part=*")}
+    assert found == {f for f in held if f.startswith("fact_")}
