@@ -187,3 +187,15 @@ def test_pages_are_parsed_and_judged_once_for_all_their_tables(spark, monkeypatc
     monkeypatch.setattr(pages, "request_tables", watched)
     entry.queries()["ingest_pages"](spark, SF)
     assert plans and not [p for p in plans if "Filter" in p or "Scan json" in p]
+
+
+def test_the_half_that_is_merged_into_itself_is_parsed_once(spark, monkeypatch):
+    plans, merge_table = [], ingest_queries.merge.merge_table
+
+    def watched(name, old, batch, order):
+        plans.append((old._jdf.queryExecution().executedPlan().toString(), batch._jdf.queryExecution().executedPlan().toString()))
+        return merge_table(name, old, batch, order)
+
+    monkeypatch.setattr(ingest_queries.merge, "merge_table", watched)
+    entry.queries()["two_paths"](spark, SF)
+    assert plans and all("Scan json" not in old and batch.count("Scan json") == 1 for old, batch in plans)
