@@ -186,7 +186,7 @@ def test_pages_are_parsed_and_judged_once_for_all_their_tables(spark, monkeypatc
 
     monkeypatch.setattr(pages, "request_tables", watched)
     entry.queries()["ingest_pages"](spark, SF)
-    assert plans and not [p for p in plans if "Filter" in p or "Scan json" in p]
+    assert plans and not [p for p in plans if "lambda" in p or "Scan json" in p]
 
 
 def test_the_half_that_is_merged_into_itself_is_parsed_once(spark, monkeypatch):
